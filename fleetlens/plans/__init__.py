@@ -1 +1,7 @@
 """Ready-made queries over the given tables, each with its SQL counterpart."""
+
+
+def all_suites():
+    from fleetlens.plans import history, ingest
+
+    return [history.SUITE, ingest.SUITE]
