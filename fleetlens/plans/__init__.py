@@ -2,6 +2,6 @@
 
 
 def all_suites():
-    from fleetlens.plans import history, ingest
+    from fleetlens.plans import history, ingest, live
 
-    return [history.SUITE, ingest.SUITE]
+    return [history.SUITE, ingest.SUITE, live.SUITE]

@@ -238,7 +238,7 @@ def overflow_kept(t: Tables):
 @q("decode_payload", r"""with d as (select event_id, payload, try(decode(payload)) as txt from fx_payloads)
    select event_id, txt is null as is_binary, txt is not null and json_valid(trim(txt)) as is_json,
      case when txt is null then '<' || octet_length(payload) || ' bytes binary>'
-          when json_valid(trim(txt)) then case when json_type(trim(txt)) = 'DOUBLE' then trim(txt)
+          when json_valid(trim(txt)) then case when json_type(trim(txt)) = 'DOUBLE' then regexp_replace(trim(txt), '[.]0$', '')
                else cast(json(trim(txt)) as varchar) end else trim(txt) end as value from d""")
 def decode_payload(t: Tables):
     return M.decode_payload(t.view("fx_payloads")).select("event_id", "is_binary", "is_json", "value")
@@ -248,7 +248,8 @@ def decode_payload(t: Tables):
      type, atom, json_array_length(value) as n, path as parent from (
        select event_id, fullkey, path, type, atom, value from fx_nested, json_tree(cast(body as json))))
    select event_id, path, value from (
-     select event_id, path, case when type = 'NULL' then 'null' else cast(atom as varchar) end as value from leaf
+     select event_id, path, case when type = 'NULL' then 'null' when type = 'DOUBLE' then regexp_replace(cast(atom as varchar), '[.]0$', '')
+       else cast(atom as varchar) end as value from leaf
        where type not in ('OBJECT', 'ARRAY') and parent not like '%.nine' and len(string_split(path, '/')) <= 7
      union all select event_id, path || '/len', cast(n as varchar) from leaf where type = 'ARRAY' and n > 8)""")
 def flatten_messages(t: Tables):

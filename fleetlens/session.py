@@ -16,6 +16,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
         SparkSession.builder.master(master)
         .appName("fleetlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

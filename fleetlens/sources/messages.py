@@ -188,35 +188,21 @@ def flatten_json(df: DataFrame, keys: list[str], body: str = "body", prefix: str
                  max_array: int = 8, max_depth: int = 6) -> DataFrame:
     """Nested JSON -> (path, value) rows; long arrays shrink to their length.
 
-    Each of the seven passes splits every pending node into a leaf row or child nodes in
-    a single projection, so the whole tree costs one scan and no shuffle.
+    Seven passes turn every pending node into a leaf row or its child nodes; the whole
+    tree costs one scan and no shuffle. Numbers come out in canonical JSON form (28, not 28.0).
     """
-    schema = "array<struct<path:string,node:variant>>"
+    spark = df.sparkSession
     df = df.select(*keys, F.lit(prefix).alias("path"), F.try_parse_json(body).alias("node")).filter("node is not null")
     for depth in range(max_depth + 1):
-        last = depth == max_depth
-        kids_map = F.map_entries(F.try_variant_get("node", "$", "map<string,variant>"))
-        kids_list = F.try_variant_get("node", "$", "array<variant>")
-        size_node = F.array(F.struct(F.concat(F.col("path"), F.lit("/len")).alias("path"),
-                                     F.to_variant_object(F.array(F.size(kids_list))).alias("node")))
-        obj, arr = is_object(F.col("node")), is_array(F.col("node"))
-        long_array = arr & (F.size(kids_list) > max_array)
-        length_row = F.array(F.struct(
-            F.concat(F.col("path"), F.lit("/len")).alias("path"),
-            F.try_parse_json(F.size(kids_list).cast("string")).alias("node"),
-            F.lit(True).alias("leaf")))
-        empty = F.array().cast("array<struct<path:string,node:variant,leaf:boolean>>")
-        from_map = F.transform(kids_map, lambda e: F.struct(
-            F.concat(F.col("path"), F.lit("/"), e["key"]).alias("path"), e["value"].alias("node"), F.lit(False).alias("leaf")))
-        from_list = F.transform(kids_list, lambda e, i: F.struct(
-            F.concat(F.col("path"), F.lit("/"), i.cast("string")).alias("path"), e.alias("node"), F.lit(False).alias("leaf")))
-        itself = F.array(F.struct("path", "node", F.lit(True).alias("leaf")))
-        if depth == 0:
-            df = df.withColumn("leaf", F.lit(False))
-        step = (F.when(F.col("leaf"), itself)
-                .when(long_array, length_row)
-                .when(arr, empty if last else from_list)
-                .when(obj, empty if last else from_map)
-                .otherwise(itself))
-        df = df.select(*keys, F.explode(step).alias("_n")).select(*keys, "_n.path", "_n.node", "_n.leaf")
-    return df.filter("leaf").select(*keys, "path", F.to_json("node").alias("value"))
+        size = F.size(F.try_variant_get("node", "$", "array<variant>"))
+        long_array = F.coalesce(size > max_array, F.lit(False))
+        df = df.select(*keys, F.when(long_array, F.concat("path", F.lit("/len"))).otherwise(F.col("path")).alias("path"),
+                       F.when(long_array, F.try_parse_json(size.cast("string"))).otherwise(F.col("node")).alias("node"))
+        if depth < max_depth:
+            # Scalars open to nothing and pass through unchanged.
+            kids = df.lateralJoin(spark.tvf.variant_explode_outer(F.col("node").outer()))
+            step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+            inner = F.col("value").isNotNull()
+            df = kids.select(*keys, F.when(inner, F.concat("path", F.lit("/"), step)).otherwise(F.col("path")).alias("path"),
+                             F.coalesce("value", "node").alias("node"))
+    return df.filter(~is_object("node") & ~is_array("node")).select(*keys, "path", F.to_json("node").alias("value"))
