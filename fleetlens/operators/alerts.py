@@ -117,36 +117,48 @@ def alert_intervals(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
         F.min_by(F.struct("ts", "num", "raw", "_stop_us"), F.struct(*ORDER)).alias("f"))
     out = closed.select(*KEYS, F.col("f.ts").alias("started_at"), from_micros("f._stop_us").alias("resolved_at"),
                         F.col("f.num").alias("value"), F.col("f.raw").alias("raw"))
-    return out.unionByName(_strict_intervals(rows.filter(~_sane(rows)), slices))
+    return out.unionByName(_strict_intervals(rows, slices))
 
 
 STRICT = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("pending_us", T.LongType()),
-                       T.StructField("firing", T.BooleanType())])
+                       T.StructField("firing", T.BooleanType()), T.StructField("sent_us", T.LongType())])
 MARK = T.StructType([T.StructField("mark", T.StringType())])
 
 
 def _strict_step(now, row):
     """ok -> pending -> firing -> ok, for clear limits stricter than the trigger."""
-    at, hit, hold, for_s = row
-    pending, firing = (now[1], now[2]) if now else (None, False)
+    at, hit, hold, for_s, cool_us = row
+    pending, firing, sent = now[1:] if now else (None, False, None)
+    if firing and not hold:
+        return (at, None, False, None), ("stop",)
     if firing:
-        return ((at, None, True), (None,)) if hold else ((at, None, False), ("stop",))
+        if cool_us > 0 and at - sent >= cool_us:
+            return (at, None, True, at), ("repeat",)
+        return (at, None, True, sent), (None,)
     if not hit:
-        return (at, None, False), (None,)
+        return (at, None, False, None), (None,)
     if pending is None:
-        return (at, at, False), (None,)
+        return (at, at, False, None), (None,)
     if (at - pending) / 1e6 >= for_s:
-        return (at, None, True), ("start",)
-    return (at, pending, False), (None,)
+        return (at, None, True, at), ("start",)
+    return (at, pending, False, None), (None,)
 
 
-def _strict_intervals(rows: DataFrame, slices: Slices | None) -> DataFrame:
+def _strict_marks(rows: DataFrame, slices: Slices | None) -> DataFrame:
     """A firing alert may resolve while the trigger still hits: needs the state machine."""
-    rows = rows.withColumn("_at", micros("ts"))
-    marks = fold(rows, KEYS, ORDER, ["_at", "hit", "hold", "for_seconds"], _strict_step, STRICT, MARK, F.col("_at"), slices)
-    marks = marks.filter("mark is not null")
-    marks = drop_slice(scan(marks, KEYS, ORDER, {"_stop_us": next_known(F.when(F.col("mark") == "stop", F.col("_at")))},
-                            F.col("_at"), slices))
+    rows = _with_clock(rows.filter(~_sane(rows)))
+    marks = fold(rows, KEYS, ORDER, ["_at", "hit", "hold", "for_seconds", "_cool"], _strict_step, STRICT, MARK,
+                 F.col("_at"), slices)
+    return marks.filter("mark is not null")
+
+
+def _with_clock(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_at": micros("ts"), "_cool": F.round(F.col("cooldown_min") * 60e6).cast("long")})
+
+
+def _strict_intervals(rows: DataFrame, slices: Slices | None) -> DataFrame:
+    marks = drop_slice(scan(_strict_marks(rows, slices), KEYS, ORDER,
+                            {"_stop_us": next_known(F.when(F.col("mark") == "stop", F.col("_at")))}, F.col("_at"), slices))
     return marks.filter("mark = 'start'").select(
         *KEYS, F.col("ts").alias("started_at"), from_micros("_stop_us").alias("resolved_at"),
         F.col("num").alias("value"), "raw")
@@ -171,6 +183,7 @@ def presence_intervals(timeline: DataFrame, rules: DataFrame) -> DataFrame:
 
 def reminders(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     """Repeat notifications while an alert keeps firing, at least ``cooldown_min`` apart."""
+    strict = _strict_marks(rows, slices).filter("mark = 'repeat'").select(*KEYS, "ts", "num")
     rows = firing_rows(rows.filter(_sane(rows)), slices)
     us = micros("ts")
     island_start = F.when(~F.col("hold"), us)
@@ -179,7 +192,7 @@ def reminders(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     burning = rows.filter(F.col("hold") & F.col("_fired_us").isNotNull()
                           & (F.col("_fired_us") > F.coalesce("_island_us", F.lit(-1))) & (F.col("cooldown_min") > 0))
     kept = _spaced_by_cooldown(burning, slices)
-    return kept.filter(~F.col("_opening")).select(*KEYS, "ts", "num")
+    return kept.filter(~F.col("_opening")).select(*KEYS, "ts", "num").unionByName(strict)
 
 
 NOTIFIED = T.StructType([T.StructField("island", T.LongType()), T.StructField("sent_us", T.LongType())])
@@ -196,8 +209,7 @@ def _remind_step(now, row):
 
 
 def _spaced_by_cooldown(rows: DataFrame, slices: Slices | None) -> DataFrame:
-    rows = rows.withColumns({"_at": micros("ts"), "_cool": F.round(F.col("cooldown_min") * 60e6).cast("long"),
-                             "_island": F.col("_island").cast("long")})
+    rows = _with_clock(rows).withColumn("_island", F.col("_island").cast("long"))
     return fold(rows, KEYS, ORDER, ["_at", "_island", "_cool"], _remind_step, NOTIFIED, SENT, F.col("_at"), slices).filter("_kept")
 
 
