@@ -125,7 +125,7 @@ STRICT = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("pend
 MARK = T.StructType([T.StructField("mark", T.StringType())])
 
 
-def _strict_step(now, row):
+def alert_step(now, row):
     """ok -> pending -> firing -> ok, for clear limits stricter than the trigger."""
     at, hit, hold, for_s, cool_us = row
     pending, firing, sent = now[1:] if now else (None, False, None)
@@ -147,7 +147,7 @@ def _strict_step(now, row):
 def _strict_marks(rows: DataFrame, slices: Slices | None) -> DataFrame:
     """A firing alert may resolve while the trigger still hits: needs the state machine."""
     rows = _with_clock(rows.filter(~_sane(rows)))
-    marks = fold(rows, KEYS, ORDER, ["_at", "hit", "hold", "for_seconds", "_cool"], _strict_step, STRICT, MARK,
+    marks = fold(rows, KEYS, ORDER, ["_at", "hit", "hold", "for_seconds", "_cool"], alert_step, STRICT, MARK,
                  F.col("_at"), slices)
     return marks.filter("mark is not null")
 

@@ -2,6 +2,6 @@
 
 
 def all_suites():
-    from fleetlens.plans import alerts, fleet, history, ingest, live
+    from fleetlens.plans import alerts, fleet, history, ingest, live, streams
 
-    return [history.SUITE, ingest.SUITE, live.SUITE, alerts.SUITE, fleet.SUITE]
+    return [history.SUITE, ingest.SUITE, live.SUITE, alerts.SUITE, fleet.SUITE, streams.SUITE]
