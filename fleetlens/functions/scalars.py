@@ -10,7 +10,7 @@ TRUE_WORDS = ["true", "1", "on", "yes", "t"]
 FALSE_WORDS = ["false", "0", "off", "no", "f"]
 NUMBER_TEXT_MAX = 32
 
-DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ROBOT_ID = r"^[a-z0-9][a-z0-9_-]{1,62}$"
 
 
@@ -19,21 +19,20 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Remove white space of every kind from both ends."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove blanks, tabs and line ends from both ends."""
+    return F.trim(col(c), F.lit(" \t\r\n\f\v"))
 
 
 def finite(c) -> Column:
     """The double, or null for NaN and the infinities."""
-    c = col(c)
-    inf = F.lit(float("inf"))
-    return F.when(~F.isnan(c) & (c != inf) & (c != -inf), c)
+    # NaN sorts above infinity, so one comparison rules out all three
+    return F.when(F.abs(col(c)) < F.lit(float("inf")), col(c))
 
 
 def decimal_text(c) -> Column:
     """Double for plain decimal text; null for suffixes, words and separators."""
-    text = strip(c)
-    return finite(F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double")))
+    # the cast trims by itself
+    return finite(F.when(col(c).rlike(DECIMAL_TEXT), col(c).try_cast("double")))
 
 
 def to_numeric(c) -> Column:

@@ -17,6 +17,7 @@ INT32_MIN, INT32_MAX = -2_147_483_648, 2_147_483_647
 def dedup_batches(batches: DataFrame) -> DataFrame:
     """Keep the first delivery of each (robot, boot, seq); batches without them all pass.
 
+    Works on headers with the payload still packed; unpack the survivors afterwards.
     The rank filter runs before the shuffle too, so a batch redelivered a billion times
     sends one row per task, not a billion.
     """
@@ -72,8 +73,8 @@ def duplicate_counts(batches: DataFrame) -> DataFrame:
     """Deliveries, redeliveries and redeliveries whose content differs, per robot."""
     per_key = batches.filter("boot is not null and seq is not null").groupBy("robot_id", "boot", "seq").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.sum(F.size("items")).alias("all_items"),
-        F.min_by(F.size("items"), F.struct("recv_ts", "topic")).alias("kept_items"),
+        F.sum("n_items").alias("all_items"),
+        F.min_by("n_items", F.struct("recv_ts", "topic")).alias("kept_items"),
         (F.min(F.xxhash64("payload")) != F.max(F.xxhash64("payload"))).alias("conflict"))
     return per_key.groupBy("robot_id").agg(
         F.count(F.lit(1)).alias("batches"),
@@ -86,9 +87,9 @@ def duplicate_counts(batches: DataFrame) -> DataFrame:
 def ingest_counters(status: DataFrame, batches: DataFrame, samples: DataFrame) -> DataFrame:
     """Fleet-wide totals over the three lanes; each lane is reduced before they meet."""
     s = status.agg(F.count_if(~F.col("dropped")).alias("accepted"), F.count_if("dropped").alias("bad_status"))
-    versioned = batches.filter("items is not null")
-    b = batches.agg(F.count_if(F.col("items").isNull()).alias("bad_batches"),
-                    F.count_if(F.col("items").isNotNull() & F.col("enveloped")
+    versioned = batches.filter("n_items is not null")
+    b = batches.agg(F.count_if(F.col("n_items").isNull()).alias("bad_batches"),
+                    F.count_if(F.col("n_items").isNotNull() & F.col("enveloped")
                                & (F.col("boot").isNull() | F.col("seq").isNull())).alias("unversioned"))
     d = duplicate_counts(versioned).agg(F.coalesce(F.sum("duplicate_batches"), F.lit(0)).alias("duplicate_batches"),
                                         F.coalesce(F.sum("duplicate_samples"), F.lit(0)).alias("duplicate_samples"))

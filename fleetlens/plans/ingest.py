@@ -125,7 +125,7 @@ DEDUP_SQL = """b as (select *, cast(payload as json) as j, epoch_us(recv_ts) as
 
 def batches(t: Tables):
     df = t.view("fx_batches").select("topic", "recv_ts", "payload")
-    return M.parse_batches(M.route_messages(df))
+    return M.batch_headers(M.route_messages(df))
 
 
 def unique_batches(t: Tables):
@@ -134,7 +134,7 @@ def unique_batches(t: Tables):
 
 @q("dedup_batches", f"with {DEDUP_SQL} select topic, robot_id, recv_ts, boot, seq, cast(len(items) as int) as n from k")
 def dedup_batches(t: Tables):
-    return Q.dedup_batches(batches(t)).select("topic", "robot_id", "recv_ts", "boot", "seq", F.size("items").alias("n"))
+    return Q.dedup_batches(batches(t)).select("topic", "robot_id", "recv_ts", "boot", "seq", F.col("n_items").alias("n"))
 
 
 @q("measure_skew", f"""with {DEDUP_SQL} select robot_id, recv_ts, skew_us, cast(trunc(skew_us / 1000.0e0) as int) as skew_ms from k""")
@@ -149,7 +149,7 @@ CORRECT_SQL = f"""{DEDUP_SQL}, r as (select robot_id, recv_ts, recv_us, skew_us,
 
 
 def corrected(t: Tables):
-    return Q.correct_timestamps(M.explode_samples(unique_batches(t)))
+    return Q.correct_timestamps(M.explode_samples(M.batch_items(unique_batches(t))))
 
 
 @q("correct_timestamps", f"""with {CORRECT_SQL} select robot_id, recv_ts, cast(trunc(skew_us / 1000.0e0) as int) as skew_ms,
@@ -216,8 +216,8 @@ def duplicate_counts(t: Tables):
              else recv_us end - case when abs(sent_us - recv_us) >= 2000000 then sent_us - recv_us else 0 end)
         not between recv_us - 604800000000 and recv_us + 300000000) as clamped""")
 def ingest_counters(t: Tables):
-    b = batch_rows(t)
-    rows = Q.correct_timestamps(M.explode_items(Q.measure_skew(b.filter("items is not null"))))
+    b = M.batch_headers(lane(t, "samples"))
+    rows = Q.correct_timestamps(M.explode_items(M.batch_items(Q.measure_skew(b.filter("n_items is not null")))))
     return Q.ingest_counters(status_rows(t), b, rows)
 
 

@@ -45,8 +45,8 @@ def batch_messages(t: Tables) -> DataFrame:
 
 @q("stream_dedup_batches", f"with {DEDUP_SQL} select robot_id, boot, seq, cast(len(items) as int) as n from k")
 def stream_dedup_batches(t: Tables):
-    out = J.dedup_stream(M.parse_batches(M.route_messages(batch_messages(t))))
-    path = J.run_once(out.select("robot_id", "boot", "seq", F.size("items").alias("n")), "dedup")
+    out = J.dedup_stream(M.batch_headers(M.route_messages(batch_messages(t))))
+    path = J.run_once(out.select("robot_id", "boot", "seq", F.col("n_items").alias("n")), "dedup")
     return t.spark.read.parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import col, decimal_text, micros, strip, to_numeric
+from fleetlens.functions.scalars import col, decimal_text, finite, micros, strip, to_numeric
 
 # Wire format of the message lanes.
 LINK_UP_WORDS = ["online", "1", "true", "up"]
@@ -63,9 +63,14 @@ def text_of(v) -> Column:
 
 
 def number_of(v) -> Column:
-    """float() of a dynamic value: numbers, numeric text and booleans; finite only."""
-    return F.when(json_type(v) == "BOOLEAN", F.when(text_of(v) == "true", 1.0).otherwise(0.0)).otherwise(
-        decimal_text(text_of(v)))
+    """float() of a dynamic value: numbers, numeric text and booleans; finite only.
+
+    Pass a plain column: the value is looked at several times.
+    """
+    kind = json_type(v)
+    return (F.when(kind == "STRING", decimal_text(text_of(v)))
+            .when(kind == "BOOLEAN", F.when(text_of(v) == "true", 1.0).otherwise(0.0))
+            .otherwise(finite(F.try_variant_get(v, "$", "double"))))
 
 
 def numeric_of(v) -> Column:
@@ -77,93 +82,108 @@ def truthy_text(v) -> Column:
     return F.nullif(text_of(v), F.lit(""))
 
 
+def looks_object(payload) -> Column:
+    """Does the text open an object? Cheaper than asking the parsed value for its type."""
+    return F.ltrim(col(payload), F.lit(" \t\r\n")).startswith("{")
+
+
 # ------------------------------------------------------------------ status lane
 
 def parse_status(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Status JSON -> typed columns. Absent fields are null and carried forward later.
 
     ``dropped`` marks bodies that are not a JSON object; their other columns are null.
+    The work goes in steps so that each value is parsed and looked up once.
     """
-    df = df.withColumn("_v", F.try_parse_json(F.col(payload)))
-    v = F.when(is_object(F.col("_v")), F.col("_v"))
-    df = df.withColumn("_v", v).withColumns({
-        "_pose": F.when(is_object(member("_v", "pose")), member("_v", "pose")).otherwise(F.col("_v")),
-        "_vel": F.when(is_object(member("_v", "vel")), member("_v", "vel")).otherwise(F.col("_v")),
-        "_mission": member("_v", "mission"),
-        "_errors": member("_v", "errors", "error"),
+    df = df.withColumn("_v", F.when(looks_object(payload), F.try_parse_json(F.col(payload))))
+    df = df.withColumns({"_pose": member("_v", "pose"), "_vel": member("_v", "vel"), "_mission": member("_v", "mission"),
+                         "_errors": member("_v", "errors", "error")})
+    df = df.withColumns({
+        "_pose": F.when(is_object("_pose"), F.col("_pose")).otherwise(F.col("_v")),
+        "_vel": F.when(is_object("_vel"), F.col("_vel")).otherwise(F.col("_v")),
+        "_mission_object": is_object("_mission"),
+        "_error_text": text_of("_errors"),
     })
-    mission_object = is_object(F.col("_mission"))
-    error_text = text_of(F.col("_errors"))
-    errors = (F.when(is_array(F.col("_errors")), F.try_variant_get("_errors", "$", "array<string>"))
-              .when(F.col("_errors").isNull() | F.is_variant_null(F.col("_errors")), F.lit(None))
-              .when(error_text.isin("", "0", "false"), F.array().cast("array<string>"))
-              .otherwise(F.array(error_text)))
+    numbers = {
+        "battery": member("_v", "battery", "batt"), "x": member("_pose", "x"), "y": member("_pose", "y"),
+        "yaw": member("_pose", "yaw", "theta"), "v": member("_vel", "v", "linear"), "w": member("_vel", "w", "angular"),
+        "progress": F.when(F.col("_mission_object"), member("_mission", "progress")),
+        "temp": member("_v", "temp", "temperature"), "wifi": member("_v", "wifi", "rssi"), "odom": member("_v", "odom", "odom_m"),
+    }
+    df = df.withColumns({f"_n_{k}": v for k, v in numbers.items()})
+    df = df.withColumns({k: number_of(f"_n_{k}") for k in numbers})
+    object_name = F.coalesce(truthy_text(member("_mission", "id")), truthy_text(member("_mission", "name")))
+    errors = (F.when(is_array("_errors"), F.try_variant_get("_errors", "$", "array<string>"))
+              .when(F.col("_error_text").isNull(), F.lit(None))
+              .when(F.col("_error_text").isin("", "0", "false"), F.array().cast("array<string>"))
+              .otherwise(F.array("_error_text")))
     extra = F.map_filter(F.try_variant_get("_v", "$", "map<string,string>"), lambda k, _: ~k.isin(STATUS_KEYS))
+    battery = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("battery")))
     return df.withColumns({
         "robot_id": F.coalesce(truthy_text(member("_v", "id")), F.col("robot_id")),
         "dropped": F.col("_v").isNull(),
         "name": truthy_text(member("_v", "name")),
         "state": F.coalesce(truthy_text(member("_v", "state")), truthy_text(member("_v", "status"))),
-        "battery": F.greatest(F.lit(0.0), F.least(F.lit(100.0), number_of(member("_v", "battery", "batt")))),
-        "x": number_of(member("_pose", "x")),
-        "y": number_of(member("_pose", "y")),
-        "yaw": number_of(member("_pose", "yaw", "theta")),
-        "v": number_of(member("_vel", "v", "linear")),
-        "w": number_of(member("_vel", "w", "angular")),
-        "mission": F.when(mission_object, F.coalesce(truthy_text(member("_mission", "id")),
-                                                     truthy_text(member("_mission", "name"))))
-                    .otherwise(text_of(F.col("_mission"))),
-        "progress": F.when(mission_object, number_of(member("_mission", "progress"))),
-        "mission_reset": F.coalesce(mission_object, F.lit(False)),
+        "battery": F.when(F.col("battery").isNotNull(), battery),
+        "mission": F.when(F.col("_mission_object"), object_name).otherwise(text_of("_mission")),
+        "mission_reset": F.col("_mission_object"),
         "errors": errors,
-        "temp": number_of(member("_v", "temp", "temperature")),
-        "wifi": number_of(member("_v", "wifi", "rssi")),
-        "odom": number_of(member("_v", "odom", "odom_m")),
         "extra": extra,
-    }).withColumn("battery", F.when(number_of(member("_v", "battery", "batt")).isNotNull(), F.col("battery"))).drop(
-        "_v", "_pose", "_vel", "_mission", "_errors")
+    }).drop("_v", "_pose", "_vel", "_mission", "_mission_object", "_errors", "_error_text", *[f"_n_{k}" for k in numbers])
 
 
 # ------------------------------------------------------------------ sample lane
 
-def parse_batches(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Envelope, ``{"b": [...]}`` or a bare list -> one row per batch with its items.
+def batch_headers(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Envelope fields and item count of each batch; ``n_items`` is null for a bad body.
 
-    ``items`` is null for a body that is neither; such a batch counts as dropped.
+    The items themselves stay in the payload text: redelivered copies are dropped before
+    anything is unpacked, and the text is what a shuffle moves most cheaply.
     """
-    v = F.try_parse_json(F.col(payload))
-    df = df.withColumn("_v", v).withColumn("_object", is_object(F.col("_v")))
-    body = F.when(F.col("_object"), member("_v", "b")).otherwise(F.col("_v"))
-    sent = member("_v", "ts")
-    sent_number = F.when(F.col("_object") & ~json_type(sent).isin("STRING", "BOOLEAN", "VOID"),
-                         F.try_variant_get(sent, "$", "double"))
+    df = df.withColumns({"_v": F.try_parse_json(F.col(payload)), "enveloped": looks_object(payload)})
+    df = df.withColumns({"enveloped": F.coalesce(F.col("enveloped") & F.col("_v").isNotNull(), F.lit(False)),
+                         "_sent": F.when(F.col("enveloped"), member("_v", "ts"))})
+    inside = F.col("enveloped")
+    body = F.when(inside, member("_v", "b")).otherwise(F.col("_v"))
+    sent = F.when(~json_type("_sent").isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get("_sent", "$", "double"))
     return df.withColumns({
-        "items": F.try_variant_get(body, "$", "array<variant>"),
-        "boot": F.when(F.col("_object"), text_of(member("_v", "boot"))),
-        "seq": F.when(F.col("_object"), F.try_variant_get(member("_v", "seq"), "$", "bigint")),
-        "sent_us": F.round(sent_number * 1e6).cast("bigint"),
+        "n_items": F.size(F.try_variant_get(body, "$", "array<variant>")),
+        "boot": F.when(inside, text_of(member("_v", "boot"))),
+        "seq": F.when(inside, F.try_variant_get(member("_v", "seq"), "$", "bigint")),
+        "sent_us": F.round(sent * 1e6).cast("bigint"),
         "recv_us": micros("recv_ts"),
-        "enveloped": F.col("_object"),
-    }).drop("_v", "_object")
+    }).withColumn("n_items", F.when(F.col("n_items") >= 0, F.col("n_items"))).drop("_v", "_sent")
+
+
+def batch_items(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add the items of each batch as an array of dynamic values."""
+    v = F.try_parse_json(F.col(payload))
+    body = F.when(F.col("enveloped"), F.try_variant_get(v, "$.b", "array<variant>")).otherwise(
+        F.try_variant_get(v, "$", "array<variant>"))
+    return df.withColumn("items", body)
+
+
+def parse_batches(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Envelope, ``{"b": [...]}`` or a bare list -> one row per batch with its items."""
+    return batch_items(batch_headers(df, payload), payload)
 
 
 def explode_items(df: DataFrame) -> DataFrame:
     """One row per batch item. ``dropped`` marks items that are too short or have no topic."""
-    keep = [c for c in df.columns if c != "items"]
+    keep = [c for c in df.columns if c not in ("items", "payload")]
     rows = df.select(*keep, F.posexplode("items").alias("pos", "_item"))
-    fields = F.try_variant_get("_item", "$", "array<variant>")
-    rows = rows.withColumn("_f", fields)
-    topic, value = F.get("_f", 0), F.get("_f", 2)
-    good = (F.size("_f") >= 3) & (json_type(topic) == "STRING") & (text_of(topic) != "")
-    stamp = number_of(F.get("_f", 1))
+    rows = rows.withColumn("_f", F.try_variant_get("_item", "$", "array<variant>"))
+    rows = rows.withColumns({"_topic": F.get("_f", 0), "_stamp": F.get("_f", 1), "_value": F.get("_f", 2), "_flag": F.get("_f", 3)})
+    rows = rows.withColumns({
+        "_topic": F.when((F.size("_f") >= 3) & (json_type("_topic") == "STRING"), truthy_text("_topic")),
+        "_stamp": number_of("_stamp"), "num": numeric_of("_value"), "_flag": number_of("_flag")})
     return rows.withColumns({
-        "dropped": ~F.coalesce(good, F.lit(False)),
-        "sample_topic": F.substring(text_of(topic), 1, TOPIC_MAX_CHARS),
-        "raw_us": F.coalesce(F.when(stamp != 0, F.round(stamp * 1e6).cast("bigint")), F.col("recv_us")),
-        "num": numeric_of(value),
-        "value": F.to_json(value),
-        "flag": F.coalesce(number_of(F.get("_f", 3)).cast("int"), F.lit(0)),
-    }).drop("_f", "_item")
+        "dropped": F.col("_topic").isNull(),
+        "sample_topic": F.substring("_topic", 1, TOPIC_MAX_CHARS),
+        "raw_us": F.coalesce(F.when(F.col("_stamp") != 0, F.round(F.col("_stamp") * 1e6).cast("bigint")), F.col("recv_us")),
+        "value": F.to_json("_value"),
+        "flag": F.coalesce(F.col("_flag").cast("int"), F.lit(0)),
+    }).drop("_f", "_item", "_topic", "_stamp", "_value", "_flag")
 
 
 def explode_samples(df: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def dedup_stream(batches: DataFrame) -> DataFrame:
 
 def ingest_stream(raw: DataFrame) -> DataFrame:
     """(topic, payload, recv_ts) -> clean topic samples on the server's clock, by day."""
-    batches = M.parse_batches(M.route_messages(raw).filter("lane = 'samples'")).filter("items is not null")
-    rows = Q.correct_timestamps(M.explode_samples(Q.measure_skew(dedup_stream(batches))))
+    batches = M.batch_headers(M.route_messages(raw).filter("lane = 'samples'")).filter("n_items is not null")
+    rows = Q.correct_timestamps(M.explode_samples(M.batch_items(Q.measure_skew(dedup_stream(batches)))))
     return rows.select("robot_id", F.col("sample_topic").alias("topic"), "ts", "recv_ts", "skew_ms", "num",
                        F.col("value").alias("payload"), "flag", "clamped", F.to_date("ts").alias("day"))
 
