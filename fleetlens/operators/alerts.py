@@ -44,14 +44,26 @@ def rules_x_robots(rules: DataFrame, robots: DataFrame) -> DataFrame:
     return names.join(broadcast_if_small(scoped), "scope").drop("scope")
 
 
-def field_subjects(state: DataFrame) -> DataFrame:
-    """State rows -> (robot, ts, source, key, num, raw), one row per rule-addressable field."""
-    entries = [F.struct(F.lit(f).alias("key"), F.col(f).alias("num"), F.col(f).cast("string").alias("raw"))
-               for f in NUMERIC_FIELDS]
+def watched_fields(rules: DataFrame) -> list[str]:
+    """State fields some rule looks at; never more than there are fields."""
+    known = rules.filter((F.col("source") == "field") & F.col("key").isin([*NUMERIC_FIELDS, "state", "errors"]))
+    return sorted(r.key for r in known.select("key").distinct().collect())
+
+
+def field_subjects(state: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """State rows -> (robot, ts, source, key, num, raw), one row per rule-addressable field.
+
+    ``only`` keeps the fields rules watch, so that the others are never unpivoted.
+    """
+    entries = {f: F.struct(F.lit(f).alias("key"), F.col(f).alias("num"), F.col(f).cast("string").alias("raw"))
+               for f in NUMERIC_FIELDS}
     count = F.when(F.col("errors") == "", 0).otherwise(F.size(F.split("errors", ","))).cast("double")
-    entries += [F.struct(F.lit("state").alias("key"), F.lit(None).cast("double").alias("num"), F.col("state").alias("raw")),
-                F.struct(F.lit("errors").alias("key"), count.alias("num"), count.cast("string").alias("raw"))]
-    rows = state.select("robot_id", "ts", "event_id", F.lit("field").alias("source"), F.explode(F.array(*entries)).alias("_e"))
+    entries["state"] = F.struct(F.lit("state").alias("key"), F.lit(None).cast("double").alias("num"), F.col("state").alias("raw"))
+    entries["errors"] = F.struct(F.lit("errors").alias("key"), count.alias("num"), count.cast("string").alias("raw"))
+    picked = [e for f, e in entries.items() if only is None or f in only]
+    if not picked:
+        return field_subjects(state).limit(0)
+    rows = state.select("robot_id", "ts", "event_id", F.lit("field").alias("source"), F.explode(F.array(*picked)).alias("_e"))
     return rows.select("robot_id", "ts", "event_id", "source", "_e.key", "_e.num", "_e.raw")
 
 
@@ -274,14 +286,16 @@ def alert_log(intervals: DataFrame, rules: DataFrame, names: DataFrame) -> DataF
         F.col("value2"), F.col("rule_name"), F.col("severity"), F.col("op"), F.col("text_value"), F.col("message_template")))
 
 
-def notification_outbox(log: DataFrame, repeats: DataFrame, channels: list[str]) -> DataFrame:
+def notification_outbox(log: DataFrame, repeats: DataFrame, rules: DataFrame, channels: list[str]) -> DataFrame:
     """One row per (notification, accepted channel). Resolutions go out for critical rules only."""
-    fired = log.select("rule_id", "robot_id", F.col("started_at").alias("ts"), F.lit("fired").alias("reason"))
+    over = (F.col("severity") == "critical") & F.col("resolved_at").isNotNull()
+    notes = F.array(F.struct(F.col("started_at").alias("ts"), F.lit("fired").alias("reason")),
+                    F.when(over, F.struct(F.col("resolved_at").alias("ts"), F.lit("resolved").alias("reason"))))
+    told = log.select("rule_id", "robot_id", F.explode(F.array_compact(notes)).alias("n")).select(
+        "rule_id", "robot_id", "n.ts", "n.reason")
     again = repeats.select("rule_id", "robot_id", "ts", F.lit("repeat").alias("reason"))
-    over = log.filter("severity = 'critical' and resolved_at is not null").select(
-        "rule_id", "robot_id", F.col("resolved_at").alias("ts"), F.lit("resolved").alias("reason"))
-    about = broadcast_if_small(log.select("rule_id", "rule_name", "severity", "channels").distinct())
-    rows = fired.unionByName(again).unionByName(over).join(about, "rule_id")
+    about = broadcast_if_small(rules.select("rule_id", "rule_name", "severity", "channels"))
+    rows = told.unionByName(again).join(about, "rule_id")
     enabled = F.array(*[F.lit(c) for c in channels])
     wanted = F.array_intersect(F.coalesce("channels", enabled), enabled)
     resolved = F.col("reason") == "resolved"

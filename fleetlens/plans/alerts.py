@@ -9,6 +9,7 @@ from fleetlens.plans.history import TELEMETRY_SQL, robot_slices, telemetry
 from fleetlens.plans.live import TIMELINE_SQL, timeline
 from fleetlens.plans.params import AS_OF
 from fleetlens.plans.suite import Suite, Tables
+from fleetlens.session import cut_lineage
 
 SUITE = Suite()
 q = SUITE.query
@@ -99,7 +100,9 @@ HIT_SQL = f"""{SUBJECT_SQL}, {RULES_SQL}, bound as (
 
 
 def bound(t: Tables):
-    return A.with_hits(A.bind_rules(subjects(t), rules(t)))
+    r = rules(t)
+    watched = A.field_subjects(telemetry(t), A.watched_fields(r)).unionByName(A.topic_subjects(t.view("fx_samples")))
+    return A.with_hits(A.bind_rules(watched, r))
 
 
 @q("rule_predicate", f"with {HIT_SQL} select rule_id, robot_id, event_id, hit, hold from steps")
@@ -169,9 +172,9 @@ LOG_SQL = f"""{WALK_SQL}, {NAMES_SQL}, log as (select i.*, r.rule_name, r.severi
    from intervals i join rules r on i.rule_id = r.rule_id join names using (robot_id))"""
 
 
-def log(t: Tables):
+def log(t: Tables, rows=None):
     names = t.view("fx_robots").select(F.col("id").alias("robot_id"), F.col("name").alias("robot_name"))
-    return A.alert_log(intervals(t), rules(t), names)
+    return A.alert_log(A.alert_intervals(bound(t) if rows is None else rows, robot_slices(t)), rules(t), names)
 
 
 @q("alert_log", f"""with {LOG_SQL} select rule_id, robot_id, rule_name, severity, message, value, started_at, resolved_at from log""")
@@ -196,8 +199,9 @@ def alert_message(t: Tables):
      case when reason = 'resolved' then 'white_check_mark' when severity = 'critical' then 'rotating_light' else 'warning' end as tag
    from sent where channel in ('push', 'ntfy', 'email')""")
 def notification_outbox(t: Tables):
-    rows = bound(t)
-    return A.notification_outbox(log(t), A.reminders(rows, robot_slices(t)), CHANNELS)
+    # intervals and reminders read the same bound rows: write them once
+    rows = cut_lineage(bound(t))
+    return A.notification_outbox(log(t, rows), A.reminders(rows, robot_slices(t)), rules(t), CHANNELS)
 
 
 @q("describe_rule", f"""with {RULES_SQL}, hit as (select rule_name, rule_id % 8 as k, case when op = 'offline' then 'offline for more than 60s'
