@@ -15,7 +15,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("name,exchanges", [
     ("history_bucketed", 1), ("topic_bucketed", 1), ("locf_state", 1), ("gap_stats", 1), ("catalog", 1), ("presence_timeline", 1),
-    ("relay_sample", 1), ("rule_predicate", 1), ("topic_profile", 1), ("secret_scan", 0), ("flatten_messages", 0),
+    ("relay_sample", 1), ("rule_predicate", 1), ("last_n_trail", 1), ("topic_profile", 1), ("secret_scan", 0), ("flatten_messages", 0),
     ("history_raw", 0), ("explode_samples", 0)])
 def test_shuffles(spark, name, exchanges):
     text = plan(entry.queries()[name](spark, SMALL))
@@ -28,7 +28,7 @@ def test_small_sides_are_broadcast_equality_joins(spark, name):
     assert "BroadcastHashJoin" in plan(entry.queries()[name](spark, SMALL))
 
 
-@pytest.mark.parametrize("name", ["last_n_trail", "overflow_kept", "dedup_batches"])
+@pytest.mark.parametrize("name", ["overflow_kept", "dedup_batches"])
 def test_rank_limits_run_before_the_shuffle(spark, name):
     assert plan(entry.queries()[name](spark, SMALL)).count("WindowGroupLimit") >= 2
 
