@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import micros
-from fleetlens.operators.history import time_literal
 from fleetlens.operators.sequence import Slices, drop_slice, running, scan
 from fleetlens.session import broadcast_if_small
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions.scalars import micros
 from fleetlens.operators import presence as P
 from fleetlens.operators import relay as R
 from fleetlens.operators.sequence import plan_slices_once
@@ -139,7 +140,7 @@ def topic_profile(t: Tables):
 @q("topic_profile_binary", """with c as (select topic, ts, event_id, octet_length(payload) as n, try(decode(payload)) is null as bad from fx_payloads)
    select topic, count(*) as samples, round(avg(n), 6) as avg_bytes, bool_or(bad) as is_binary from c group by 1""")
 def topic_profile_binary(t: Tables):
-    slices = plan_slices_once(t.path + "|payload", t.view("fx_payloads"), ["topic"], P.micros("ts"))
+    slices = plan_slices_once(t.path + "|payload", t.view("fx_payloads"), ["topic"], micros("ts"))
     return R.topic_profile(t.view("fx_payloads"), ["topic"], binary=~F.is_valid_utf8("payload"), slices=slices).select(
         "topic", "samples", "avg_bytes", "is_binary")
 

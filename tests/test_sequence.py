@@ -13,7 +13,6 @@ from fleetlens.operators import relay as R
 from fleetlens.operators import state as S
 from fleetlens.operators import storage as ST
 from fleetlens.operators.sequence import lag, last_known, lead, next_known, plan_slices, running, scan
-from fleetlens.plans.alerts import rules
 
 ORDER = ["ts", "event_id"]
 
