@@ -87,7 +87,7 @@ def main(argv: list[str]) -> int:
 
     sf = os.environ.get("SF", "0.01")
     path = f"{TESTDATA}/sf{sf}"
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
     builders, sql = entry.queries(), entry.oracle_sql()

@@ -16,7 +16,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from fleetlens.session import build_session
 
-    session = build_session("local[8]")
+    session = build_session("local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
