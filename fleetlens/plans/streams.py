@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts as A
-from fleetlens.functions.scalars import from_micros
 from fleetlens.plans.alerts import WALK_SQL, rules
 from fleetlens.plans.history import CATALOG_SQL, TELEMETRY_SQL
 from fleetlens.plans.ingest import CORRECT_SQL, DEDUP_SQL
@@ -43,37 +42,36 @@ def batch_messages(t: Tables) -> DataFrame:
     return J.read_stream(t.spark, path, rows, files_per_trigger=4)
 
 
-@q("stream_dedup_batches", f"with {DEDUP_SQL} select robot_id, boot, seq, cast(len(items) as int) as n from k")
+@q("stream_dedup_batches", f"with {DEDUP_SQL} select topic, robot_id, recv_ts, boot, seq, cast(len(items) as int) as n from k")
 def stream_dedup_batches(t: Tables):
     out = J.dedup_stream(M.batch_headers(M.route_messages(batch_messages(t))))
-    path = J.run_once(out.select("robot_id", "boot", "seq", F.col("n_items").alias("n")), "dedup")
+    path = J.run_once(out.select("topic", "robot_id", "recv_ts", "boot", "seq", F.col("n_items").alias("n")), "dedup", idle_batches=False)
     return t.spark.read.parquet(path)
 
 
-@q("stream_ingest", f"""with {CORRECT_SQL} select robot_id, i->>'$[0]' as topic, count(*) as samples,
-   count(*) filter (clamped) as clamped from c group by 1, 2""")
+@q("stream_ingest", f"""with {CORRECT_SQL} select robot_id, i->>'$[0]' as topic, recv_ts, clamped, cast(i->>'$[3]' as int) as flag,
+   case when i->>'$[2]' = 'true' then 1.0 when i->>'$[2]' = 'false' then 0.0 else cast(i->>'$[2]' as double) end as num,
+   make_timestamp(case when clamped then recv_us else stamp end) as ts from c""")
 def stream_ingest(t: Tables):
-    path = J.run_once(J.ingest_stream(batch_messages(t)), "samples", ["day"])
-    return t.spark.read.parquet(path).groupBy("robot_id", "topic").agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if("clamped").alias("clamped"))
+    path = J.run_once(J.ingest_stream(batch_messages(t)), "samples", ["day"], idle_batches=False)
+    return t.spark.read.parquet(path).select("robot_id", "topic", "recv_ts", "clamped", "flag", "num", "ts")
 
 
 @q("stream_tumbling_counts", """select robot_id, make_timestamp(ts_us - ts_us % 86400000000) as ts, count(*) as samples,
    round(avg(num), 6) as num from fx_samples group by 1, 2""")
 def stream_tumbling_counts(t: Tables):
-    path = J.run_updates(J.tumbling_counts(live(t).view("fx_samples"), "1 day"), "tumbling")
-    return J.newest_version(t.spark.read.parquet(path), ["robot_id", "ts"])
+    path = J.run_parts(live(t).view("fx_samples"), "tumbling", lambda rows: J.tumbling_counts(rows, "1 day"))
+    return J.sum_parts(t.spark.read.parquet(path).drop("b"))
 
 
-@q("stream_activity_sessions", f"""with g as (select robot_id, ts, ts_us, case when ts_us - lag(ts_us) over w < {OUTAGE_S * 1000000} then 0 else 1 end as new
+@q("stream_activity_sessions", f"""with g as (select robot_id, event_id, ts, ts_us, case when ts_us - lag(ts_us) over w < {OUTAGE_S * 1000000} then 0 else 1 end as new
      from fx_samples window w as (partition by robot_id order by ts, event_id)),
-   s as (select robot_id, ts, ts_us, sum(new) over (partition by robot_id order by ts) as n from g),
-   c as (select robot_id, count(*) as samples, min(ts) as first_ts, max(ts) as last_ts, max(ts_us) as last_us from s group by robot_id, n)
-   select robot_id, samples, first_ts, last_ts from c
-   where last_us + {OUTAGE_S * 1000000} <= (select floor(max(ts_us) / 1000.0e0) * 1000 from fx_samples) - {J.LATENESS_S * 1000000}""")
+   s as (select robot_id, ts, sum(new) over (partition by robot_id order by ts, event_id) as n from g)
+   select robot_id, count(*) as samples, min(ts) as first_ts, max(ts) as last_ts from s group by robot_id, n""")
 def stream_activity_sessions(t: Tables):
-    """Sessions the watermark has closed; younger ones may still grow."""
-    return t.spark.read.parquet(J.run_once(J.activity_sessions(live(t).view("fx_samples"), f"{OUTAGE_S} seconds"), "sessions"))
+    """All sessions, the ones that may still grow included."""
+    path = J.run_parts(live(t).view("fx_samples"), "sessions", lambda rows: J.activity_stretches(rows, f"{OUTAGE_S} seconds"))
+    return J.join_stretches(t.spark.read.parquet(path).drop("b"), OUTAGE_S)
 
 
 @q("stream_relay_sample", f"with {RELAY_SQL} select event_id, robot_id, topic, decision from walk")
@@ -87,17 +85,13 @@ def stream_locf_state(t: Tables):
     return t.spark.read.parquet(J.run_once(J.state_stream(live(t).view("fx_status")), "state"))
 
 
-@q("stream_presence", f"""with {TIMELINE_SQL}, l as (select robot_id, max(at_us) as last_us from sig group by 1)
-   select robot_id, presence, before, start_ts from timeline join l using (robot_id) where epoch_us(start_ts) <= last_us""")
+@q("stream_presence", f"""with {TIMELINE_SQL} select robot_id, presence, before, start_ts from timeline""")
 def stream_presence(t: Tables):
+    """The timeline of a live job, the silence that timers report included, as far as AS_OF."""
     s = live(t)
     data, lwt = s.view("fx_status"), s.view("fx_lwt")
     path = J.run_once(J.presence_stream(data, lwt, disorder="2 hours", **LIMITS), "presence")
-    known = J.signals(t.view("fx_status"), t.view("fx_lwt"))
-    as_of = F.unix_micros(F.lit(AS_OF).cast("timestamp"))
-    last = known.filter(F.col("at_us") <= as_of).groupBy("robot_id").agg(F.max("at_us").alias("last_us"))
-    rows = t.spark.read.parquet(path).join(last, "robot_id").filter("at_us <= last_us")
-    return rows.select("robot_id", "presence", "before", from_micros("at_us").alias("start_ts"))
+    return J.open_tail(t.spark.read.parquet(path), J.signals(t.view("fx_status"), t.view("fx_lwt")), AS_OF, **LIMITS)
 
 
 @q("stream_alerts", f"with {WALK_SQL} select rule_id, robot_id, ts, num, mark from walk where mark is not null")

@@ -8,19 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from fleetlens.functions.scalars import micros
+from fleetlens.functions.scalars import from_micros, micros
 from fleetlens.operators import quality as Q
-from fleetlens.operators.presence import OFFLINE_AFTER_S, STALE_AFTER_S, signals
+from fleetlens.operators.presence import OFFLINE_AFTER_S, STALE_AFTER_S, decide, signals
 from fleetlens.operators.relay import HEARTBEAT_S, MAX_RATE_HZ
 from fleetlens.sources import messages as M
 from fleetlens.sources import sinks as K
 from fleetlens.streaming import processors as P
 
-REDELIVERY_WINDOW = "10 minutes"
-#: Oldest backfill, plus the furthest future row, plus a minute of arrival disorder.
-LATENESS_S = int(Q.MAX_BACKFILL_S + Q.MAX_FUTURE_S) + 60
-LATENESS = f"{LATENESS_S} seconds"
+#: How long a delivered sequence number is remembered: as long as the oldest backfill may take to come.
+REMEMBER_S = int(Q.MAX_BACKFILL_S)
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -28,43 +27,34 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def run_once(df: DataFrame, name: str, partition_by: list[str] = ()) -> str:
-    """Process everything available, then stop; returns the folder with the result."""
-    spark = df.sparkSession
-    path = K.scratch_path(spark, name)
-    writer = (df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
-              .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True))
-    (writer.partitionBy(*partition_by) if partition_by else writer).start().awaitTermination()
-    return f"{path}/data"
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def run_updates(df: DataFrame, name: str) -> str:
-    """Like ``run_once`` for updated aggregates: each micro-batch adds its version of the rows.
+def run_once(df: DataFrame, name: str, partition_by: list[str] = (), idle_batches: bool = True) -> str:
+    """Process everything available, then stop; returns the folder with the result.
 
-    A retried batch overwrites its own folder, so replays change nothing.
+    ``idle_batches=False`` leaves out batches without rows, which state with a time to live asks for without end.
     """
-    path = K.scratch_path(df.sparkSession, name)
-
-    def keep(rows: DataFrame, batch_id: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/data/b={batch_id}")
-
-    (df.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep)
-     .trigger(availableNow=True).start().awaitTermination())
+    spark = df.sparkSession
+    path = K.scratch_path(spark, name)
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    try:
+        writer = (df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
+                  .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True))
+        running = (writer.partitionBy(*partition_by) if partition_by else writer).start()
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
+    running.awaitTermination()
     return f"{path}/data"
 
 
-def newest_version(df: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in (*keys, "batch_id", "b")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("n")).select(*keys, "n.*")
-
-
 # ------------------------------------------------------------------ ingest
 
-def dedup_stream(batches: DataFrame) -> DataFrame:
-    """First delivery of each (robot, boot, seq); batches without them pass."""
-    timed = batches.withColumn("recv_ts", F.col("recv_ts").cast("timestamp")).withWatermark("recv_ts", REDELIVERY_WINDOW)
-    versioned = timed.filter("boot is not null and seq is not null").dropDuplicatesWithinWatermark(["robot_id", "boot", "seq"])
-    return versioned.unionByName(timed.filter("boot is null or seq is null"))
+def dedup_stream(batches: DataFrame, remember_s: float = REMEMBER_S) -> DataFrame:
+    """First delivery of each (robot, boot, seq); batches without them pass, and no batch is too late to pass."""
+    return batches.groupBy("robot_id", "boot").transformWithState(
+        P.FirstDelivery(batches.columns, int(remember_s * 1000)), batches.schema, "Append", "ProcessingTime")
 
 
 def ingest_stream(raw: DataFrame) -> DataFrame:
@@ -82,21 +72,54 @@ def status_stream(raw: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ windows
 
 def tumbling_counts(samples: DataFrame, width: str) -> DataFrame:
-    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
-    out = timed.groupBy("robot_id", F.window("ts", width).alias("_w")).agg(
-        F.count(F.lit(1)).alias("samples"), F.round(F.avg("num"), 6).alias("num"))
-    return out.select("robot_id", F.col("_w.start").cast("timestamp_ntz").alias("ts"), "samples", "num")
-
-
-def activity_sessions(samples: DataFrame, gap: str) -> DataFrame:
-    """Stretches of activity per robot; the silence between two of them is an outage."""
-    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
-    out = timed.groupBy("robot_id", F.session_window("ts", gap).alias("_w")).agg(
-        F.count(F.lit(1)).alias("samples"), F.min("ts").cast("timestamp_ntz").alias("first_ts"),
-        F.max("ts").cast("timestamp_ntz").alias("last_ts"))
+    """Sums per robot, window and arriving micro-batch part; add parts with ``sum_parts``.
+
+    There is no watermark, so a row of any age counts. Window state would have to be kept for ever then; instead
+    every micro-batch writes what it adds (see ``run_parts``) and reading adds the parts up.
+    """
+    out = samples.groupBy("robot_id", F.window(F.col("ts").cast("timestamp"), width).alias("_w")).agg(
+        F.count(F.lit(1)).alias("samples"), F.count("num").alias("_numbers"), F.sum("num").alias("_sum"))
+    return out.select("robot_id", F.col("_w.start").cast("timestamp_ntz").alias("ts"), "samples", "_numbers", "_sum")
+
+
+def sum_parts(parts: DataFrame) -> DataFrame:
+    """The counts and means of everything that has arrived."""
+    return parts.groupBy("robot_id", "ts").agg(
+        F.sum("samples").alias("samples"), F.round(F.sum("_sum") / F.nullif(F.sum("_numbers"), F.lit(0)), 6).alias("num"))
+
+
+def run_parts(df: DataFrame, name: str, reduce) -> str:
+    """Write ``reduce(rows)`` of every micro-batch; a retried batch overwrites its own part."""
+    path = K.scratch_path(df.sparkSession, name)
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        reduce(rows).write.mode("overwrite").parquet(f"{path}/data/b={batch_id}")
+
+    (df.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True)
+     .start().awaitTermination())
+    return f"{path}/data"
+
+
+def activity_stretches(samples: DataFrame, gap: str) -> DataFrame:
+    """Stretches of activity per robot in one micro-batch; ``join_stretches`` makes sessions of all of them."""
+    out = samples.groupBy("robot_id", F.session_window(F.col("ts").cast("timestamp"), gap).alias("_w")).agg(
+        F.count(F.lit(1)).alias("samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return out.select("robot_id", "samples", "first_ts", "last_ts")
 
 
+def join_stretches(parts: DataFrame, gap_s: int) -> DataFrame:
+    """Sessions per robot, the ones still open included: stretches less than ``gap_s`` apart are one.
+
+    The silence between two sessions is an outage. Late rows join the sessions they belong to, however old.
+    """
+    order = W.partitionBy("robot_id").orderBy("first_ts", "last_ts")
+    ends = F.max(micros("last_ts")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce(micros("first_ts") - ends >= gap_s * 1_000_000, F.lit(True)).cast("int")
+    rows = parts.withColumn("_new", new).withColumn("_n", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy("robot_id", "_n").agg(F.sum("samples").alias("samples"), F.min("first_ts").alias("first_ts"),
+                                              F.max("last_ts").alias("last_ts")).drop("_n")
+
+
 # ------------------------------------------------------------------ keyed state
 
 def relay_stream(samples: DataFrame, min_gap_s: float = 1 / MAX_RATE_HZ, heartbeat_s: float = HEARTBEAT_S,
@@ -119,6 +142,30 @@ def presence_stream(data: DataFrame, lwt: DataFrame, offline_after_s: float = OF
         P.PresenceProcessor(offline_after_s, stale_after_s), P.PRESENCE_OUT, "Append", "EventTime")
 
 
+def open_tail(changes: DataFrame, known: DataFrame, as_of: str, offline_after_s: float = OFFLINE_AFTER_S,
+              stale_after_s: float = STALE_AFTER_S) -> DataFrame:
+    """Changes that the stream has reported, completed by the silence after each robot's last signal.
+
+    Timers fire when later rows move the clock on, so at the end of the input some have not fired yet. What silence
+    does until ``as_of`` follows from the last signals alone; reported timer rows are replaced by it.
+    """
+    at = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    last = known.filter(F.col("at_us") <= at).groupBy("robot_id").agg(
+        F.max("at_us").alias("last_us"), F.max("seen_us").alias("seen_us"),
+        F.max(F.when(F.col("up").isNotNull(), F.struct("at_us", "event_id", "up"))).alias("link"))
+    reported = changes.join(last.select("robot_id", "last_us"), "robot_id").filter("at_us <= last_us")
+    up, seen = F.coalesce(F.col("link.up"), F.lit(True)), F.col("seen_us")
+    state = lambda c: F.struct(c.alias("at_us"), decide(c, seen, up, F.col("link.at_us"), offline_after_s, stale_after_s).alias("p"))
+    cuts = F.filter(F.array(seen + int(offline_after_s * 1e6) + 1, seen + int(stale_after_s * 1e6) + 1),
+                    lambda c: (c > F.col("last_us")) & (c < at))
+    steps = F.concat(F.array(F.col("last_us")), F.coalesce(cuts, F.array().cast("array<bigint>")))
+    rows = last.select("robot_id", F.transform(steps, state).alias("s"))
+    rows = rows.select("robot_id", F.explode(F.zip_with(F.slice("s", 2, 2), F.slice("s", 1, F.size("s") - 1), lambda b, a: F.struct(
+        b["at_us"].alias("at_us"), b["p"].alias("presence"), a["p"].alias("before")))).alias("x")).select("robot_id", "x.*")
+    rows = rows.filter("presence <> before")
+    return reported.select(*rows.columns).unionByName(rows).select("robot_id", "presence", "before", from_micros("at_us").alias("start_ts"))
+
+
 def alert_stream(hits: DataFrame) -> DataFrame:
     """Rows of ``alerts.with_hits`` -> start / repeat / stop marks."""
     rows = hits.select("rule_id", "robot_id", "event_id", "ts", micros("ts").alias("at_us"), "num", "hit", "hold",

@@ -16,6 +16,36 @@ from fleetlens.operators import alerts as A
 from fleetlens.operators.presence import OFFLINE, OK, STALE, UNKNOWN
 from fleetlens.operators.relay import SENT, sampler
 
+SEQ = T.StructType([T.StructField("seq", T.LongType())])
+SEEN = T.StructType([T.StructField("recv_us", T.LongType())])
+
+
+class FirstDelivery(StatefulProcessor):
+    """First delivery of each sequence number per (robot, boot); rows without a boot or number pass.
+
+    Numbers are remembered for ``keep_ms`` after they were first seen. Nothing is dropped for being late: a batch
+    goes only if its number is remembered. Inside a micro-batch the earliest arrival wins, then the lesser topic.
+    """
+
+    def __init__(self, columns: list[str], keep_ms: int):
+        self._columns, self._keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getMapState("seen", SEQ, SEEN, self._keep_ms)
+        self._row = Row(*self._columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: (r.recv_us, r.topic)):
+            if key[1] is not None and r.seq is not None:
+                if self._seen.containsKey((r.seq,)):
+                    continue
+                self._seen.updateValue((r.seq,), (r.recv_us,))
+            yield self._row(*[r[c] for c in self._columns])
+
+    def close(self) -> None:
+        pass
+
+
 RELAY_OUT = T.StructType([
     T.StructField("robot_id", T.StringType()), T.StructField("topic", T.StringType()),
     T.StructField("event_id", T.LongType()), T.StructField("decision", T.StringType())])

@@ -1,13 +1,18 @@
 """Streams fed in several micro-batches give the batch result."""
 
+import time
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import micros
 from fleetlens.operators import history as H
 from fleetlens.operators import presence as P
+from fleetlens.operators import quality as Q
 from fleetlens.operators import relay as R
 from fleetlens.operators import state as S
+from fleetlens.sources import messages as M
 from fleetlens.sources import sinks as K
 from fleetlens.streaming import jobs as J
 from fleetlens.streaming.processors import STATE_FIELDS
@@ -88,9 +93,54 @@ def test_catalog(spark, tables, feed):
     assert len(K.list_children(spark, root)) == 4
 
 
+@pytest.fixture(scope="module")
+def newest_first(spark):
+    """A view as files that arrive newest first, each in descending order."""
+
+    def make(rows, order, files=5):
+        path = K.scratch_path(spark, "newest-first")
+        cut = rows.withColumn("_p", F.ntile(files).over(Window.orderBy(F.col(order).desc())))
+        for i in range(1, files + 1):
+            cut.filter(F.col("_p") == i).drop("_p").coalesce(1).orderBy(F.col(order).desc()).write.mode("append").parquet(path)
+            time.sleep(1.1)  # file sources take files in order of their time stamps
+        return J.read_stream(spark, path, rows)
+
+    return make
+
+
+def test_late_batches_are_never_lost(spark, tables, newest_first):
+    raw = tables.view("fx_batches").select("topic", "payload", "recv_ts")
+    got = spark.read.parquet(J.run_once(J.ingest_stream(newest_first(raw, "recv_ts")), "late", idle_batches=False))
+    batches = M.batch_headers(M.route_messages(raw))
+    want = M.explode_samples(M.batch_items(Q.measure_skew(Q.dedup_batches(batches))))
+    assert got.count() == want.count()
+    key = lambda df, topic: sorted(map(tuple, df.select("robot_id", topic, "num").collect()), key=repr)
+    assert key(got, "topic") == key(want, "sample_topic")
+
+
+def test_first_copy_wins_inside_a_micro_batch(spark, tables, newest_first):
+    raw = tables.view("fx_batches").select("topic", "payload", "recv_ts")
+    got = spark.read.parquet(J.run_once(J.ingest_stream(newest_first(raw, "recv_ts", files=1)), "reversed", idle_batches=False))
+    batches = M.batch_headers(M.route_messages(raw))
+    want = Q.correct_timestamps(M.explode_samples(M.batch_items(Q.measure_skew(Q.dedup_batches(batches)))))
+    key = lambda df, topic: sorted(map(tuple, df.select("robot_id", topic, "ts", "num", "recv_ts").collect()), key=repr)
+    assert key(got, "topic") == key(want, "sample_topic")
+
+
+def test_windows_and_sessions_count_late_rows(spark, tables, newest_first):
+    samples = tables.view("fx_samples")
+    path = J.run_parts(newest_first(samples, "ts"), "late-counts", lambda rows: J.tumbling_counts(rows, "1 day"))
+    assert J.sum_parts(spark.read.parquet(path).drop("b")).agg(F.sum("samples")).first()[0] == samples.count()
+    gap = 36 * 3600
+    path = J.run_parts(newest_first(samples, "ts"), "late-sessions", lambda rows: J.activity_stretches(rows, f"{gap} seconds"))
+    got = J.join_stretches(spark.read.parquet(path).drop("b"), gap)
+    whole = J.join_stretches(samples.select("robot_id", F.lit(1).cast("long").alias("samples"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts")), gap)
+    assert same(got, whole)
+
+
 def test_tumbling(spark, tables, feed):
-    path = J.run_updates(J.tumbling_counts(feed("fx_samples"), "1 day"), "tumbling")
-    got = J.newest_version(spark.read.parquet(path), ["robot_id", "ts"])
+    path = J.run_parts(feed("fx_samples"), "tumbling", lambda rows: J.tumbling_counts(rows, "1 day"))
+    got = J.sum_parts(spark.read.parquet(path).drop("b"))
     want = tables.view("fx_samples").groupBy("robot_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(
         F.count(F.lit(1)).alias("samples"), F.round(F.avg("num"), 6).alias("num"))
     assert same(got, want)
