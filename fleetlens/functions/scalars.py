@@ -36,7 +36,7 @@ def decimal_text(c) -> Column:
 
 
 def to_numeric(c) -> Column:
-    """Best-effort number: boolean words become 0/1, text up to 32 characters is parsed."""
+    """A double for yes/no words (1 and 0) and short decimal texts, null for anything else."""
     text = strip(c)
     low = F.lower(text)
     return F.when((text != "") & (F.length(text) <= NUMBER_TEXT_MAX),

@@ -29,17 +29,20 @@ def _newlines(text: Column) -> Column:
 
 
 def _findings(text: Column, label: str, pattern: str) -> Column:
-    """Matches of one pattern with their line; the text around them gives the line numbers."""
+    """Matches of one pattern with their line: newlines before a match are counted up from match to match."""
     pattern = f"(?U){pattern}"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    found = F.transform(hits, lambda hit, i: F.struct(
-        F.lit(label).alias("label"), hit.alias("hit"),
-        (F.lit(1) + _newlines(F.array_join(F.slice(gaps, 1, i + 1), "")) + _newlines(
-            F.array_join(F.slice(hits, 1, i), ""))).alias("line")))
+    pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
     none = F.array().cast("array<struct<label:string,hit:string,line:int>>")
+
+    def place(state: Column, x: Column) -> Column:
+        line = state["line"] + _newlines(x["gap"])
+        found = F.struct(F.lit(label).alias("label"), x["hit"].alias("hit"), line.alias("line"))
+        return F.struct((line + _newlines(x["hit"])).alias("line"), F.concat(state["out"], F.array(found)).alias("out"))
+
+    found = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.struct(F.lit(1).alias("line"), none.alias("out")), place)["out"]
     needle = NEEDLES.get(label)
-    possible = text.rlike(pattern) if needle is None else text.contains(needle) & text.rlike(pattern)
+    possible = text.rlike(pattern) if needle is None else text.contains(needle)
     return F.when(possible, found).otherwise(none)
 
 

@@ -37,7 +37,7 @@ def topic_matches(topic, topic_filter: str, guard_system: bool = True) -> Column
 
 
 def should_relay(topic, include: list[str], exclude: list[str]) -> Column:
-    """Exclude wins; an empty include list means everything."""
+    """True for topics that some ``include`` filter and no ``exclude`` filter matches; without ``include`` all count."""
     def hits(filters):
         found = F.lit(False)
         for f in filters:

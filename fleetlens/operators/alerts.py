@@ -72,12 +72,16 @@ def topic_subjects(samples: DataFrame) -> DataFrame:
                           F.coalesce(F.col("num").cast("string"), F.col("payload")).alias("raw"))
 
 
+def _in_scope(rows: DataFrame) -> DataFrame:
+    """A row answers to its own robot and to the wildcard, so scope is part of a join's key."""
+    return rows.withColumn("scope", F.explode(F.array(F.lit(ANY_ROBOT), F.col("robot_id"))))
+
+
 def bind_rules(subjects: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rule columns beside every subject row they watch (equality on source and key)."""
-    picked = rules.select("rule_id", "scope", "source", "key", "op", F.col("value").alias("limit"), F.col("value2").alias("limit2"),
+    """Rule columns beside every subject row they watch (equality on source, key and scope)."""
+    picked = rules.select("rule_id", F.coalesce("scope", F.lit(ANY_ROBOT)).alias("scope"), "source", "key", "op", F.col("value").alias("limit"), F.col("value2").alias("limit2"),
                           "text_value", "for_seconds", "clear_value", "severity", "cooldown_min")
-    joined = subjects.join(broadcast_if_small(picked), ["source", "key"])
-    return joined.filter(F.col("scope").isNull() | (F.col("scope") == F.col("robot_id"))).drop("scope")
+    return _in_scope(subjects).join(broadcast_if_small(picked), ["source", "key", "scope"]).drop("scope")
 
 
 def predicate(op="op", num="num", raw="raw", limit="limit", limit2="limit2", text="text_value") -> Column:
@@ -176,17 +180,19 @@ def _strict_intervals(rows: DataFrame, slices: Slices | None) -> DataFrame:
         F.col("num").alias("value"), "raw")
 
 
-def presence_intervals(timeline: DataFrame, rules: DataFrame) -> DataFrame:
+def presence_intervals(timeline: DataFrame, rules: DataFrame, slices: Slices | None = None) -> DataFrame:
     """Alerts of the offline / stale ops: presence runs that outlast the hold time."""
     picked = rules.filter(F.col("op").isin("offline", "stale")).withColumn(
         "presence", F.when(F.col("op") == "stale", F.array(F.lit(P.STALE)))
         .otherwise(F.array(F.lit(P.UNKNOWN), F.lit(P.STALE), F.lit(P.OFFLINE))))
-    picked = picked.select("rule_id", "scope", "for_seconds", F.explode("presence").alias("presence"))
-    hits = timeline.join(broadcast_if_small(picked), "presence").filter("scope is null or scope = robot_id")
+    picked = picked.select("rule_id", F.coalesce("scope", F.lit(ANY_ROBOT)).alias("scope"), "for_seconds", F.explode("presence").alias("presence"))
+    hits = _in_scope(timeline).join(broadcast_if_small(picked), ["presence", "scope"]).drop("scope")
     hits = hits.withColumns({"_a": micros("start_ts"), "_b": micros("end_ts")})
+    if slices is not None:
+        hits = slices.assign(hits, F.col("_a"))
     # touching pieces (stale, then offline) form one run
     hits = scan(hits, KEYS, ["_a"], {"_prev_end": lag("_b")})
-    hits = scan(hits, KEYS, ["_a"], {"_run": running(F.coalesce((F.col("_prev_end") != F.col("_a")).cast("int"), F.lit(1)))})
+    hits = drop_slice(scan(hits, KEYS, ["_a"], {"_run": running(F.coalesce((F.col("_prev_end") != F.col("_a")).cast("int"), F.lit(1)))}))
     runs = hits.groupBy(*KEYS, "_run", "for_seconds").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.bool_or("current").alias("open"))
     fire = F.col("_a") + F.round(F.col("for_seconds") * 1e6).cast("long")
     return runs.filter(fire < F.col("_b")).select(

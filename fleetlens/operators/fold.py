@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.sequence import SLICE, Slices
-from fleetlens.session import cut_lineage
+from fleetlens.session import broadcast_if_small, cut_lineage
 
 Step = Callable[[tuple | None, tuple], tuple[tuple | None, tuple]]
 
@@ -40,7 +40,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], st
 def _settle(rows, keys, order, inputs, step, state, slices) -> DataFrame:
     """Entry state per (key, slice) of the cut keys; all other keys have one slice."""
     by = [*keys, SLICE]
-    hot = cut_lineage(rows.join(F.broadcast(slices.hot.select(*slices.keys)), list(slices.keys), "left_semi"))
+    hot = cut_lineage(rows.join(broadcast_if_small(slices.hot.select(*slices.keys)), list(slices.keys), "left_semi"))
     names = [f.name for f in state.fields]
     none = F.lit(None).cast(state)
     known = cut_lineage(hot.select(*by).distinct().withColumns({"entry": none, "exit": none, "stale": F.lit(True)}))

@@ -10,7 +10,6 @@ from fleetlens.operators.sequence import Slices, drop_slice, lag, scan
 from fleetlens.session import broadcast_if_small
 
 # Limits of the query interface.
-HISTORY_LIMIT_MAX = 50_000
 EVENTS_LIMIT_MAX = 5_000
 ALERTS_LIMIT_MAX = 1_000
 AUTO_BUCKET_SPAN_S = 6 * 3600
@@ -28,7 +27,9 @@ def time_literal(text: str) -> Column:
 def scan_archive(df: DataFrame, start: str, end: str, robot_id: str | None = None) -> DataFrame:
     """Rows in [start, end). A ``day`` partition column, when present, is pruned as well."""
     if "day" in df.columns:
-        df = df.filter((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") <= F.lit(end).cast("date")))
+        # the end is exclusive: at midnight its day holds nothing
+        last = F.to_date(time_literal(end) - F.expr("interval 1 microsecond"))
+        df = df.filter((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") <= last))
     df = df.filter((F.col("ts") >= time_literal(start)) & (F.col("ts") < time_literal(end)))
     return df if robot_id is None else df.filter(F.col("robot_id") == robot_id)
 
@@ -42,7 +43,10 @@ def oldest(df: DataFrame, *order: str, limit: int) -> DataFrame:
 
 
 def auto_bucket(start_s: float, end_s: float, limit: int, bucket_s: float | None = None) -> float | None:
-    """Bucket width for a query: given, or derived when the window exceeds six hours."""
+    """Bucket width for a query: given, or derived when the window exceeds six hours.
+
+    ``limit`` is the number of buckets that one robot may have; nothing is cut off.
+    """
     span = end_s - start_s
     if bucket_s is None and span > AUTO_BUCKET_SPAN_S:
         return max(span / limit, 1.0)
@@ -91,12 +95,17 @@ def alerts_by_rule(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("fired"), F.round(F.avg("duration_s"), 1).alias("avg_duration_s"))
 
 
-def incident_window(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    """Samples inside given (robot_id, t0, t1) windows, bounds included."""
-    w = broadcast_if_small(windows.select("incident_id", F.col("robot_id"), "t0", "t1"))
-    return (samples.join(w, "robot_id")
+def incident_window(samples: DataFrame, windows: DataFrame, bin_s: int = 6 * 3600) -> DataFrame:
+    """Samples inside given (robot_id, t0, t1) windows, bounds included.
+
+    Windows are laid out over bins of time, so that a sample meets only the windows near it.
+    """
+    spot = lambda ts: F.floor(micros(ts) / (bin_s * 1_000_000))
+    w = broadcast_if_small(windows.filter("t0 <= t1").select(
+        "incident_id", "robot_id", "t0", "t1", F.explode(F.sequence(spot("t0"), spot("t1"))).alias("_bin")))
+    return (samples.withColumn("_bin", spot("ts")).join(w, ["robot_id", "_bin"])
             .filter(F.col("ts").between(F.col("t0"), F.col("t1")))
-            .withColumn("shown", F.coalesce(F.col("num").cast("string"), F.col("payload"))))
+            .withColumn("shown", F.coalesce(F.col("num").cast("string"), F.col("payload"))).drop("_bin"))
 
 
 def incident_timeline(events: DataFrame, alerts: DataFrame) -> DataFrame:

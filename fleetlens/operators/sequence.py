@@ -14,9 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import cut_lineage
+from fleetlens.session import broadcast_if_small, cut_lineage
 
 TARGET_ROWS = 2_000_000
+#: Slices per key, at most; a larger key gets larger slices.
+MAX_SLICES = 1000
 SLICE = "_slice"
 
 
@@ -64,37 +66,40 @@ def as_micros(column) -> Column:
 class Slices:
     """Cut plan for the keys that are too large for one task.
 
-    ``hot`` holds at most total_rows / target_rows rows: (keys..., _t0, _width).
+    ``hot`` has one row per such key: (keys..., _bounds), the positions at which its slices end. It has at most
+    total rows / target_rows rows; it is broadcast only after a count.
     """
 
     hot: DataFrame
     keys: tuple[str, ...]
 
     def assign(self, df: DataFrame, position: Column) -> DataFrame:
-        hot = F.broadcast(self.hot)
+        # equal positions share a slice; slices follow each other in order of position
+        place = F.size(F.filter("_bounds", lambda b: b < position)).cast("long")
         return (
-            df.join(hot, list(self.keys), "left")
-            .withColumn(SLICE, F.coalesce(F.floor((position - F.col("_t0")) / F.col("_width")), F.lit(0)))
-            .drop("_t0", "_width")
+            df.join(broadcast_if_small(self.hot), list(self.keys), "left")
+            .withColumn(SLICE, F.when(F.col("_bounds").isNull(), F.lit(0).cast("long")).otherwise(place))
+            .drop("_bounds")
         )
 
 
 def plan_slices(df: DataFrame, keys, position: Column, target_rows: int = TARGET_ROWS) -> Slices | None:
-    """Find keys above ``target_rows``; None when every key fits in one task."""
+    """Find keys above ``target_rows`` and cut them at quantiles; None when every key fits in one task.
+
+    Quantiles follow bursts and fractional positions alike. All cut keys get as many slices as the largest needs.
+    Rows at one and the same position cannot be cut apart.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sizes = (
-        df.select(*keys, position.alias("_p"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_t0"), F.max("_p").alias("_t1"))
-        .filter(F.col("_n") > target_rows)
-        .select(
-            *keys,
-            "_t0",
-            F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / target_rows)).alias("_width"),
-        )
-    )
-    hot = cut_lineage(sizes)
-    return None if hot.isEmpty() else Slices(hot, tuple(keys))
+    placed = df.select(*keys, position.alias("_p"))
+    sizes = cut_lineage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows))
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return None
+    parts = min(MAX_SLICES, -(-largest // target_rows))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    hot = placed.join(broadcast_if_small(sizes.select(*keys)), keys, "left_semi").groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx("_p", shares, 10 * MAX_SLICES)).alias("_bounds"))
+    return Slices(cut_lineage(hot), tuple(keys))
 
 
 def scan(
@@ -201,8 +206,12 @@ def _no_hot_keys(app_id: str, tag: str) -> dict:
 
 
 def plan_slices_once(tag: str, df: DataFrame, keys, position: Column, target_rows: int = TARGET_ROWS) -> Slices | None:
-    """``plan_slices`` that remembers, per application, inputs found to have no hot key."""
-    memo = _no_hot_keys(df.sparkSession.sparkContext.applicationId, f"{tag}|{keys}|{target_rows}")
+    """``plan_slices`` that remembers, per application, inputs found to have no hot key.
+
+    An input is known by its files, so a table that has grown is looked at again.
+    """
+    files = hash(tuple(sorted(df.inputFiles())))
+    memo = _no_hot_keys(df.sparkSession.sparkContext.applicationId, f"{tag}|{files}|{keys}|{target_rows}")
     if memo.get("fits"):
         return None
     slices = plan_slices(df, keys, position, target_rows)

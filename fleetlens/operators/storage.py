@@ -93,6 +93,14 @@ def storage_by_file(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes")).orderBy(F.col("bytes").desc()))
 
 
+def storage_by_day(archive: DataFrame) -> DataFrame:
+    """Rows, files and bytes of every day folder of an archive, newest first."""
+    files = archive.select("day", "_metadata.file_path", "_metadata.file_size").groupBy("day", "file_path").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes"))
+    return files.groupBy("day").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"),
+                                    F.sum("bytes").alias("bytes")).orderBy(F.col("day").desc())
+
+
 def bytes_per_row(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).withColumn(
         "bytes_per_row", F.round(F.col("bytes") / F.nullif(F.col("rows"), F.lit(0)), 1))

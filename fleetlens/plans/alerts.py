@@ -128,10 +128,31 @@ WALK_SQL = f"""recursive {HIT_SQL}, walk as (
    intervals as (select rule_id, robot_id, ts as started_at, next_ts as resolved_at, num as value, raw from marks where mark = 'start')"""
 
 
+PRESENCE_SQL = f"""{TIMELINE_SQL}, quiet as (
+   select rule_id, for_seconds, robot_id, epoch_us(start_ts) as a, epoch_us(end_ts) as b, current from timeline
+     join rules on ((op = 'stale' and presence = 'stale') or (op = 'offline' and presence <> 'ok')) and (scope is null or scope = robot_id)),
+   brk as (select *, case when lag(b) over w = a then 0 else 1 end as brk from quiet window w as (partition by rule_id, robot_id order by a)),
+   numbered as (select *, sum(brk) over (partition by rule_id, robot_id order by a) as nr from brk),
+   runs as (select rule_id, robot_id, for_seconds, nr, min(a) as a, max(b) as b, bool_or(current) as open from numbered group by 1, 2, 3, 4),
+   silences as (select rule_id, robot_id, make_timestamp(a + cast(for_seconds * 1e6 as bigint)) as started_at,
+     case when not open then make_timestamp(b) end as resolved_at from runs where a + cast(for_seconds * 1e6 as bigint) < b)"""
+#: Alerts of values and alerts of silence.
+EVERY_SQL = f"""{WALK_SQL}, {PRESENCE_SQL}, every as (select rule_id, robot_id, started_at, resolved_at, value, raw from intervals
+   union all select rule_id, robot_id, started_at, resolved_at, null, null from silences)"""
+
+
 def intervals(t: Tables):
     return A.alert_intervals(bound(t), robot_slices(t))
 
 
+def every_interval(t: Tables, rows=None):
+    """Alerts of rules on values, and of rules on silence."""
+    found = A.alert_intervals(bound(t) if rows is None else rows, robot_slices(t))
+    quiet = A.presence_intervals(timeline(t), rules(t), robot_slices(t)).withColumns({
+        "value": F.lit(None).cast("double"), "raw": F.lit(None).cast("string")})
+    return found.unionByName(quiet)
+
+
 @q("alert_intervals", f"with {WALK_SQL} select * from intervals")
 def alert_intervals(t: Tables):
     return intervals(t)
@@ -142,39 +163,33 @@ def alert_reminders(t: Tables):
     return A.reminders(bound(t), robot_slices(t))
 
 
-@q("active_alerts", f"""with {WALK_SQL} select i.rule_id, robot_id, started_at, i.value, raw, rule_name, severity, resolved_at,
+@q("active_alerts", f"""with {EVERY_SQL} select i.rule_id, robot_id, started_at, i.value, raw, rule_name, severity, resolved_at,
    round((epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(started_at)) / 1e6, 1) as for_s
-   from intervals i join rules r on i.rule_id = r.rule_id where resolved_at is null""")
+   from every i join rules r on i.rule_id = r.rule_id where resolved_at is null""")
 def active_alerts(t: Tables):
-    return A.active_alerts(intervals(t), rules(t), AS_OF)
+    return A.active_alerts(every_interval(t), rules(t), AS_OF)
 
 
-@q("presence_alerts", f"""with {TIMELINE_SQL}, {RULES_SQL}, hit as (
-   select rule_id, for_seconds, robot_id, epoch_us(start_ts) as a, epoch_us(end_ts) as b, current from timeline
-     join rules on (op = 'stale' and presence = 'stale') or (op = 'offline' and presence <> 'ok')),
-   brk as (select *, case when lag(b) over w = a then 0 else 1 end as brk from hit window w as (partition by rule_id, robot_id order by a)),
-   numbered as (select *, sum(brk) over (partition by rule_id, robot_id order by a) as nr from brk),
-   runs as (select rule_id, robot_id, for_seconds, nr, min(a) as a, max(b) as b, bool_or(current) as open from numbered group by 1, 2, 3, 4)
-   select rule_id, robot_id, make_timestamp(a + cast(for_seconds * 1e6 as bigint)) as started_at,
-     case when not open then make_timestamp(b) end as resolved_at from runs where a + cast(for_seconds * 1e6 as bigint) < b""")
+@q("presence_alerts", f"with {RULES_SQL}, {PRESENCE_SQL} select * from silences")
 def presence_alerts(t: Tables):
-    return A.presence_intervals(timeline(t), rules(t))
+    return A.presence_intervals(timeline(t), rules(t), robot_slices(t))
 
 
 NAMES_SQL = "names as (select id as robot_id, name as robot_name from fx_robots)"
-LOG_SQL = f"""{WALK_SQL}, {NAMES_SQL}, log as (select i.*, r.rule_name, r.severity, r.channels,
+LOG_SQL = f"""{EVERY_SQL}, {NAMES_SQL}, log as (select i.*, r.rule_name, r.severity, r.channels,
    case r.rule_id when 1 then robot_name || ' battery ' || cast(i.value as varchar) || ' < 20.0 [critical]'
+     when 7 then robot_name || ' offline' when 8 then robot_name || ' connected but silent'
      else robot_name || ' ' || r.key || '=' || coalesce(cast(i.value as varchar), i.raw) ||
        case r.op when 'lt' then ' below ' || cast(r.value as varchar) when 'gt' then ' above ' || cast(r.value as varchar)
          when 'outside' then ' outside ' || cast(r.value as varchar) || '~' || cast(r.value2 as varchar)
          when 'inside' then ' inside ' || cast(r.value as varchar) || '~' || cast(r.value2 as varchar)
          else ' (' || r.op || ' ' || r.text_value || ')' end end as message
-   from intervals i join rules r on i.rule_id = r.rule_id join names using (robot_id))"""
+   from every i join rules r on i.rule_id = r.rule_id join names using (robot_id))"""
 
 
 def log(t: Tables, rows=None):
     names = t.view("fx_robots").select(F.col("id").alias("robot_id"), F.col("name").alias("robot_name"))
-    return A.alert_log(A.alert_intervals(bound(t) if rows is None else rows, robot_slices(t)), rules(t), names)
+    return A.alert_log(every_interval(t, rows), rules(t), names)
 
 
 @q("alert_log", f"""with {LOG_SQL} select rule_id, robot_id, rule_name, severity, message, value, started_at, resolved_at from log""")
@@ -187,10 +202,10 @@ def alert_message(t: Tables):
     return log(t).groupBy("rule_id", "message").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@q("notification_outbox", f"""with {WALK_SQL}, note as (
-     select rule_id, robot_id, started_at as ts, 'fired' as reason from intervals
+@q("notification_outbox", f"""with {EVERY_SQL}, note as (
+     select rule_id, robot_id, started_at as ts, 'fired' as reason from every
      union all select rule_id, robot_id, ts, 'repeat' from walk where mark = 'repeat'
-     union all select i.rule_id, robot_id, resolved_at, 'resolved' from intervals i join rules r on i.rule_id = r.rule_id
+     union all select i.rule_id, robot_id, resolved_at, 'resolved' from every i join rules r on i.rule_id = r.rule_id
        where severity = 'critical' and resolved_at is not null),
    sent as (select n.*, r.rule_name, r.severity, unnest(coalesce(r.channels, ['push', 'ntfy', 'email'])) as channel
      from note n join rules r on n.rule_id = r.rule_id)

@@ -284,9 +284,12 @@ def transfer_rates(t: Tables):
     return ST.transfer_rates(t.view("fx_transfers"), slices=slices)
 
 
-@q("storage_by_partition")
+@q("storage_by_partition", "select cast(ts as date) as day, count(*) as rows, true as stored from fx_samples group by 1")
 def storage_by_partition(t: Tables):
-    return ST.storage_by_file(t.table("events"))
+    path = K.scratch_path(t.spark, "samples")
+    K.write_archive(t.view("fx_samples").select("robot_id", "topic", "ts", "num", "payload", "flag"), path)
+    days = ST.storage_by_day(t.spark.read.parquet(path))
+    return days.select("day", "rows", (F.col("bytes") > 0).alias("stored"))
 
 
 @q("bytes_per_row")
@@ -354,9 +357,16 @@ def write_telemetry(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@q("write_topic_samples", """select robot_id, topic, ts, num, payload, flag, cast(ts as date) as day from fx_samples
-   where ts >= timestamp '2024-01-03 06:00:00' and ts < timestamp '2024-01-28 00:00:00'""")
+@q("write_topic_samples", """select robot_id, topic, ts, num, payload, flag, cast(ts as date) as day from fx_samples""")
 def write_topic_samples(t: Tables):
+    path = K.scratch_path(t.spark, "samples")
+    K.write_archive(t.view("fx_samples").select("robot_id", "topic", "ts", "num", "payload", "flag"), path)
+    return t.spark.read.parquet(path)
+
+
+@q("scan_written_days", """select robot_id, topic, ts, num, payload, flag, cast(ts as date) as day from fx_samples
+   where ts >= timestamp '2024-01-03 06:00:00' and ts < timestamp '2024-01-28 00:00:00'""")
+def scan_written_days(t: Tables):
     path = K.scratch_path(t.spark, "samples")
     K.write_archive(t.view("fx_samples").select("robot_id", "topic", "ts", "num", "payload", "flag"), path)
     return H.scan_archive(t.spark.read.parquet(path), "2024-01-03 06:00:00", "2024-01-28 00:00:00")

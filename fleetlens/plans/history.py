@@ -94,10 +94,10 @@ def topic_bucketed(t: Tables):
    round(avg(battery), 6) as battery, round(avg(v), 6) as v, round(max(abs(w)), 6) as w_peak,
    round(avg(temp), 6) as temp, count(*) as samples from fx_status
    where ts >= timestamp '2024-01-01 00:00:00' and ts < timestamp '2024-01-31 00:00:00'
-   group by 1, 2 order by 2, 1 limit 5000""")
+   group by 1, 2""")
 def auto_bucket(t: Tables):
     width = H.auto_bucket(0, 30 * DAY, 5000)
-    return H.history_bucketed(H.scan_archive(t.view("fx_status"), MONTH_START, AS_OF), width, limit=5000)
+    return H.history_bucketed(H.scan_archive(t.view("fx_status"), MONTH_START, AS_OF), width)
 
 
 @q("events_filter", """select id, robot_id, ts, kind, severity, detail from fx_audit

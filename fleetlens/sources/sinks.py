@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.session import shared_dir
+from fleetlens.session import scratch_folder
 
 # Tables whose rows a configuration-only snapshot leaves out.
 HISTORY_TABLES = ("telemetry", "topic_samples")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/fleetlens/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder, removed when the application ends."""
+    return scratch_folder(spark, name)
 
 
 def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows into day folders. Rows of a day are spread over tasks by robot and hour, so a
-    busy robot or day does not end in one writer; files are sorted for min/max pruning."""
+    """Rows into day folders. Each task gets a range of (day, robot, time): it writes few days, a busy robot or
+    day is spread over several tasks, and files hold narrow ranges for min/max pruning."""
     by_topic = ["topic"] if "topic" in df.columns else []
-    rows = df.withColumn("day", F.to_date("ts")).repartition("day", "robot_id", F.hour("ts"))
+    rows = df.withColumn("day", F.to_date("ts")).repartitionByRange("day", "robot_id", "ts")
     (rows.sortWithinPartitions("day", "robot_id", *by_topic, "ts").write.mode(mode).partitionBy("day").parquet(path))
 
 
@@ -72,6 +69,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def list_children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -100,8 +102,9 @@ def snapshot_export(tables: dict[str, DataFrame], root: str, stamp: str, with_hi
     for name, df in tables.items():
         empty = not with_history and name.startswith(HISTORY_TABLES)
         (df.limit(0) if empty else df).write.mode("overwrite").parquet(f"{target}/{name}")
-    manifest = [(stamp, kind, name, json.loads(df.schema.json())["type"]) for name, df in tables.items()]
-    spark.createDataFrame(manifest, "created string, kind string, table_name string, layout string").coalesce(1).write.mode(
+    manifest = [(stamp, kind, name, df.schema.simpleString(), spark.read.parquet(f"{target}/{name}").count(),
+                 stored_bytes(spark, f"{target}/{name}")) for name, df in tables.items()]
+    spark.createDataFrame(manifest, "created string, kind string, table_name string, layout string, rows long, bytes long").coalesce(1).write.mode(
         "overwrite").json(f"{target}/manifest")
     return target
 
