@@ -142,7 +142,8 @@ LABELLED = np.array([
     # menus, adverts, notices, forms, comments and footers, by their container, inside an article or not
     (1, 1.00, 0, 0.00, 1, 1.00, 0.0, 1, 0, 0), (2, 1.00, 1, 1.00, 12, 0.00, 0.0, 1, 0, 0), (20, 0.00, 1, 1.00, 9, 0.00, 0.0, 1, 0, 0),
     (90, 0.00, 50, 0.00, 40, 0.00, 1.0, 1, 0, 0), (15, 0.10, 70, 0.00, 0, 0.00, 0.0, 1, 0, 0), (60, 0.00, 30, 0.00, 25, 0.00, 0.5, 1, 0, 0),
-    (9, 0.00, 80, 0.00, 70, 0.00, 1.0, 1, 0, 0), (5, 0.00, 5, 0.00, 30, 0.00, 0.5, 1, 1, 0), (3, 0.00, 20, 0.00, 22, 0.00, 1.0, 1, 1, 0),
+    (9, 0.00, 80, 0.00, 70, 0.00, 1.0, 1, 0, 0), (5, 0.00, 1, 0.00, 12, 0.00, 1.0, 1, 0, 0), (12, 0.00, 5, 0.00, 3, 0.00, 1.0, 1, 0, 0),
+    (1, 0.00, 6, 0.00, 8, 0.00, 1.0, 1, 0, 0), (30, 0.00, 3, 0.00, 9, 0.00, 1.0, 1, 0, 0), (6, 0.00, 20, 0.00, 2, 0.00, 1.0, 1, 0, 0), (5, 0.00, 5, 0.00, 30, 0.00, 0.5, 1, 1, 0), (3, 0.00, 20, 0.00, 22, 0.00, 1.0, 1, 1, 0),
     (35, 0.00, 0, 0.00, 60, 0.00, 0.5, 1, 0, 0), (120, 0.05, 2, 0.00, 3, 0.00, 0.0, 1, 0, 0), (4, 0.00, 90, 0.00, 6, 0.00, 0.0, 1, 0, 0),
     # beside an article, without a telling container
     (6, 0.00, 90, 0.00, 5, 0.00, 0.0, 0, 0, 0), (30, 0.00, 4, 0.00, 80, 0.00, 0.0, 0, 0, 0), (3, 1.00, 2, 1.00, 2, 1.00, 0.0, 0, 0, 0),
@@ -151,6 +152,7 @@ LABELLED = np.array([
     (70, 0.00, 50, 0.00, 80, 0.00, 0.5, 0, 0, 1), (40, 0.10, 3, 1.00, 55, 0.00, 0.5, 0, 0, 1), (120, 0.05, 60, 0.00, 2, 1.00, 0.5, 0, 0, 1),
     (25, 0.00, 8, 0.00, 30, 0.00, 0.5, 0, 0, 1), (16, 0.20, 40, 0.00, 35, 0.00, 0.5, 0, 0, 1), (13, 0.00, 25, 0.00, 60, 0.00, 0.5, 0, 0, 1),
     (5, 0.00, 60, 0.00, 45, 0.00, 0.5, 0, 0, 1), (8, 0.00, 35, 0.00, 50, 0.10, 0.5, 0, 0, 1), (2, 0.00, 40, 0.00, 30, 0.00, 0.5, 0, 0, 1),
+    (19, 0.00, 22, 0.00, 0, 0.00, 0.5, 0, 0, 1), (60, 0.00, 40, 0.00, 0, 0.00, 0.5, 0, 0, 1), (30, 0.05, 2, 1.00, 0, 0.00, 0.5, 0, 0, 1),
     (6, 0.00, 2, 1.00, 60, 0.00, 0.5, 0, 1, 1), (9, 0.00, 0, 0.00, 45, 0.00, 0.5, 0, 1, 1), (4, 0.00, 50, 0.00, 70, 0.00, 0.5, 0, 1, 1),
     # and what surrounds it
     (1, 1.00, 1, 1.00, 1, 1.00, 0.5, 0, 0, 0), (3, 1.00, 2, 1.00, 50, 0.00, 0.5, 0, 0, 0), (6, 0.80, 4, 1.00, 5, 1.00, 0.5, 0, 0, 0),
@@ -191,6 +193,13 @@ class Tree:
 
 
 def trained(rows: np.ndarray = LABELLED) -> Tree:
+    """A tree of the table and, for each main text in an article, its twins in an aside and beside the article."""
+    inside = rows[(rows[:, -1] == 1) & (rows[:, 6] == 1)]
+    main = rows[rows[:, -1] == 1]
+    aside, beside = main.copy(), inside.copy()
+    aside[:, 7], beside[:, 6] = 1, 0
+    aside[:, -1], beside[:, -1] = 0, 0
+    rows = np.vstack([rows, aside, beside])
     return Tree(rows[:, :-1], rows[:, -1])
 
 
