@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fleetlens.functions.scalars import from_micros, micros
 from fleetlens.operators import presence as P
 from fleetlens.operators.fold import fold
-from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, next_known, running, scan
+from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, lead, next_known, running, scan
 from fleetlens.session import broadcast_if_small
 
 RULE_SCHEMA = T.StructType([
@@ -136,6 +136,27 @@ def alert_intervals(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     return out.unionByName(_strict_intervals(rows, slices))
 
 
+def alert_intervals_by_time(rows: DataFrame, as_of: str, slices: Slices | None = None) -> DataFrame:
+    """Alerts as a clock sees them: the last known value holds until the next row, up to ``as_of``.
+
+    A run of hits fires once it is ``for_seconds`` old, whether or not a row comes at that instant; the alert ends
+    at the first row that does not hold. Rules whose clear limit is stricter than the trigger are left to
+    ``alert_intervals``, which follows rows.
+    """
+    us, until = micros("ts"), F.unix_micros(F.lit(as_of).cast("timestamp"))
+    rows = rows.filter(_sane(rows)).filter(us < until)
+    rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"), "_island": running((~F.col("hold")).cast("int")),
+                                    "_stop_us": next_known(F.when(~F.col("hold"), us)), "_next_us": lead(us)}, us, slices)
+    starts = F.col("hit") & ~F.coalesce("_hit_before", F.lit(False))
+    rows = drop_slice(scan(rows, KEYS, ORDER, {"_run_us": last_known(F.when(starts, us))}))
+    fire = F.col("_run_us") + F.round(F.col("for_seconds") * 1e6).cast("long")
+    due = rows.withColumn("_fire_us", fire).filter(
+        F.col("hit") & (F.col("_fire_us") >= us) & (F.col("_fire_us") < F.coalesce("_next_us", until)))
+    first = due.groupBy(*KEYS, "_island").agg(F.min_by(F.struct("_fire_us", "num", "raw", "_stop_us"), F.struct(*ORDER)).alias("f"))
+    return first.select(*KEYS, from_micros("f._fire_us").alias("started_at"), from_micros("f._stop_us").alias("resolved_at"),
+                        F.col("f.num").alias("value"), F.col("f.raw").alias("raw"))
+
+
 STRICT = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("pending_us", T.LongType()),
                        T.StructField("firing", T.BooleanType()), T.StructField("sent_us", T.LongType())])
 MARK = T.StructType([T.StructField("mark", T.StringType())])

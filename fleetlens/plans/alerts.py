@@ -158,6 +158,21 @@ def alert_intervals(t: Tables):
     return intervals(t)
 
 
+@q("alert_intervals_by_time", f"""with {HIT_SQL}, sane as (select * from steps
+     where not coalesce((op = 'lt' and clear_value < value) or (op = 'gt' and clear_value > value), false) and ts < timestamp '{AS_OF}'),
+   edge as (select *, hit and not coalesce(lag(hit) over w, false) as starts, coalesce(lead(ts_us) over w, epoch_us(timestamp '{AS_OF}')) as next_us,
+      sum(case when hold then 0 else 1 end) over w as island,
+      min(case when not hold then ts_us end) over (partition by rule_id, robot_id order by ts, event_id rows between 1 following and unbounded following) as stop_us
+      from sane window w as (partition by rule_id, robot_id order by ts, event_id)),
+   run as (select *, last_value(case when starts then ts_us end ignore nulls) over (partition by rule_id, robot_id order by ts, event_id
+      rows between unbounded preceding and current row) + cast(for_seconds * 1e6 as bigint) as fire_us from edge),
+   due as (select * from run where hit and fire_us >= ts_us and fire_us < next_us
+      qualify row_number() over (partition by rule_id, robot_id, island order by ts, event_id) = 1)
+   select rule_id, robot_id, make_timestamp(fire_us) as started_at, make_timestamp(stop_us) as resolved_at, num as value, raw from due""")
+def alert_intervals_by_time(t: Tables):
+    return A.alert_intervals_by_time(bound(t), AS_OF, robot_slices(t))
+
+
 @q("alert_reminders", f"with {WALK_SQL} select rule_id, robot_id, ts, num from walk where mark = 'repeat'")
 def alert_reminders(t: Tables):
     return A.reminders(bound(t), robot_slices(t))

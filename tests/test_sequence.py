@@ -1,7 +1,9 @@
 """Cutting a busy key into slices must not change any result."""
 
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import micros
@@ -199,3 +201,40 @@ def test_alerts_equal_sequential(spark):
         assert {tuple(r) for r in got} == want
         got = A.reminders(hits, s).select("rule_id", "robot_id", micros("ts")).collect()
         assert {tuple(r) for r in got} == want_again
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_alerts_by_time_equal_a_ticking_clock(spark, seed):
+    rng = random.Random(seed)
+    base, end = dt.datetime(2024, 1, 1), 400
+    events, want = [], set()
+    for robot in ("a", "b", "c", "d"):
+        for_s, at = rng.choice([0, 7, 30]), 0
+        mine = []
+        while at < end - 1:
+            at += rng.choice([1, 1, 3, 20, 60])
+            hit = rng.random() < 0.5
+            mine.append((at, hit, hit or rng.random() < 0.4))
+        mine = [m for m in mine if m[0] < end]
+        events += [(1, robot, i, base + dt.timedelta(seconds=t), float(i), str(i), h, k, float(for_s)) for i, (t, h, k) in enumerate(mine)]
+        pending, firing, started, value = None, False, None, None
+        for tick in range(end):
+            row = [(i, m) for i, m in enumerate(mine) if m[0] <= tick][-1:]
+            if not row:
+                continue
+            i, (t, hit, hold) = row[0]
+            if firing and not hold:
+                want.add((robot, started, t, value))
+                firing = False
+            pending = (pending if pending is not None else t) if hit else None
+            if not firing and pending is not None and tick - pending >= for_s:
+                firing, started, value = True, tick, float(i)
+        if firing:
+            want.add((robot, started, None, value))
+    df = spark.createDataFrame(events, "rule_id int, robot_id string, event_id long, ts timestamp_ntz, num double, raw string, hit boolean, hold boolean, for_seconds double")
+    df = df.withColumns({"op": F.lit("lt"), "limit": F.lit(1.0), "clear_value": F.lit(None).cast("double")})
+    cut = plan_slices(df, ["rule_id", "robot_id"], micros("ts"), target_rows=15)
+    for slices in (None, cut):
+        got = A.alert_intervals_by_time(df, "2024-01-01 00:06:40", slices).collect()
+        sec = lambda x: None if x is None else int((x - base).total_seconds())
+        assert {(r.robot_id, sec(r.started_at), sec(r.resolved_at), r.value) for r in got} == want
