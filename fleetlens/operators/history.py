@@ -24,6 +24,20 @@ def time_literal(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def default_window(as_of: str, start: str | None = None, end: str | None = None, span: str = "interval 1 hour") -> tuple[Column, Column]:
+    """Bounds of a history request: what is given, else ``span`` up to the end, else up to ``as_of``."""
+    stop = time_literal(end or as_of)
+    return (time_literal(start) if start else stop - F.expr(span)), stop
+
+
+def history_raw(df: DataFrame, as_of: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """All rows in the requested window, or in the hour before ``as_of``."""
+    low, high = default_window(as_of, start, end)
+    if "day" in df.columns:
+        df = df.filter((F.col("day") >= F.to_date(low)) & (F.col("day") <= F.to_date(high)))
+    return df.filter((F.col("ts") >= low) & (F.col("ts") < high))
+
+
 def scan_archive(df: DataFrame, start: str, end: str, robot_id: str | None = None) -> DataFrame:
     """Rows in [start, end). A ``day`` partition column, when present, is pruned as well."""
     if "day" in df.columns:

@@ -74,6 +74,12 @@ def history_raw(t: Tables):
         "robot_id", "ts", "battery", "state", "v", "w", "temp", "wifi", "odom")
 
 
+@q("history_default_window", """select robot_id, ts, battery, state from fx_status
+   where ts >= timestamp '2024-01-20 11:00:00' and ts < timestamp '2024-01-20 12:00:00'""")
+def history_default_window(t: Tables):
+    return H.history_raw(t.view("fx_status"), "2024-01-20 12:00:00").select("robot_id", "ts", "battery", "state")
+
+
 @q("topic_history_raw", """select robot_id, ts, num, payload from fx_samples
    where topic = 'chassis/bat_pct' and ts >= timestamp '2024-01-10 00:00:00'
      and ts < timestamp '2024-01-20 00:00:00' order by ts, event_id limit 5000""")

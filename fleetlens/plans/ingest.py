@@ -83,6 +83,14 @@ def extra_merge(t: Tables):
     return S.latest_extra(status_rows(t).filter("not dropped").withColumnRenamed("recv_ts", "ts"))
 
 
+@q("extra_history", f"""with {STATUS_SQL}, x as (select robot_id, event_id, substring(extra, 9) as value from status where extra <> '')
+   select robot_id, event_id, 'gripper' as key, value from x
+   qualify value is distinct from lag(value) over (partition by robot_id order by event_id)""")
+def extra_history(t: Tables):
+    rows = S.merge_extra(status_rows(t).filter("not dropped").withColumnRenamed("recv_ts", "ts"))
+    return rows.select("robot_id", "event_id", "key", "value")
+
+
 BATCH_SQL = f"""{ROUTED_SQL}, body as (select event_id, robot_id, epoch_us(recv_ts) as recv_us, cast(payload as json) as j
      from routed where lane = 'samples'),
    batch as (select *, case json_type(j) when 'ARRAY' then j else json_extract(j, '$.b') end as b,
