@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import table, written
+from fleetlens.llm.common import table
 
 #: Text code points of a chunk, beyond one document.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 #: Buckets that distinct words are dealt to, at least; there are as many as input tasks.
 BUCKETS = 48
 # Fixed value: how byte-level BPE with its own splitting cuts a text into words.
@@ -77,7 +77,7 @@ def _tokenizer(content: str):
 
 def _pack(*arrays: bytes) -> bytes:
     sizes = np.array([len(a) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(arrays)).tobytes() + sizes.tobytes() + b"".join(arrays))
+    return zstandard.ZstdCompressor(level=5).compress(np.int64(len(arrays)).tobytes() + sizes.tobytes() + b"".join(arrays))
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -87,13 +87,22 @@ def _unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(np.r_[8 * (n + 1), ends[:-1]], ends)]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers with their low bytes first, then the next ones: small numbers compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack_words(words: list[bytes]) -> bytes:
-    return _pack(np.array([len(w) for w in words], np.uint32).tobytes(), b"".join(words))
+    return _pack(planes(np.array([len(w) for w in words], np.uint32)), b"".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
     sizes, body = _unpack(data)
-    ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
+    ends = np.cumsum(from_planes(sizes), dtype=np.int64)
     return [body[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
 
@@ -108,22 +117,29 @@ DOCS = -1
 
 
 def _chunk_rows(chunk: int, ids: pa.Array, texts: list[str | None], splitter: Splitter, buckets: int) -> pa.RecordBatch:
-    """One row with the documents' word places and one per bucket with its words, in the order of the places."""
+    """One row with the documents' words as numbers, and one per bucket with its words.
+
+    Words are numbered by how often they occur. The first row also has the bucket of every number; a bucket's words
+    lie in order of their numbers, so this tells where each of them is.
+    """
     place, found = _Places(), []
     for t in texts:
         w = splitter.words(t)
         found.append(np.fromiter(map(place.__getitem__, w), np.uint32, len(w)))
-    words = [w.encode("utf-8", "surrogatepass") for w in place]
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
-    moved = np.empty(len(words), np.uint32)
-    moved[order] = np.arange(len(words))
+    lengths, flat = [len(f) for f in found], np.concatenate([np.zeros(0, np.uint32), *found])
+    del found
+    often = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+    number = np.empty(len(place), np.uint32)
+    number[often] = np.arange(len(place))
+    words = list(place)
+    words = [words[i].encode("utf-8", "surrogatepass") for i in often]
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint32, len(words))
     sink = pa.BufferOutputStream()
-    keys = pa.record_batch([ids, pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "words"])
+    keys = pa.record_batch([ids, pa.array(lengths, pa.int64())], names=["doc_id", "words"])
     with pa.ipc.new_stream(sink, keys.schema) as out:
         out.write_batch(keys)
-    numbers = moved[np.concatenate(found)] if found and words else np.zeros(0, np.uint32)
-    rows = [(DOCS, _pack(sink.getvalue().to_pybytes(), numbers.tobytes()))]
+    rows = [(DOCS, _pack(sink.getvalue().to_pybytes(), planes(number[flat]), planes(bucket)))]
+    order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         if cuts[b] < cuts[b + 1]:
@@ -135,6 +151,8 @@ def _chunk_rows(chunk: int, ids: pa.Array, texts: list[str | None], splitter: Sp
 def _encode_bucket(content: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Each distinct word of the bucket is encoded once; every chunk gets the ids of its own words."""
+        if pdf["bucket"].iloc[0] == DOCS:
+            return pdf[["chunk", "bucket", "payload"]]
         lists = [_unpack_words(p) for p in pdf["payload"]]
         distinct = _Places()
         numbers = [np.fromiter(map(distinct.__getitem__, w), np.int64, len(w)) for w in lists]
@@ -145,7 +163,7 @@ def _encode_bucket(content: str):
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         start = np.cumsum(sizes) - sizes
-        out = [_pack(sizes[n].astype(np.uint32).tobytes(), flat[spread(start[n], sizes[n])].tobytes()) for n in numbers]
+        out = [_pack(planes(sizes[n]), planes(flat[spread(start[n], sizes[n])])) for n in numbers]
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "payload": out})
 
     return run
@@ -158,32 +176,47 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(total)
 
 
-def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's documents with their ids in order of position."""
-    pdf = pdf.sort_values("bucket")
-    keys, numbers = _unpack(pdf["payload"].iloc[0])
-    keys = pa.ipc.open_stream(keys).read_all()
-    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    for payload in pdf["payload"].iloc[1:]:
-        a, b = _unpack(payload)
-        sizes.append(np.frombuffer(a, np.uint32).astype(np.int64))
-        flat.append(np.frombuffer(b, np.uint32))
-    sizes, flat = np.concatenate(sizes), np.concatenate(flat)
-    start = np.cumsum(sizes) - sizes
-    numbers, at, out = np.frombuffer(numbers, np.uint32), 0, []
-    for n in keys.column("words").to_pylist():
-        mine = numbers[at : at + n]
-        at += n
-        out.append(flat[spread(start[mine], sizes[mine])].astype("<u4").tobytes())
-    return pd.DataFrame({"doc_id": pd.Series(keys.column("doc_id").to_pylist(), dtype=object), "ids": out})
-
-
-def encode_documents(docs: DataFrame, content: str, chunk: int = CHUNK) -> DataFrame:
+def _assemble(piece: list[bytes] | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's documents with their ids in order of position, and their texts if pieces are given."""
+        pdf = pdf.sort_values("bucket")
+        keys, numbers, bucket = _unpack(pdf["payload"].iloc[0])
+        keys = pa.ipc.open_stream(keys).read_all()
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for payload in pdf["payload"].iloc[1:]:
+            a, b = _unpack(payload)
+            sizes.append(from_planes(a).astype(np.int64))
+            flat.append(from_planes(b))
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+        # sizes lie bucket after bucket; put them in order of the words' numbers
+        start, order = np.cumsum(sizes) - sizes, np.argsort(from_planes(bucket), kind="stable")
+        at_number, size_of = np.empty_like(start), np.empty_like(sizes)
+        at_number[order], size_of[order] = start, sizes
+        numbers, at, ids = from_planes(numbers), 0, []
+        for n in keys.column("words").to_pylist():
+            mine = numbers[at : at + n]
+            at += n
+            ids.append(flat[spread(at_number[mine], size_of[mine])].astype("<u4").tobytes())
+        out = {"doc_id": pd.Series(keys.column("doc_id").to_pylist(), dtype=object), "ids": ids}
+        if piece is not None:
+            out["decoded"] = [text_of(x, piece) for x in ids]
+        return pd.DataFrame(out)
+
+    return run
+
+
+def text_of(ids: bytes | None, piece: list[bytes]) -> str:
+    known = [i for i in np.frombuffer(ids or b"", "<u4").tolist() if i < len(piece)]
+    return b"".join(map(piece.__getitem__, known)).decode("utf-8", "replace")
+
+
+def encode_documents(docs: DataFrame, content: str, chunk: int = CHUNK, decode: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit integers.
 
     ``content`` is the tokenizer's JSON. Null texts are empty and have no ids. Special tokens in a text become their
     id, as the library does; nothing is added, cut or padded. Rows that repeat are encoded each; an empty table
-    gives an empty one; other columns are ignored.
+    gives an empty one; other columns are ignored. With ``decode`` the task that has the ids also looks up their
+    pieces, which adds the column ``decoded`` of ``decode_documents``.
     """
     docs = docs.select("doc_id", "text")
     buckets = max(BUCKETS, docs.rdd.getNumPartitions())
@@ -200,11 +233,14 @@ def encode_documents(docs: DataFrame, content: str, chunk: int = CHUNK) -> DataF
                 yield _chunk_rows(number, batch.column(0).slice(at, end - at), texts[at:end], splitter, buckets)
                 number, at = number + 1, end
 
-    packed = written(docs.mapInArrow(run, PACKED), "words")
-    coded = packed.filter(F.col("bucket") >= 0).groupBy("bucket").applyInPandas(_encode_bucket(content), PACKED)
-    whole = packed.filter(F.col("bucket") == DOCS).union(coded.select("chunk", "bucket", "payload"))
+    # the documents' rows travel with the words' rows, each on its own, so that texts are split only once
+    packed = docs.mapInArrow(run, PACKED)
+    alone = F.when(F.col("bucket") == DOCS, -1 - F.col("chunk")).otherwise(F.col("bucket"))
+    whole = packed.withColumn("key", alone).groupBy("key").applyInPandas(_encode_bucket(content), PACKED)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
-    return whole.groupBy("chunk").applyInPandas(_assemble, schema)
+    if decode:
+        schema = schema.add("decoded", T.StringType())
+    return whole.groupBy("chunk").applyInPandas(_assemble(pieces(content) if decode else None), schema)
 
 
 def pieces(content: str) -> list[bytes]:
@@ -226,12 +262,8 @@ def decode_documents(encoded: DataFrame, content: str, out: str = "decoded") ->
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(content))  # one entry per id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value
         for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-                known = [i for i in np.frombuffer(ids or b"", "<u4").tolist() if i < len(piece)]
-                texts.append(b"".join(map(piece.__getitem__, known)).decode("utf-8", "replace"))
+            texts = [text_of(i, shared.value) for i in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
@@ -247,7 +279,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every row; the vocabulary file at ``path`` is read by the driver only."""
     with open(path or tokenizer_path(), encoding="utf-8") as f:
         content = f.read()
-    return decode_documents(encode_documents(docs, content), content)
+    return encode_documents(docs, content, decode=True)
 
 
 def digests(coded: DataFrame) -> DataFrame:
