@@ -34,6 +34,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def hashed_sample(rows: DataFrame, key: str, group: str, per_group: int) -> Column:
+    """Condition that holds for about ``per_group`` rows of each value of ``group``, or for all if there are fewer.
+
+    The choice is by a hash of ``key`` and needs only the counts of the groups, one row each: no group is sorted.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.lit(False)
+    for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect():
+        chosen = chosen | ((F.col(group) == r[group]) & (place < per_group / r["n"]))
+    return chosen
+
+
 def block_count(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 

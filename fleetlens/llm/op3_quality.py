@@ -19,15 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from fleetlens.llm.common import held_out, learnable, table, written
+from fleetlens.llm.common import hashed_sample, held_out, learnable, table, written
 
 BUCKETS = 1 << 13
 DIMS = 32
 #: Non-zero signs of an index vector.
 NON_ZERO = 2
-#: Labelled documents per label that the network is fitted on, at most; the choice is by a hash of the id.
+#: Labelled documents per label that the network is fitted on, about; the choice is by a hash of the id.
 FITTED = 6000
 HIDDEN = 24
 EPOCHS = 60
@@ -202,10 +201,9 @@ class Network:
 
 
 def fit(features: DataFrame, labels: DataFrame, per_label: int = FITTED) -> Network:
-    """A network from at most ``per_label`` learnable documents of each label (doc_id, label 0 or 1)."""
+    """A network from about ``per_label`` learnable documents of each label (doc_id, label 0 or 1)."""
     known = labels.filter(learnable(F.col("doc_id")) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_label).drop("_r")
+    chosen = known.filter(hashed_sample(known, "doc_id", "label", per_label))
     rows = features.join(chosen, "doc_id").orderBy("doc_id", "features").limit(4 * per_label).toPandas()
     x = np.array([np.frombuffer(b, np.float32) for b in rows["features"]], np.float64).reshape(len(rows), 2 * DIMS)
     return Network(x, rows["label"].to_numpy(np.float64))

@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from fleetlens.llm.common import held_out, learnable, table
+from fleetlens.llm.common import hashed_sample, held_out, learnable, table
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents learned per language, at most; the choice is by a hash of the id.
-LEARNED = 1500
+#: Documents learned per language, about; the choice is by a hash of the id. They are counted in so many tasks.
+LEARNED, TASKS = 1500, 6
 #: Hash bins of each score table: letters, pairs, triples, words.
 BINS = 1 << 16
 TABLES = 4
@@ -177,16 +176,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(docs: DataFrame, per_language: int = LEARNED) -> Model:
-    """A model from at most ``per_language`` texts of each language of ``docs`` (doc_id, text, lang)."""
+    """A model from about ``per_language`` texts of each language of ``docs`` (doc_id, text, lang)."""
     usable = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
-    # the sample is chosen by id, so only chosen texts are read on
-    least = ids.groupBy("lang").agg(F.max(F.xxhash64("doc_id")).alias("last")).collect()  # one row per language
-    chosen = F.lit(False)
-    for r in least:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= r["last"]))
-    sample = usable.filter(chosen & F.col("text").isNotNull()).select("lang", "text")
+    chosen = hashed_sample(usable.select("lang"), "doc_id", "lang", per_language)
+    # a bounded sample in few tasks, so that few tables of counts come back
+    sample = usable.filter(chosen & F.col("text").isNotNull()).select("lang", "text").repartition(TASKS)
     rows = sample.mapInPandas(_counted, "lang string, counts binary, scripts binary").collect()
     counts, script = {}, {}
     for r in rows:
