@@ -5,10 +5,11 @@ they share one among the first |A| - that + 1 of any common order (prefix rule).
 documents share last, so common passages and lines hardly ever bring documents together.
 
 1. Every distinct set gets an id; equal texts meet in it. Counts of frequent shingles are gathered in the same pass.
-2. Prefix shingles with at least two sets form lists; connecting each list to its most central set gives candidate
-   groups, which no link leaves.
+2. The sets that have a prefix shingle are put in order of size. Neighbours whose sizes allow a link are connected;
+   sets that link are then joined by such a chain, so no link leaves the components of these candidates.
 3. A group of bounded size is one tile. A larger one is cut into bands of similar size and blocks of bounded weight.
-   Each block meets itself and the group's most central sets; what that leaves apart meets the rest block by block.
+   Each block meets itself and the group's most central sets; what that leaves apart meets the rest block by block,
+   there with signatures only, and pairs that these leave open are decided on the texts.
 4. In a tile, only sets whose sizes allow a link are compared, first by bitmaps: the bits in which two parity
    signatures differ are at most the symmetric difference, which bounds the overlap from above. Pairs that pass are
    decided on their sorted arrays. Sets already connected are not compared, so copies never make all pairs.
@@ -34,10 +35,15 @@ from fleetlens.llm.shingles import WordHashes, chunks, shingle_sets
 PERCENT = 80
 #: Shingles that are counted together when frequent ones are looked for.
 COUNTED = 4_000_000
-#: Frequent shingles that the order knows, at most; the order of the rest does not matter for the result.
-KNOWN = 500_000
+#: Frequent shingles that the order knows, at most (12 bytes each). Any order gives right results: more known
+#: shingles only make candidate groups smaller.
+KNOWN = 2_000_000
 #: Shingles in a tile: larger groups are cut.
 TILE = 1_500_000
+#: Bits (as a power of two) of the map that finds the documents whose texts are compared.
+MAP_BITS = 24
+#: Sets in a side of a tile of signatures, and partners of a set that are compared in one task.
+SIDE, PART = 5000, 200
 #: Most central sets that every block of a large group meets.
 HUBS = 16
 #: Bits of a signature: the next power of two of the largest set in the tile, within these bounds.
@@ -86,14 +92,14 @@ class Order:
 
     def __init__(self, shingles: np.ndarray, counts: np.ndarray):
         self.shingles, self.counts = shingles, counts
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[shingles >> np.uint64(44)] = True
+        self.maybe = np.zeros(1 << 24, bool)
+        self.maybe[shingles >> np.uint64(40)] = True
 
     def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
         if not len(self.shingles):
             return s[:length]
         count = np.zeros(len(s), np.int64)
-        may = np.flatnonzero(self.maybe[s >> np.uint64(44)])
+        may = np.flatnonzero(self.maybe[s >> np.uint64(40)])
         if len(may):
             at = np.minimum(np.searchsorted(self.shingles, s[may]), len(self.shingles) - 1)
             count[may] = np.where(self.shingles[at] == s[may], self.counts[at], 0)
@@ -114,10 +120,10 @@ def _frequent(described: DataFrame, spark) -> Order:
             break
         room -= r["n"]
         least = r["count"]
-    known = total.filter(F.col("count") >= least).toPandas()
-    shingles = known["shingle"].to_numpy(np.int64).view(np.uint64)
+    known = total.filter(F.col("count") >= least).toArrow()
+    shingles = known.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return Order(shingles[order], known["count"].to_numpy(np.int64)[order])
+    return Order(shingles[order], np.minimum(known.column("count").to_numpy()[order], 2**31 - 1).astype(np.int32))
 
 
 def _prefixes(order, percent: int):
@@ -150,6 +156,24 @@ def signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
+def signature_bits(n: int) -> int:
+    return min(BITS[1], max(BITS[0], 1 << max(0, n - 1).bit_length()))
+
+
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """A signature of fewer bits: the parity of a wider one's halves."""
+    while len(signature) > words:
+        half = len(signature) // 2
+        signature = signature[:half] ^ signature[half:]
+    return signature
+
+
+def may_link(n: int, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` whose signatures differ in ``apart`` bits can overlap enough."""
+    overlap = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+    return 100 * overlap >= percent * (n + m - overlap)
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact decision on two sorted arrays."""
     if len(a) > len(b):
@@ -162,16 +186,14 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 class Tile:
     """Sets that are compared in one task; ``forest`` gets a link for every two components that grow together."""
 
-    def __init__(self, keys: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None):
+    def __init__(self, keys: list[int], sets: list[np.ndarray], percent: int):
         order = np.argsort([len(s) for s in sets], kind="stable")
         self.keys, self.sets = [keys[i] for i in order], [sets[i] for i in order]
         self.place = {int(i): j for j, i in enumerate(order)}
         self.sizes = np.array([len(s) for s in self.sets])
         self.percent = percent
-        bits = min(BITS[1], max(BITS[0], 1 << int(self.sizes.max() - 1).bit_length()))
-        self.signs = signatures(self.sets, bits)
-        start = np.arange(len(sets)) if known is None else np.unique([known[i] for i in order], return_inverse=True)[1]
-        self.comp = start.astype(np.int64)
+        self.signs = signatures(self.sets, signature_bits(int(self.sizes.max())))
+        self.comp = np.arange(len(sets))
         self.forest: list[tuple[int, int]] = []
 
     def meet(self, i: int, others: np.ndarray) -> None:
@@ -179,10 +201,8 @@ class Tile:
         others = others[self.comp[others] != self.comp[i]]
         if not len(others):
             return
-        n, m = self.sizes[i], self.sizes[others]
         apart = np.bitwise_count(self.signs[others] ^ self.signs[i]).sum(axis=1, dtype=np.int64)
-        overlap = np.minimum((n + m - apart) // 2, np.minimum(n, m))
-        for j in others[100 * overlap >= self.percent * (n + m - overlap)]:
+        for j in others[may_link(self.sizes[i], self.sizes[others], apart, self.percent)]:
             if self.comp[i] != self.comp[j] and links(self.sets[i], self.sets[j], self.percent):
                 self.forest.append((self.keys[i], self.keys[j]))
                 self.comp[self.comp == self.comp[j]] = self.comp[i]
@@ -206,18 +226,6 @@ def compare_all(keys: list[int], sets: list[np.ndarray], central: list[float], p
     return tile.forest
 
 
-def compare_sides(keys, sets, known, left, right, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets marked ``left`` and those marked ``right``, starting from known components."""
-    tile = Tile(keys, sets, percent, known)
-    mark = np.zeros((2, len(sets)), bool)
-    for i, j in tile.place.items():
-        mark[0, j], mark[1, j] = left[i], right[i]
-    for i in np.flatnonzero(mark[0]):
-        near = tile.fitting(i)
-        tile.meet(i, near[mark[1, near]])
-    return tile.forest
-
-
 FOREST = "a long, b long"
 
 
@@ -239,16 +247,49 @@ def _whole_tiles(percent: int):
     return run
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id, signature) of rows (set_id, text) whose text has that set."""
+    words = WordHashes()
+    for batch, texts in chunks(batches):
+        sets = shingle_sets(texts, words)
+        keys = batch.column(0).to_pylist()
+        good = [i for i, (s, k) in enumerate(zip(sets, keys)) if set_id(s) == k]
+        signs = [signatures([sets[i]], signature_bits(len(sets[i])))[0].tobytes() for i in good]
+        yield pa.record_batch([pa.array([keys[i] for i in good], pa.int64()), pa.array(signs, pa.binary())], names=["set_id", "sign"])
+
+
 def _side_tiles(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf.groupby("set_id")["left"].agg(["any", "all"])
+        """Pairs of a left and a right set with different labels whose signatures allow a link."""
+        signs = [np.frombuffer(x, np.uint64) for x in pdf["sign"]]
+        words = min(map(len, signs))
+        signs = np.stack([folded(x, words) for x in signs])
+        left = pdf["left"].to_numpy(bool)
+        n, label, key = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["set_id"].to_numpy()
+        right = np.flatnonzero(~left)
+        right = right[np.argsort(n[right], kind="stable")]
+        found = []
+        for i in np.flatnonzero(left):
+            low, high = np.searchsorted(n[right], [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+            near = right[low:high]
+            near = near[label[near] != label[i]]
+            apart = np.bitwise_count(signs[near] ^ signs[i]).sum(axis=1, dtype=np.int64)
+            near = near[may_link(n[i], n[near], apart, percent)]
+            found += [(min(key[i], k), max(key[i], k)) for k in key[near]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _exact_links(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of the set ``key[0]`` with the others of its part."""
         pdf, sets = _tile_sets(pdf.sort_values("set_id"))
-        left = sides["any"].reindex(pdf["set_id"]).to_numpy(bool)
-        right = ~sides["all"].reindex(pdf["set_id"]).to_numpy(bool)
-        if not len(pdf) or not left.any() or not right.any():
+        ids = list(pdf["set_id"])
+        if key[0] not in ids:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = compare_sides(list(pdf["set_id"]), sets, list(pdf["label"]), left, right, percent)
-        return pd.DataFrame(found, columns=["a", "b"])
+        own = sets[ids.index(key[0])]
+        return pd.DataFrame([(key[0], k) for k, s in zip(ids, sets) if k != key[0] and links(own, s, percent)], columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -258,13 +299,27 @@ def _band(n) -> F.Column:
     return F.floor(F.log(n.cast("double")) / math.log(1.26)).cast("int")
 
 
+def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with their texts; few other texts are shuffled.
+
+    Members' ids set bits of a map of fixed size, kept as at most 2**MAP_BITS / 64 rows, so it may be broadcast
+    whatever the number of members. Documents without their bit are left out before the exact join.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    word, bit = F.shiftright(place, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << MAP_BITS}) & 63 as int))")
+    bits = written(members.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bits")
+    likely = texts.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word").filter(
+        F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    return likely.join(members.hint("merge"), "doc_id")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id long, text string).
 
     component_id is the least doc_id that links reach, the row's own included. Null texts and texts without words
-    have the empty set, are linked with nothing and keep their own id; a null id takes part in links, is never a
-    component id unless no other is there, and stays null. Rows that repeat give a row each; other columns are
-    ignored. Set identity and intersections use 64-bit hashes of the shingles.
+    have the empty set, are linked with nothing and keep their own id. A row without an id is in the class of the
+    documents that have its shingles and brings no further links; its own id stays null. Rows that repeat give a
+    row each; other columns are ignored. Set identity and intersections use 64-bit hashes of the shingles.
     """
     if not 78 <= percent <= 100:
         raise ValueError("bands are made for 78 to 100 per cent")
@@ -274,17 +329,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = described.filter("kind = 0").select("doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("set_id"))
     order = spark.sparkContext.broadcast(_frequent(described, spark))
     prefixes = docs.mapInArrow(_prefixes(order, percent), "shingle long, set_id long, n long")
-    # lists of one set are left out in one pass over the sorted shingles; a set may come from several tasks
-    by_shingle = W.partitionBy("shingle").orderBy("set_id")
-    lists = prefixes.withColumn("before", F.lag("set_id").over(by_shingle)).withColumn("after", F.lead("set_id").over(by_shingle))
-    shared = lists.filter("before <> set_id or after <> set_id").select("shingle", "set_id", "n").distinct()
-    lists = written(shared, "lists")
-
-    share = F.count("*") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    central = written(lists.groupBy("set_id", "n").agg(share.alias("central")), "central")
-    ranked = lists.join(central.select("set_id", "central"), "set_id")
-    hubs = ranked.groupBy("shingle").agg(F.max(F.struct("central", "set_id"))["set_id"].alias("hub"))
-    groups = connected(ranked.select("shingle", "set_id").join(hubs, "shingle"), "set_id", "hub")
+    # sets of a list in order of size: sets that link are joined by a chain of neighbours whose sizes allow a link
+    by_size = W.partitionBy("shingle").orderBy("n", "set_id")
+    chain = prefixes.select("set_id", "n", F.lag("set_id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
+    chain = chain.filter((F.col("before") != F.col("set_id")) & (100 * F.col("m") >= percent * F.col("n")))
+    chain = written(chain.groupBy("set_id", "n", "before", "m").agg(F.count("*").alias("shared")), "chain")
+
+    ends = chain.select("set_id", "n", "shared").union(chain.select("before", "m", "shared"))
+    share = F.sum("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    central = ends.groupBy("set_id", "n").agg(share.alias("central"))
+    groups = connected(chain, "set_id", "before")
 
     # one document stands for all that have its set
     chosen = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -295,11 +349,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     small = members.join(large, "group", "left_anti").select("set_id", "group", "central", "doc_id")
     texts = docs.filter("doc_id is not null and text is not null")
-    forest = texts.join(small, "doc_id").groupBy("group").applyInPandas(_whole_tiles(percent), FOREST)
+    forest = _with_texts(texts, small).groupBy("group").applyInPandas(_whole_tiles(percent), FOREST)
     rest = members.join(large, "group")
     found = [written(forest, "forest")]
     if not large.isEmpty():
-        rest = written(texts.join(rest, "doc_id"), "rest")
+        rest = written(_with_texts(texts, rest), "rest")
         found += _large_groups(rest, percent)
     edges = found[0]
     for more in found[1:]:
@@ -326,26 +380,34 @@ def _large_groups(rest: DataFrame, percent: int) -> list[DataFrame]:
     tiles = own.withColumn("at", F.col("band")).select(columns).union(guests.select(columns))
     first = written(tiles.groupBy("group", "at", "block").applyInPandas(_whole_tiles(percent), FOREST), "forest")
 
-    # then what is not in its group's largest component meets all fitting blocks
+    # then what is not in its group's largest component meets all fitting blocks, by signature
     labels = connected(first, "a", "b").select(F.col("node").alias("set_id"), "root")
-    rest = rest.join(labels, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
-    rest = written(rest, "labelled")
-    main = rest.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(
+    signed = written(rest.select("set_id", "text").mapInArrow(_signed, "set_id long, sign binary").dropDuplicates(["set_id"]), "signed")
+    flat = rest.select("set_id", "group", "n", "band").distinct().join(signed, "set_id").join(labels, "set_id", "left")
+    flat = written(flat.withColumn("label", F.coalesce("root", "set_id")).drop("root"), "labelled")
+    main = flat.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(
         F.max(F.struct("c", "label"))["label"].alias("main"))
-    apart = rest.join(main, "group").filter("label <> main").drop("main")
-    cut = lambda df, name: df.groupBy("group", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias(name))
-    left_blocks, right_blocks = cut(apart, "lefts"), cut(rest, "rights")
+    apart = flat.join(main, "group").filter("label <> main").drop("main")
+    cut = lambda df, name: df.groupBy("group", "band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(name))
+    left_blocks, right_blocks = cut(apart, "lefts"), cut(flat, "rights")
     grid = left_blocks.withColumnRenamed("band", "l_band").join(right_blocks.withColumnRenamed("band", "r_band"), "group").filter(
         F.abs(F.col("l_band") - F.col("r_band")) <= 1)
     grid = written(grid.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn(
         "r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))), "grid")
     hashed = F.xxhash64("set_id")
-    columns = ["group", "l_band", "l", "r_band", "r", "set_id", "label", "text"]
+    columns = ["group", "l_band", "l", "r_band", "r", "set_id", "n", "label", "sign"]
     lefts = apart.withColumnRenamed("band", "l_band").join(grid, ["group", "l_band"]).filter(F.pmod(hashed, "lefts") == F.col("l"))
-    rights = rest.withColumnRenamed("band", "r_band").join(grid, ["group", "r_band"]).filter(F.pmod(hashed, "rights") == F.col("r"))
+    rights = flat.withColumnRenamed("band", "r_band").join(grid, ["group", "r_band"]).filter(F.pmod(hashed, "rights") == F.col("r"))
     tiles = lefts.select(*columns, F.lit(True).alias("left")).union(rights.select(*columns, F.lit(False).alias("left")))
-    second = tiles.groupBy("group", "l_band", "l", "r_band", "r").applyInPandas(_side_tiles(percent), FOREST)
-    return [first, written(second, "forest")]
+    pairs = written(tiles.groupBy("group", "l_band", "l", "r_band", "r").applyInPandas(_side_tiles(percent), FOREST).distinct(), "pairs")
+
+    # pairs that the signatures leave open are decided on the texts, at most PART partners of a set in a task
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    body = rest.select("set_id", "text")
+    both = placed.select("a", "part", F.col("b").alias("set_id")).union(placed.select("a", "part", F.col("a").alias("set_id")).distinct())
+    decided = both.join(body, "set_id").groupBy("a", "part").applyInPandas(_exact_links(percent), FOREST)
+    return [first, written(decided, "forest")]
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

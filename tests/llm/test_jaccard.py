@@ -66,6 +66,8 @@ def answer(df):
 @pytest.mark.parametrize("seed,tile", [(1, 1_500_000), (2, 900), (3, 2500)])
 def test_classes_equal_all_pairs(spark, monkeypatch, seed, tile):
     monkeypatch.setattr(op2_jaccard, "TILE", tile)
+    monkeypatch.setattr(op2_jaccard, "SIDE", 20)
+    monkeypatch.setattr(op2_jaccard, "PART", 3)
     rows = corpus(seed) + EDGES
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert answer(op2_jaccard.jaccard_classes(df)) == brute(rows)
@@ -98,7 +100,9 @@ def test_empty_table(spark):
     assert answer(op2_jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("contract", [12, 10**6])
+def test_components_of_chains_and_stars(spark, monkeypatch, contract):
+    monkeypatch.setattr(components, "CONTRACT", contract)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 40)] + [(40, 41), (41, 40), (7, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {i: 100 for i in range(100, 161)} | {5: 5} | {i: 5 for i in range(10, 40)} | {40: 40, 41: 40}
