@@ -17,6 +17,9 @@ from fleetlens.llm.common import table
 
 # Element names by role.
 SILENT = frozenset("script style noscript template head title svg math iframe object select button textarea canvas audio video".split())
+# Silent elements whose content is skipped up to their closing tag, whatever it holds, and those that may stand in a head.
+RAW = frozenset("script style noscript template title iframe textarea".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -30,8 +33,11 @@ ASIDE_WORDS = re.compile(
     r"footer|header|masthead|menu|nav|navbar|navigation|newsletter|pager|pagination|popup|modal|related|recommended|share|sharing|"
     r"sidebar|social|subscribe|signup|login|widget|copyright|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 
+# A quote opens a value only behind "="; "<" is allowed in quoted values alone, so a bare one never takes text or a closing tag along.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*+)"
+    r"(?P<attrs>(?:=\s*\"(?:[^\"]*\"|[^\">]*\Z)|=\s*'(?:[^']*'|[^'>]*\Z)|[^<>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+QUOTED, UNQUOTED_END = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"=\s*[^\s\"']\S*\Z")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -64,6 +70,35 @@ class _Page:
                                      bool(names & HEADINGS)))
         self.parts = []
 
+    def silent(self) -> bool:
+        return any(n in SILENT for n, _ in self.open)
+
+    def add(self, source: str) -> None:
+        if source and not source.isspace():
+            self.end_head()
+        if source and not self.silent():
+            self.parts.append((html.unescape(source), any(n == "a" for n, _ in self.open)))
+
+    def close(self, name: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == name:
+                del self.open[i:]
+                break
+
+    def end_head(self, within: bool = False) -> None:
+        """Ends a head that was left open, for what belongs to the body: text in no element of the head, other elements."""
+        if self.open and self.open[-1][0] == "head" or within and any(n == "head" for n, _ in self.open):
+            self.close("head")
+
+    def end_drawing(self) -> None:
+        """Ends drawings and formulas that were left open before a block of text."""
+        names = [n for n, _ in self.open]
+        for i, n in enumerate(names):
+            if n in ("svg", "math"):
+                if not {"foreignobject", "annotation-xml"} & set(names[i:]):
+                    del self.open[i:]
+                break
+
 
 def _aside(name: str, attrs: str, inside_main: bool) -> bool:
     if name in ASIDE or (name == "header" and not inside_main):
@@ -73,47 +108,68 @@ def _aside(name: str, attrs: str, inside_main: bool) -> bool:
     return any(ASIDE_WORDS.search(a or b or c) for a, b, c in MARKS.findall(attrs))
 
 
+def _self_closed(attrs: str) -> bool:
+    """A slash that ends an unquoted value closes nothing."""
+    return attrs.endswith("/") and not UNQUOTED_END.search(QUOTED.sub('""', attrs))
+
+
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where the content of a raw element that starts at ``at`` and its closing tag end, or -1 if nothing closes it."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>]|\Z)", re.I).finditer(source, at):
+        if m[1]:
+            depth -= 1
+        elif name == "template":  # the only one that nests
+            depth += 1
+        if not depth:
+            return source.find(">", m.end()) + 1 or len(source)
+    return -1
+
+
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and cut-off markup is read as far as it goes."""
-    page, at, silent = _Page(), 0, ""
-    for m in TOKEN.finditer(source):
+    page, at, unclosed = _Page(), 0, set()
+    while m := TOKEN.search(source, at):
         name = (m["name"] or "").lower()
-        if silent:
-            if name == silent and m["close"]:
-                silent = ""
-            at = m.end()
-            continue
-        if m.start() > at:
-            page.parts.append((html.unescape(source[at : m.start()]), any(n == "a" for n, _ in page.open)))
+        page.add(source[at : m.start()])
         at = m.end()
         if not name:
             continue
-        if name in SILENT:
-            if not m["close"] and not m["attrs"].endswith("/"):
-                silent = name
+        if m["close"]:
+            if name in BREAKS and not page.silent():
+                page.end_block()
+            page.close(name)
+            continue
+        if name not in IN_HEAD and name != "head":
+            page.end_head(True)
+        if name in RAW:
+            if _self_closed(m["attrs"]):
+                continue
+            end = -1 if name in unclosed else _raw_end(source, name, at)
+            if end >= 0 or name in ("script", "style"):
+                at = end if end >= 0 else len(source)
+                continue
+            unclosed.add(name)
+        elif name in SILENT and _self_closed(m["attrs"]):
             continue
-        if name in BREAKS:
+        if name in BREAKS and name not in VOID:
+            page.end_drawing()
+        if name in BREAKS and not page.silent():
             page.end_block()
         elif name == "br":
             page.parts.append((" ", False))
-        if m["close"]:
-            for i in range(len(page.open) - 1, -1, -1):
-                if page.open[i][0] == name:
-                    del page.open[i:]
-                    break
-        elif name not in VOID:
+        if name not in VOID:
             if name in ("p", "li", *HEADINGS) and page.open and page.open[-1][0] == name:
                 page.open.pop()
             elif name == "p":  # a new paragraph ends an open one together with the inline elements in it
                 for i in range(len(page.open) - 1, -1, -1):
-                    if page.open[i][0] in BREAKS:
+                    if page.open[i][0] in SILENT or page.open[i][0] in BREAKS:
                         if page.open[i][0] == "p":
                             del page.open[i:]
                         break
             inside = any(n in MAIN for n, _ in page.open)
             page.open.append((name, _aside(name, m["attrs"], inside)))
-    if not silent and at < len(source):
-        page.parts.append((html.unescape(source[at:]), any(n == "a" for n, _ in page.open)))
+    page.add(source[at:])
     page.end_block()
     return page.blocks
 

@@ -151,6 +151,28 @@ def test_main_text(source, text):
     assert op6_html.main_text(source, op6_html.trained()) == text
 
 
+TEXT = "This paragraph of the article is long enough to be kept as main text of the page."
+WRAPPED = f"<article><p>{TEXT}</p></article>"
+
+
+@pytest.mark.parametrize("source,text", [
+    (f"<body><script>if(a<b){{c()}}</script>{WRAPPED}</body>", TEXT),
+    (f"<body><script>x='<p>';y=\"it's</p>\"</SCRIPT >{WRAPPED}", TEXT), (f"<script src=/a/>var hidden</script>{WRAPPED}", TEXT),
+    (f"<html><head><title>T</title><meta charset=x><body>{WRAPPED}</body></html>", TEXT),
+    (f"<head><title>T</title><style>a<b</style>{WRAPPED}", TEXT), (f"<head><title>Not closed<body>{WRAPPED}", TEXT),
+    (f"<head><noscript><img src=x></noscript><title>a <b</title></head>{WRAPPED}", TEXT),
+    (f"<article><p>{TEXT} if x <y then</p><p>{TEXT}</p></article>", f"{TEXT} if x <y then\n{TEXT}"),
+    (f"<article><p>{TEXT} x <y don't</p><p>{TEXT} it's</p></article>", f"{TEXT} x <y don't\n{TEXT} it's"),
+    (f"<article><p title='a<b>c' data-x=5\">{TEXT}</p></article>", TEXT), (f"<article><!--><p>{TEXT}</p><!-- --></article>", TEXT),
+    (f"<template><template>no</template></div>no</template>{WRAPPED}", TEXT), (f"<textarea><p>a</textarea>{WRAPPED}", TEXT),
+    (f"<div><button>Share</div><p><select><option>a</p>{WRAPPED}", TEXT), (f"<svg><title>a</title><g>{WRAPPED}", TEXT),
+    (f"<article><p>{TEXT} <button><p>no</p>no</button></p></article>", TEXT), (f"{WRAPPED}<script>no <p>no</p>", TEXT),
+    (f'{WRAPPED}<a title="x < y', TEXT),
+])
+def test_main_text_is_not_cut_by_markup(source, text):
+    assert op6_html.main_text(source, op6_html.trained()) == text
+
+
 def test_html_keeps_rows_and_columns(spark):
     long_page = "<article>" + "<p>One of very many paragraphs.</p>" * 20_000
     rows = [(1, PAGE, 7), (1, PAGE, 7), (2, None, None), (3, long_page, 1)]
