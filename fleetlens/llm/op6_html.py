@@ -27,9 +27,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
-# Words in class, id or role that mark a container as something other than the article.
+# Asides that hold no article of the page: other ones prove to be wrappers when it begins in them.
+FIRM = ASIDE - {"form"}
+# Words in class, id or role that mark a container as something other than the article, unless "has" or the
+# like stands before them.
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|disqus|cookies?|consent|notice|alert|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?<!\bno[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|disqus|cookies?|consent|notice|alert|"
     r"footer|header|masthead|menu|nav|navbar|navigation|newsletter|pager|pagination|popup|modal|related|recommended|share|sharing|"
     r"sidebar|social|subscribe|signup|login|widget|copyright|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 
@@ -41,6 +44,10 @@ QUOTED, UNQUOTED_END = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"=\s*[^\s\
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+#: Words of a block of an article from which on the page's article has been found.
+TOLD = 10
+
+
 @dataclass
 class Block:
     text: str
@@ -59,15 +66,22 @@ class Block:
 class _Page:
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
-    open: list[tuple[str, bool]] = field(default_factory=list)  # element, whether it is an aside
+    open: list[tuple[str, str]] = field(default_factory=list)  # element, what makes it an aside
+    wraps: set[str] = field(default_factory=set)  # such names that turned out to be those of wrappers
+    has_main: bool = False
+    main_told: bool = False  # whether a main element has given text
+    told: bool = False  # whether an article has
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             names = {n for n, _ in self.open}
             linked = sum(len(t.split()) for t, in_link in self.parts if in_link)
-            self.blocks.append(Block(text, len(text.split()), linked, bool(names & MAIN), any(a for _, a in self.open),
-                                     bool(names & HEADINGS)))
+            block = Block(text, len(text.split()), linked, bool(names & MAIN), any(a for _, a in self.open),
+                          bool(names & HEADINGS))
+            self.blocks.append(block)
+            self.main_told |= "main" in names and not block.aside
+            self.told |= block.main and not block.aside and block.words >= TOLD and block.density < 0.5
         self.parts = []
 
     def silent(self) -> bool:
@@ -90,6 +104,16 @@ class _Page:
         if self.open and self.open[-1][0] == "head" or within and any(n == "head" for n, _ in self.open):
             self.close("head")
 
+    def unwrap(self, name: str) -> None:
+        """An article or main begins: what its open containers are called does not make it an aside.
+
+        Comments and teasers, too, are articles in containers with such names, but come after the page's article or beside
+        its main element; there the names count.
+        """
+        if name == "main" or not self.told and (not self.has_main or any(n == "main" for n, _ in self.open)):
+            self.wraps |= {a for n, a in self.open if a and n not in FIRM}
+            self.open = [(n, a if n in FIRM else "") for n, a in self.open]
+
     def end_drawing(self) -> None:
         """Ends drawings and formulas that were left open before a block of text."""
         names = [n for n, _ in self.open]
@@ -100,12 +124,13 @@ class _Page:
                 break
 
 
-def _aside(name: str, attrs: str, inside_main: bool) -> bool:
+def _aside(name: str, attrs: str, inside_main: bool) -> str:
+    """What makes an element an aside: its name, or its class, id and role; empty for others."""
     if name in ASIDE or (name == "header" and not inside_main):
-        return True
+        return name
     if name in ("html", "body", "article", "main") or not attrs:
-        return False
-    return any(ASIDE_WORDS.search(a or b or c) for a, b, c in MARKS.findall(attrs))
+        return ""
+    return " ".join(v for a, b, c in MARKS.findall(attrs) if ASIDE_WORDS.search(v := a or b or c))
 
 
 def _self_closed(attrs: str) -> bool:
@@ -128,7 +153,12 @@ def _raw_end(source: str, name: str, at: int) -> int:
 
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and cut-off markup is read as far as it goes."""
-    page, at, unclosed = _Page(), 0, set()
+    page = _scan(source, "<main" in source.lower())
+    return (page if page.main_told or not page.has_main else _scan(source, False)).blocks
+
+
+def _scan(source: str, has_main: bool) -> _Page:
+    page, at, unclosed = _Page(has_main=has_main), 0, set()
     while m := TOKEN.search(source, at):
         name = (m["name"] or "").lower()
         page.add(source[at : m.start()])
@@ -167,11 +197,14 @@ def blocks(source: str) -> list[Block]:
                         if page.open[i][0] == "p":
                             del page.open[i:]
                         break
+            if name in MAIN and not page.silent():
+                page.unwrap(name)
             inside = any(n in MAIN for n, _ in page.open)
-            page.open.append((name, _aside(name, m["attrs"], inside)))
+            aside = _aside(name, m["attrs"], inside)
+            page.open.append((name, "" if aside in page.wraps and name not in FIRM else aside))
     page.add(source[at:])
     page.end_block()
-    return page.blocks
+    return page
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "main", "aside", "heading")

@@ -173,6 +173,26 @@ def test_main_text_is_not_cut_by_markup(source, text):
     assert op6_html.main_text(source, op6_html.trained()) == text
 
 
+OTHER = "A reader says that this is wrong in every way that they can think of today."
+REPLY = f"<article class=reply><p>{OTHER}</p></article>"
+
+
+@pytest.mark.parametrize("source,text", [
+    *((f'<body><div class="{c}">{WRAPPED}</div></body>', TEXT) for c in
+      ("has-sidebar", "content-sidebar-wrap", "with-nav", "page search-results", "header no-ads")),
+    (f'<div class="content-sidebar-wrap"><main><p>{TEXT}</p><div class="ad"><p>{OTHER}</p></div></main></div>', TEXT),
+    (f'<div class="search-results">{WRAPPED}{WRAPPED}</div><div id=comments>{REPLY}{REPLY}</div>', f"{TEXT}\n{TEXT}"),
+    (f'<div class="row sidebar-row">{WRAPPED}</div><div class="row sidebar-row">{WRAPPED}</div>', f"{TEXT}\n{TEXT}"),
+    (f'<main><h1>Title</h1><div class="sidebar-left">{WRAPPED}<div id=comments>{REPLY}</div></div></main>', f"Title\n{TEXT}"),
+    (f'<form id=page><nav>{REPLY}</nav>{WRAPPED}</form>', TEXT), (f'<div class=related>{REPLY}</div><div class=sidebar><main><p>{TEXT}</p></main>', TEXT),
+    (f'<!-- <main> --><div class=page-header>{WRAPPED}</div>', TEXT), (f'<div class=my-menu>{WRAPPED}</div><main> </main>', TEXT),
+    (f'<article><p>{TEXT}</p><section class=comments>{REPLY}</section></article>', TEXT), (f'<aside>{REPLY}</aside>{WRAPPED}', TEXT),
+    (f'<div class="has-sidebar"><p>{TEXT}</p><p>{TEXT}</p></div>', f"{TEXT}\n{TEXT}"),
+])
+def test_main_text_in_wrappers(source, text):
+    assert op6_html.main_text(source, op6_html.trained()) == text
+
+
 def test_html_keeps_rows_and_columns(spark):
     long_page = "<article>" + "<p>One of very many paragraphs.</p>" * 20_000
     rows = [(1, PAGE, 7), (1, PAGE, 7), (2, None, None), (3, long_page, 1)]
