@@ -112,15 +112,17 @@ class Order:
 def _frequent(described: DataFrame, spark) -> Order:
     """The most frequent shingles, never more than ``KNOWN`` of them, as one small table for all tasks."""
     total = written(described.filter("kind = 1").groupBy(F.col("b").alias("shingle")).agg(F.sum("a").alias("count")), "frequent")
-    # counts above 1000 are one class here, so this is a table of at most 1000 rows
-    classes = total.groupBy(F.least("count", F.lit(1000)).alias("count")).agg(F.count("*").alias("n")).collect()
-    least, room = 1001, KNOWN
-    for r in sorted(classes, key=lambda r: -r["count"]):
-        if r["n"] > room:
+    # counts above 1000 are classes one hundredth wide, so this is a table of at most 5000 rows whatever the counts
+    wide = 1000 + F.floor(100 * F.log(F.col("count") / 1000))
+    total = total.withColumn("class", F.when(F.col("count") < 1000, F.col("count")).otherwise(wide))
+    classes = total.groupBy("class").agg(F.count("*").alias("n")).collect()
+    taken, room = [], KNOWN
+    for r in sorted(classes, key=lambda r: -r["class"]):
+        if r["n"] > room:  # nothing of a class that does not fit
             break
         room -= r["n"]
-        least = r["count"]
-    known = total.filter(F.col("count") >= least).toArrow()
+        taken.append(r["class"])
+    known = total.filter(F.col("class") >= taken[-1] if taken else F.lit(False)).select("shingle", "count").toArrow()
     shingles = known.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
     return Order(shingles[order], np.minimum(known.column("count").to_numpy()[order], 2**31 - 1).astype(np.int32))

@@ -73,6 +73,25 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, tile):
     assert answer(op2_jaccard.jaccard_classes(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("counts,known,want", [
+    ([1500] * 30, 10, 0), ([10**6] * 5 + [1500] * 30, 10, 5), ([10**6] * 5 + [1500] * 30, 35, 35), ([2**62] * 2 + [900, 2, 2], 4, 3),
+    ([3] * 4, 3, 0), ([3] * 4, 4, 4), ([], 4, 0),
+])
+def test_known_shingles_are_bounded(spark, monkeypatch, counts, known, want):
+    monkeypatch.setattr(op2_jaccard, "KNOWN", known)
+    described = spark.createDataFrame([(1, None, c, i) for i, c in enumerate(counts)], "kind int, doc_id long, a long, b long")
+    order = op2_jaccard._frequent(described, spark)
+    assert sorted(order.shingles.tolist()) == list(range(want))
+
+
+@pytest.mark.parametrize("known", [0, 40])
+def test_few_known_shingles_change_no_class(spark, monkeypatch, known):
+    monkeypatch.setattr(op2_jaccard, "KNOWN", known)
+    rows = corpus(5) + EDGES
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert answer(op2_jaccard.jaccard_classes(df)) == brute(rows)
+
+
 def test_base_of_copies_that_do_not_link_with_each_other(spark, monkeypatch):
     monkeypatch.setattr(op2_jaccard, "TILE", 4000)
     rng = random.Random(4)
