@@ -76,9 +76,10 @@ def search(k: int):
             if j % TOGETHER == 0:
                 guesses, error = codes.estimate(queries[j : j + TOGETHER])
             guess, norm = guesses[j % TOGETHER], np.linalg.norm(query)
-            first = best(guess, ids, 2 * k + 1)
+            own = max(1, int((ids == q_ids[j]).sum()))
+            first = best(guess, ids, 2 * k + own)
             exact = vecs[first] @ query
-            bar = np.sort(exact)[-(k + 1)] if len(exact) > k else -np.inf
+            bar = np.sort(exact)[-(k + own)] if len(exact) >= k + own else -np.inf
             near = np.union1d(np.flatnonzero(guess + error * norm >= bar), first)
             near = near[ids[near] != q_ids[j]]
             exact = _products(vecs[near], query)
@@ -106,12 +107,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, **blocks) -> DataFrame:
 
     Both sides are (vec_id long, vec array<double>). A query's own vec_id is no candidate. Rows with a null id or a
     null, zero or empty vector, or one with null or non-finite components, take no part; shorter vectors count as
-    filled with zeros; rows that repeat an id are kept once. Empty inputs give no row. Every row is indexed.
+    filled with zeros; equal rows that repeat are kept once. Rows of one id with different vectors are
+    all candidates and all ask, under their id. Empty inputs give no row. Every row is indexed.
     """
     def whole(df: DataFrame) -> DataFrame:
         return df.select("vec_id", "vec").filter(
             F.col("vec_id").isNotNull() & finite_vector(F.col("vec")) & F.exists("vec", lambda x: x != 0)
-        ).dropDuplicates(["vec_id"])
+        ).dropDuplicates(["vec_id", "vec"])
 
     return block_search(whole(rows), whole(queries), k, "float64", "double", search(k), build_codes, **blocks)
 

@@ -92,8 +92,8 @@ def search(k: int):
         built = ImpactIndex(index, dims, vecs)
         rows, asked, scores = [], [], []
         for j, query in enumerate(queries):
-            # the query's own row is left out afterwards, so one more is kept
-            members, _ = built.possible(query, k + 1)
+            # the rows of the query's own id are left out afterwards, so as many more are kept
+            members, _ = built.possible(query, k + max(1, int((ids == q_ids[j]).sum())))
             exact = vecs[members] @ query
             other = ids[members] != q_ids[j]
             members, exact = members[other], exact[other]
@@ -113,10 +113,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, **blocks) -> DataFrame:
 
     Both sides are (vec_id long, vec array<long>). A query's own vec_id is no candidate. Rows with a null id, a null
     vector or a null component take no part; vectors of different length count as filled with zeros; equal rows
-    that repeat are kept once. Scores must fit a long (components below 2**28 are safe). Empty inputs give no row.
+    that repeat are kept once. Rows of one id with different vectors are all candidates and all ask, under their id. Scores must fit a long (components below 2**28 are safe). Empty inputs give no row.
     """
     whole = lambda df: df.select("vec_id", "vec").filter(
-        F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).dropDuplicates(["vec_id"])
+        F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).dropDuplicates(["vec_id", "vec"])
     found = block_search(whole(rows), whole(queries), k, "int64", "long", search(k), build_index, **blocks)
     return found
 

@@ -117,3 +117,28 @@ def test_error_bounds_hold():
     guess, error = codes.estimate(queries)
     inside = np.abs(guess - queries @ vecs.T) <= error * np.linalg.norm(queries, axis=1)[:, None]
     assert inside.mean() > 0.98
+
+
+@pytest.mark.parametrize("find,kind", [(op1_topk.top_k, "long"), (op10_ann.nearest, "double")])
+def test_rows_of_one_id_with_different_vectors_all_take_part(spark, find, kind):
+    cast = int if kind == "long" else float
+    pairs = [(1, (1, 2)), (1, (9, 1)), (1, (9, 1)), (2, (3, 3)), (2, (7, 5)), (2, (7, 5)), (3, (4, 8)), (4, (2, 6)), (4, (6, 2))]
+    rows = spark.createDataFrame([(i, [cast(x) for x in v]) for i, v in pairs], f"vec_id long, vec array<{kind}>").repartition(3)
+    distinct = sorted(set(pairs))
+    want = []
+    for q in (1, 2):
+        scores = sorted((-(a[0] * b[0] + a[1] * b[1]), j) for i, a in distinct for j, b in distinct if i == q and j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores[:6])]
+    assert sorted(tuple(r) for r in find(rows, rows.filter("vec_id <= 2"), 6).collect()) == want
+
+
+@pytest.mark.parametrize("find,kind", [(op1_topk.top_k, "long"), (op10_ann.nearest, "double")])
+def test_many_rows_of_the_own_id_leave_no_candidate_out(spark, find, kind):
+    rng, cast = random.Random(8), int if kind == "long" else float
+    pairs = [(1, [cast(100 + i), cast(100)] + [cast(0)] * 6) for i in range(40)]
+    pairs += [(i, [cast(rng.randint(-20, 20)) for _ in range(8)]) for i in range(2, 500)]
+    rows = spark.createDataFrame(pairs, f"vec_id long, vec array<{kind}>")
+    asks = rows.filter("vec_id = 1").limit(1)
+    q = asks.first().vec
+    want = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in pairs if i != 1)[:5]
+    assert [(r.vec_id, r.score) for r in find(rows, asks, 5).orderBy("rank").collect()] == [(i, -s) for s, i in want]
