@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers' file of this name is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def vocabulary_text(path: str | None = None) -> str:
+    """The JSON of a tokenizer, read by the driver; tasks get it with their function."""
+    with open(path or vocabulary_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+@functools.lru_cache(maxsize=1)
+def library_tokenizer(content: str):
+    """The tokenizers library's tokenizer of this JSON on one thread, one per worker. Special tokens' strings in a text are text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1. Null ids are never learned."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
