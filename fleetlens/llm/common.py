@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import os
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,19 @@ def library_tokenizer(content: str):
     return tokenizer
 
 
+def pack(*arrays: bytes) -> bytes:
+    """Several byte strings as one, compressed."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    return zstandard.ZstdCompressor(level=5).compress(np.int64(len(arrays)).tobytes() + sizes.tobytes() + b"".join(arrays))
+
+
+def unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw, np.int64, n, 8))
+    return [raw[a:b] for a, b in zip(np.r_[8 * (n + 1), ends[:-1]], ends)]
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1. Null ids are never learned."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
