@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +58,37 @@ def library_tokenizer(content: str):
     return tokenizer
 
 
+def release_memory() -> None:
+    """Give freed memory back to the machine. Workers are reused, and what they keep adds up over stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition, with the memory that it used given back at the end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def text_slices(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch cut into runs of rows with about ``size`` code points of text, beyond one text; only a run's texts are held."""
+    texts, start, held, found = batch.column(batch.schema.get_field_index(column)), 0, 0, []
+    for i in range(batch.num_rows):
+        found.append(texts[i].as_py())
+        held += len(found[-1] or "")
+        if held >= size or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start), found
+            start, held, found = i + 1, 0, []
+
+
 def pack(*arrays: bytes) -> bytes:
     """Several byte strings as one, compressed."""
     sizes = np.array([len(a) for a in arrays], np.int64)

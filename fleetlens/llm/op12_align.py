@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import library_tokenizer, pack, table, unpack, vocabulary_path, vocabulary_text, written
+from fleetlens.llm.common import library_tokenizer, pack, releasing, table, text_slices, unpack, vocabulary_path, vocabulary_text, written
 from fleetlens.llm.op5_bpe import from_planes, pieces, planes
 
 #: Text code points encoded at once, and of a chunk of documents, beyond one document each.
@@ -117,18 +117,6 @@ def align_texts(texts: list[str | None], encode_first, encode_second, aligner: A
     return out
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Ids and texts of a batch's rows, about ``SLICE`` code points at a time."""
-    ids, column = batch.column(0), batch.column(1)
-    start, texts, size = 0, [], 0
-    for i in range(len(column)):
-        texts.append(column[i].as_py())
-        size += len(texts[-1] or "")
-        if size >= SLICE or i == len(column) - 1:
-            yield ids.slice(start, i + 1 - start), texts
-            start, texts, size = i + 1, [], 0
-
-
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 PACKED = "chunk long, payload binary, pairs array<long>, times array<long>"
 
@@ -163,8 +151,8 @@ def aligned_chunks(docs: DataFrame, content: str, model: bytes) -> DataFrame:
         second_ids = lambda texts: second.encode(texts, num_threads=1)
         chunk, ids, rows, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for part, texts in _slices(batch):
-                ids.append(part)
+            for part, texts in text_slices(batch, SLICE):
+                ids.append(part.column(0))
                 rows += align_texts(texts, first_ids, second_ids, aligner)
                 size += sum(len(t or "") for t in texts)
                 if size >= CHUNK:
@@ -173,7 +161,7 @@ def aligned_chunks(docs: DataFrame, content: str, model: bytes) -> DataFrame:
         if ids:
             yield _chunk_row(chunk, ids, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PACKED)
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fleetlens.llm.common import table, written
+from fleetlens.llm.common import releasing, table, written
 from fleetlens.llm.components import connected
 from fleetlens.llm.shingles import WordHashes, chunks, shingle_sets
 
@@ -327,10 +327,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         raise ValueError("bands are made for 78 to 100 per cent")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    described = written(docs.mapInArrow(_described, "kind int, doc_id long, a long, b long"), "sets")
-    sets = described.filter("kind = 0").select("doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("set_id"))
+    described = written(docs.mapInArrow(releasing(_described), "kind int, doc_id long, a long, b long"), "sets")
+    # documents without words share no set: each has a key of its own, so that they don't meet in one task
+    key = F.when(F.col("a") > 0, F.col("b")).otherwise(F.xxhash64("doc_id")).alias("set_id")
+    sets = described.filter("kind = 0").select("doc_id", F.col("a").alias("n_shingles"), key)
     order = spark.sparkContext.broadcast(_frequent(described, spark))
-    prefixes = docs.mapInArrow(_prefixes(order, percent), "shingle long, set_id long, n long")
+    prefixes = docs.mapInArrow(releasing(_prefixes(order, percent)), "shingle long, set_id long, n long")
     # sets of a list in order of size: sets that link are joined by a chain of neighbours whose sizes allow a link
     by_size = W.partitionBy("shingle").orderBy("n", "set_id")
     chain = prefixes.select("set_id", "n", F.lag("set_id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
@@ -384,7 +386,7 @@ def _large_groups(rest: DataFrame, percent: int) -> list[DataFrame]:
 
     # then what is not in its group's largest component meets all fitting blocks, by signature
     labels = connected(first, "a", "b").select(F.col("node").alias("set_id"), "root")
-    signed = written(rest.select("set_id", "text").mapInArrow(_signed, "set_id long, sign binary").dropDuplicates(["set_id"]), "signed")
+    signed = written(rest.select("set_id", "text").mapInArrow(releasing(_signed), "set_id long, sign binary").dropDuplicates(["set_id"]), "signed")
     flat = rest.select("set_id", "group", "n", "band").distinct().join(signed, "set_id").join(labels, "set_id", "left")
     flat = written(flat.withColumn("label", F.coalesce("root", "set_id")).drop("root"), "labelled")
     main = flat.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import hashed_sample, held_out, learnable, table
+from fleetlens.llm.common import hashed_sample, held_out, learnable, releasing, table, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents learned per language, about; the choice is by a hash of the id. They are counted in so many tasks.
@@ -30,7 +30,9 @@ WRONG_SCRIPT = 30.0
 #: A script belongs to a language if it has at least this share of the letters learned.
 SCRIPT_SHARE = 0.02
 #: Text code points searched together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Letters of distinct words scored at once.
+SCORED = 200_000
 UNKNOWN = "und"
 
 # First code point of each script range; what is not listed counts as Latin or as its predecessor.
@@ -84,6 +86,15 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probabilities of each word by language, less the best one's; unusable scripts leave all equal."""
+        out, start, size = np.empty((len(words), len(self.languages)), np.float32), 0, 0
+        for i, w in enumerate(words):
+            size += len(w)
+            if size >= SCORED or i == len(words) - 1:
+                out[start : i + 1] = self._scored(words[start : i + 1])
+                start, size = i + 1, 0
+        return out
+
+    def _scored(self, words: list[str]) -> np.ndarray:
         a, b, c, starts, whole = bins(words)
         per_letter = self.tables[0][a] + self.tables[1][b] + self.tables[2][c]
         out = np.add.reduceat(per_letter, starts, axis=0) / 2 + self.tables[3][whole]
@@ -129,19 +140,23 @@ def _letters(word: str) -> int:
     return len(word) if word.isalpha() else sum(c.isalpha() for c in word)
 
 
-def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
+def label_texts(model: Model, texts: list[str | None], spans: bool = True) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
     """(language, its share of the letters, spans of (language, first word, last word, letters)) of each text."""
     found, lengths, number = [], np.zeros(len(texts), np.int64), Numbered()
     for i, t in enumerate(texts):
         words = WORD.findall(t) if t else []
         lengths[i] = len(words)
-        found.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-    ids = np.concatenate(found) if found else np.zeros(0, np.int64)
+        found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+    del found
     if not len(ids) or not model.languages:
         return [(UNKNOWN, 0.0, [])] * len(texts)
     distinct = list(number)
-    letters = np.fromiter(map(_letters, distinct), np.int64, len(distinct))[ids]
-    path = viterbi(model.word_scores(distinct)[ids], lengths)
+    letters = np.fromiter(map(_letters, distinct), np.int32, len(distinct))[ids]
+    scores = model.word_scores(distinct)[ids]
+    del distinct, number
+    path = viterbi(scores, lengths)
+    del scores
     out, at = [], 0
     for n in lengths:
         p, size = path[at : at + n], letters[at : at + n]
@@ -150,9 +165,9 @@ def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float,
             out.append((UNKNOWN, 0.0, []))
             continue
         by_language = np.bincount(p, size, minlength=len(model.languages))
-        cuts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, n]
-        spans = [(model.languages[p[a]], int(a), int(b) - 1, int(size[a:b].sum())) for a, b in zip(cuts[:-1], cuts[1:])]
-        out.append((model.languages[int(by_language.argmax())], float(by_language.max() / size.sum()), spans))
+        cuts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, n] if spans else np.zeros(0, np.int64)
+        stretches = [(model.languages[p[a]], int(a), int(b) - 1, int(size[a:b].sum())) for a, b in zip(cuts[:-1], cuts[1:])]
+        out.append((model.languages[int(by_language.argmax())], float(by_language.max() / size.sum()), stretches))
     return out
 
 
@@ -181,7 +196,7 @@ def learn(docs: DataFrame, per_language: int = LEARNED) -> Model:
     chosen = hashed_sample(usable.select("lang"), "doc_id", "lang", per_language)
     # a bounded sample in few tasks, so that few tables of counts come back
     sample = usable.filter(chosen & F.col("text").isNotNull()).select("lang", "text").repartition(TASKS)
-    rows = sample.mapInPandas(_counted, "lang string, counts binary, scripts binary").collect()
+    rows = sample.mapInPandas(releasing(_counted), "lang string, counts binary, scripts binary").collect()
     counts, script = {}, {}
     for r in rows:
         counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int32).reshape(TABLES, BINS).astype(np.int64)
@@ -195,11 +210,12 @@ def learn(docs: DataFrame, per_language: int = LEARNED) -> Model:
     return Model(languages, tables, share >= SCRIPT_SHARE)
 
 
-LABELS = "lang_pred string, score double, spans array<struct<lang: string, first_word: int, last_word: int, letters: int>>"
+LABELS = "lang_pred string, score double"
+SPANS = "spans array<struct<lang: string, first_word: int, last_word: int, letters: int>>"
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` with lang_pred, score and spans, which replace columns of these names.
+def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
+    """Every row of ``docs`` with lang_pred, score and, if wanted, spans; columns of these three names are replaced.
 
     lang_pred is the language with the most letters, score their share, spans the stretches of words (runs of
     letters, counted from 0) in one language. Null texts and texts without a letter, and all texts under a model
@@ -208,29 +224,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLES x BINS numbers per language
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(LABELS).fields])
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"{LABELS}, {SPANS}" if spans else LABELS).fields])
     arrow_spans = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("letters", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            labels, at = [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < CHUNK):
-                    size += len(texts[end] or "")
-                    end += 1
-                labels += label_texts(shared.value, texts[at:end])
-                at = end
-            names = ("lang", "first_word", "last_word", "letters")
-            more = [pa.array([x[0] for x in labels], pa.string()), pa.array([x[1] for x in labels], pa.float64()),
-                    pa.array([[dict(zip(names, s)) for s in x[2]] for x in labels], arrow_spans)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "spans"])
-
-    return docs.mapInArrow(run, schema)
+            for part, texts in text_slices(batch, CHUNK):
+                labels = label_texts(shared.value, texts, spans)
+                del texts
+                columns = [*part.columns, pa.array([x[0] for x in labels], pa.string()), pa.array([x[1] for x in labels], pa.float64())]
+                if spans:
+                    names = ("lang", "first_word", "last_word", "letters")
+                    columns.append(pa.array([[dict(zip(names, s)) for s in x[2]] for x in labels], arrow_spans))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = identify(docs.select("doc_id", "text"), learn(docs.select("doc_id", "text", "lang")))
+    labelled = identify(docs.select("doc_id", "text"), learn(docs.select("doc_id", "text", "lang")), spans=False)
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -8,6 +8,7 @@ compressed; texts stay where they are. Decoding looks ids up in the vocabulary's
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -17,16 +18,15 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import table
+from fleetlens.llm.common import pack, release_memory, releasing, table, text_slices, unpack, vocabulary_text
 
-#: Text code points of a chunk, beyond one document.
-CHUNK = 16_000_000
+#: Text code points of a chunk and of the texts held at once, beyond one document.
+CHUNK, SLICE = 16_000_000, 500_000
 #: Buckets that distinct words are dealt to, at least; there are as many as input tasks.
 BUCKETS = 48
 # Fixed value: how byte-level BPE with its own splitting cuts a text into words.
@@ -58,33 +58,16 @@ class Splitter:
         return out
 
 
-_tokenizers: dict[int, object] = {}
-
-
+@functools.lru_cache(maxsize=1)
 def _tokenizer(content: str):
     """The library's tokenizer, built once per worker process, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    key = hash(content)
-    if key not in _tokenizers:
-        t = Tokenizer.from_str(content)
-        t.no_truncation()
-        t.no_padding()
-        _tokenizers[key] = t
-    return _tokenizers[key]
-
-
-def _pack(*arrays: bytes) -> bytes:
-    sizes = np.array([len(a) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=5).compress(np.int64(len(arrays)).tobytes() + sizes.tobytes() + b"".join(arrays))
-
-
-def _unpack(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw, np.int64, n, 8))
-    return [raw[a:b] for a, b in zip(np.r_[8 * (n + 1), ends[:-1]], ends)]
+    t = Tokenizer.from_str(content)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -97,11 +80,11 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return _pack(planes(np.array([len(w) for w in words], np.uint32)), b"".join(words))
+    return pack(planes(np.array([len(w) for w in words], np.uint32)), b"".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
-    sizes, body = _unpack(data)
+    sizes, body = unpack(data)
     ends = np.cumsum(from_planes(sizes), dtype=np.int64)
     return [body[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
@@ -116,36 +99,48 @@ PACKED = "chunk long, bucket int, payload binary"
 DOCS = -1
 
 
-def _chunk_rows(chunk: int, ids: pa.Array, texts: list[str | None], splitter: Splitter, buckets: int) -> pa.RecordBatch:
-    """One row with the documents' words as numbers, and one per bucket with its words.
-
-    Words are numbered by how often they occur. The first row also has the bucket of every number; a bucket's words
-    lie in order of their numbers, so this tells where each of them is.
-    """
-    place, found = _Places(), []
-    for t in texts:
-        w = splitter.words(t)
-        found.append(np.fromiter(map(place.__getitem__, w), np.uint32, len(w)))
-    lengths, flat = [len(f) for f in found], np.concatenate([np.zeros(0, np.uint32), *found])
-    del found
-    often = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
-    number = np.empty(len(place), np.uint32)
-    number[often] = np.arange(len(place))
-    words = list(place)
-    words = [words[i].encode("utf-8", "surrogatepass") for i in often]
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint32, len(words))
-    sink = pa.BufferOutputStream()
-    keys = pa.record_batch([ids, pa.array(lengths, pa.int64())], names=["doc_id", "words"])
-    with pa.ipc.new_stream(sink, keys.schema) as out:
-        out.write_batch(keys)
-    rows = [(DOCS, _pack(sink.getvalue().to_pybytes(), planes(number[flat]), planes(bucket)))]
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            rows.append((b, _pack_words([words[i] for i in order[cuts[b] : cuts[b + 1]]])))
-    return pa.record_batch([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                            pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "payload"])
+class _Chunk:
+    """Documents on their way to a chunk's rows: only numbers of words are held, not texts."""
+
+    def __init__(self, number: int):
+        self.number, self.place, self.found, self.ids, self.size = number, _Places(), [], [], 0
+
+    def add(self, ids: pa.Array, texts: list[str | None], splitter: Splitter) -> None:
+        self.ids.append(ids)
+        for t in texts:
+            w = splitter.words(t)
+            self.found.append(np.fromiter(map(self.place.__getitem__, w), np.uint32, len(w)))
+            self.size += len(t or "")
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """One row with the documents' words as numbers, and one per bucket with its words.
+
+        Words are numbered by how often they occur. The first row also has the bucket of every number; a bucket's
+        words lie in order of their numbers, so this tells where each of them is.
+        """
+        lengths, flat = [len(f) for f in self.found], np.concatenate([np.zeros(0, np.uint32), *self.found])
+        words, ids = list(self.place), pa.concat_arrays(self.ids)
+        self.place, self.found, self.ids = None, None, None
+        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.uint32)
+        number[often] = np.arange(len(words))
+        words = [words[i].encode("utf-8", "surrogatepass") for i in often]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint32, len(words))
+        sink = pa.BufferOutputStream()
+        keys = pa.record_batch([ids, pa.array(lengths, pa.int64())], names=["doc_id", "words"])
+        with pa.ipc.new_stream(sink, keys.schema) as out:
+            out.write_batch(keys)
+        yield self._row(DOCS, pack(sink.getvalue().to_pybytes(), planes(number[flat]), planes(bucket)))
+        del flat, number
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            if cuts[b] < cuts[b + 1]:
+                yield self._row(b, _pack_words([words[i] for i in order[cuts[b] : cuts[b + 1]]]))
+
+    def _row(self, bucket: int, payload: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([self.number], pa.int64()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())],
+                               names=["chunk", "bucket", "payload"])
 
 
 def _encode_bucket(content: str):
@@ -163,7 +158,9 @@ def _encode_bucket(content: str):
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         start = np.cumsum(sizes) - sizes
-        out = [_pack(planes(sizes[n]), planes(flat[spread(start[n], sizes[n])])) for n in numbers]
+        out = [pack(planes(sizes[n]), planes(flat[spread(start[n], sizes[n])])) for n in numbers]
+        del lists, numbers, distinct, words, ids, flat
+        release_memory()
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "payload": out})
 
     return run
@@ -180,11 +177,11 @@ def _assemble(piece: list[bytes] | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """A chunk's documents with their ids in order of position, and their texts if pieces are given."""
         pdf = pdf.sort_values("bucket")
-        keys, numbers, bucket = _unpack(pdf["payload"].iloc[0])
+        keys, numbers, bucket = unpack(pdf["payload"].iloc[0])
         keys = pa.ipc.open_stream(keys).read_all()
         sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for payload in pdf["payload"].iloc[1:]:
-            a, b = _unpack(payload)
+            a, b = unpack(payload)
             sizes.append(from_planes(a).astype(np.int64))
             flat.append(from_planes(b))
         sizes, flat = np.concatenate(sizes), np.concatenate(flat)
@@ -200,6 +197,8 @@ def _assemble(piece: list[bytes] | None):
         out = {"doc_id": pd.Series(keys.column("doc_id").to_pylist(), dtype=object), "ids": ids}
         if piece is not None:
             out["decoded"] = [text_of(x, piece) for x in ids]
+        del numbers, sizes, flat, start, order, at_number, size_of
+        release_memory()
         return pd.DataFrame(out)
 
     return run
@@ -222,19 +221,18 @@ def encode_documents(docs: DataFrame, content: str, chunk: int = CHUNK, decode:
     buckets = max(BUCKETS, docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, number = Splitter(content), TaskContext.get().partitionId() << 32
+        splitter, now = Splitter(content), _Chunk(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= chunk):
-                    size += len(texts[end] or "")
-                    end += 1
-                yield _chunk_rows(number, batch.column(0).slice(at, end - at), texts[at:end], splitter, buckets)
-                number, at = number + 1, end
+            for part, texts in text_slices(batch, SLICE):
+                now.add(part.column(0), texts, splitter)
+                if now.size >= chunk:
+                    yield from now.rows(buckets)
+                    now = _Chunk(now.number + 1)
+        if now.ids:
+            yield from now.rows(buckets)
 
     # the documents' rows travel with the words' rows, each on its own, so that texts are split only once
-    packed = docs.mapInArrow(run, PACKED)
+    packed = docs.mapInArrow(releasing(run), PACKED)
     alone = F.when(F.col("bucket") == DOCS, -1 - F.col("chunk")).otherwise(F.col("bucket"))
     whole = packed.withColumn("key", alone).groupBy("key").applyInPandas(_encode_bucket(content), PACKED)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
@@ -269,17 +267,9 @@ def decode_documents(encoded: DataFrame, content: str, out: str = "decoded") ->
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every row; the vocabulary file at ``path`` is read by the driver only."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        content = f.read()
-    return encode_documents(docs, content, decode=True)
+    return encode_documents(docs, vocabulary_text(path), decode=True)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 
 from fleetlens.llm import op3_quality, op4_language, op5_bpe, op6_html, op7_pii
+from fleetlens.llm.common import vocabulary_path
 
 LONG = "long words follow each other " * 40_000
 
@@ -72,6 +73,9 @@ def test_language_spans_scripts_and_edges(spark):
     nothing = op4_language.learn(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in op4_language.identify(docs, nothing).collect()} == {"und"}
     assert op4_language.identify(docs.filter("doc_id > 99"), model).count() == 0
+    short = op4_language.identify(docs, model, spans=False)
+    assert "spans" not in short.columns
+    assert {(r.doc_id, r.lang_pred, r.score) for r in short.collect()} == {(r.doc_id, r.lang_pred, r.score) for r in got.values()}
 
 
 def test_viterbi_equals_search_over_all_paths():
@@ -89,7 +93,7 @@ def test_viterbi_equals_search_over_all_paths():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(op5_bpe.tokenizer_path())
+    return Tokenizer.from_file(vocabulary_path())
 
 
 def test_encoding_equals_the_library_and_decodes_back(spark, tokenizer):
@@ -98,7 +102,7 @@ def test_encoding_equals_the_library_and_decodes_back(spark, tokenizer):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", LONG, "x" * 3000, LONG]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "no id", "clash"), (2**60 + 1, "large id", "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    with open(op5_bpe.tokenizer_path(), encoding="utf-8") as f:
+    with open(vocabulary_path(), encoding="utf-8") as f:
         content = f.read()
     got = op5_bpe.decode_documents(op5_bpe.encode_documents(docs, content, chunk=2000), content)
     assert got.columns == ["doc_id", "ids", "decoded"]
@@ -114,7 +118,7 @@ def test_encoding_equals_the_library_and_decodes_back(spark, tokenizer):
 def test_decoding_of_odd_ids(spark, tokenizer):
     ids = [[50256, 0, 220], [187], [250, 220, 160], [], [10**6]]
     rows = [(i, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)] + [(9, None)]
-    with open(op5_bpe.tokenizer_path(), encoding="utf-8") as f:
+    with open(vocabulary_path(), encoding="utf-8") as f:
         got = {r.doc_id: r.decoded for r in op5_bpe.decode_documents(spark.createDataFrame(rows, "doc_id long, ids binary"), f.read()).collect()}
     assert got == {i: tokenizer.decode([t for t in x if t < 50257], skip_special_tokens=False) for i, x in enumerate(ids)} | {9: ""}
 
