@@ -26,7 +26,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or letterless texts) go; a missing ``lang`` is filled with the predicted one."""
     docs = docs.select(COLUMNS)
-    labelled = identify(docs, learn(docs)).filter(F.col("lang_pred") != UNKNOWN)
+    labelled = identify(docs, learn(docs), spans=False).filter(F.col("lang_pred") != UNKNOWN)
     return labelled.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
