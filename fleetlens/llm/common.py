@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,39 @@ def library_tokenizer(content: str):
     return tokenizer
 
 
+def byte_pieces(content: str) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary."""
+    spec = json.loads(content)
+    # byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocabulary = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+    plain = lambda t: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+    return [plain(vocabulary.get(i, "")) for i in range(max(vocabulary) + 1)]
+
+
+@functools.lru_cache(maxsize=1)
+def byte_encoder(content: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts under a byte-level tokenizer's JSON, strings of special tokens being text.
+
+    Where ids follow the order of the merges, as they do when a vocabulary was made by merging, they are ranks, and a
+    faster library gives the same ids; otherwise the tokenizers library encodes.
+    """
+    spec, of_id = json.loads(content), byte_pieces(content)
+    vocabulary = spec["model"]["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    ranks = {of_id[i]: i for i in vocabulary.values() if i not in {t["id"] for t in spec.get("added_tokens", [])}}
+    plain = not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
+    if spec["pre_tokenizer"].get("type") != "ByteLevel" or not plain or len(ranks) != 256 + len(made) or made != list(range(256, 256 + len(made))):
+        tokenizer = library_tokenizer(content)
+        return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+
+
 def release_memory() -> None:
     """Give freed memory back to the machine. Workers are reused, and what they keep adds up over stages."""
     gc.collect()

@@ -10,7 +10,9 @@ fills in its documents' figures; texts and tokens are never shuffled.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import library_tokenizer, pack, releasing, table, text_slices, unpack, vocabulary_path, vocabulary_text, written
-from fleetlens.llm.op5_bpe import from_planes, pieces, planes
+from fleetlens.llm.common import byte_encoder, byte_pieces, pack, releasing, table, text_slices, unpack, vocabulary_path, vocabulary_text, written
+from fleetlens.llm.op5_bpe import from_planes, planes
 
 #: Text code points encoded at once, and of a chunk of documents, beyond one document each.
 SLICE, CHUNK = 200_000, 4_000_000
@@ -37,7 +39,8 @@ class Vocabulary:
     """Bytes of every id, laid end to end."""
 
     def __init__(self, of_id: list[bytes]):
-        self.sizes = np.array([len(p) for p in of_id], np.int64)
+        self.lengths = [len(p) for p in of_id]
+        self.sizes = np.array(self.lengths, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(of_id), np.uint8)
         self.spaced = np.array([p[:1] == b" " for p in of_id], bool)
@@ -55,20 +58,20 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [of(i) for i in range(model.get_piece_size())]
 
 
-def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[str, list[int]]:
-    """Groups of two id sequences over the same bytes as text, and the linked pairs, one per group, in order.
+def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
+    """Groups of two id sequences over the same bytes as text, their number, and the linked pairs in order.
 
-    Groups end where both end. Ids without bytes end where the ones before them do, and count as part of their group.
+    ``sizes`` hold the bytes of every id of a vocabulary. Groups end where both end. Ids without bytes end where the
+    ones before them do, and count as part of their group.
     """
-    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
-    shared = np.intersect1d(a_ends, b_ends)
-    a_cut, b_cut = np.searchsorted(a_ends, shared, side="right"), np.searchsorted(b_ends, shared, side="right")
+    a_ends, b_ends = list(accumulate(map(a_sizes.__getitem__, a))), list(accumulate(map(b_sizes.__getitem__, b)))
     groups, links, i, j = [], [], 0, 0
-    for end, m, n in zip(shared.tolist(), a_cut.tolist(), b_cut.tolist()):
-        groups.append(f"{','.join(map(str, a[i:m].tolist()))}|{','.join(map(str, b[j:n].tolist()))}")
-        links += [int(x) * PAIR + int(y) for x in a[i:m][a_ends[i:m] == end] for y in b[j:n][b_ends[j:n] == end]]
+    for end in sorted({*a_ends} & {*b_ends}):
+        m, n = bisect_right(a_ends, end, i), bisect_right(b_ends, end, j)
+        groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+        links += [x * PAIR + y for x in a[bisect_left(a_ends, end, i) : m] for y in b[bisect_left(b_ends, end, j) : n]]
         i, j = m, n
-    return ";".join(groups), links
+    return ";".join(groups), len(groups), links
 
 
 class Aligner:
@@ -77,23 +80,22 @@ class Aligner:
     def __init__(self, first: Vocabulary, second: Vocabulary):
         self.a, self.b, self.known = first, second, {}
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[str, list[int]]]:
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, list[int]]]:
         """Groups and links of every window of one text. Both sequences must stand for the same bytes."""
         a_start, b_start = np.cumsum(self.a.sizes[a]) - self.a.sizes[a], np.cumsum(self.b.sizes[b]) - self.b.sizes[b]
         a_at, b_at = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
         _, i, j = np.intersect1d(a_start[a_at], b_start[b_at], assume_unique=True, return_indices=True)
-        a_cut, b_cut = np.r_[0, a_at[i], len(a)].tolist(), np.r_[0, b_at[j], len(b)].tolist()
+        a_cut, b_cut = np.r_[0, a_at[i], len(a)], np.r_[0, b_at[j], len(b)]
         a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        known, out = self.known, []
-        for m, n, p, q in zip(a_cut[:-1], a_cut[1:], b_cut[:-1], b_cut[1:]):
-            if m == n and p == q:
-                continue
+        a_ids, b_ids, known, out = a.tolist(), b.tolist(), self.known, []
+        some = np.flatnonzero((np.diff(a_cut) > 0) | (np.diff(b_cut) > 0))
+        for m, n, p, q in zip(a_cut[some].tolist(), a_cut[some + 1].tolist(), b_cut[some].tolist(), b_cut[some + 1].tolist()):
             key = a_raw[4 * m : 4 * n], b_raw[4 * p : 4 * q]
             found = known.get(key)
             if found is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                found = known[key] = align(a[m:n], b[p:q], self.a.sizes[a[m:n]], self.b.sizes[b[p:q]])
+                found = known[key] = align(a_ids[m:n], b_ids[p:q], self.a.lengths, self.b.lengths)
             out.append(found)
         return out
 
@@ -111,9 +113,9 @@ def align_texts(texts: list[str | None], encode_first, encode_second, aligner: A
         if aligner.a.text(a) != want or aligner.b.text(b) != want:
             continue
         found = aligner.windows(a, b)
-        links = [x for _, w in found for x in w]
-        digest = hashlib.sha256(";".join([g for g, _ in found]).encode()).hexdigest()
-        out[i] = len(a), len(b), sum(g.count("|") for g, _ in found), digest, links
+        links = [x for _, _, w in found for x in w]
+        digest = hashlib.sha256(";".join([g for g, _, _ in found]).encode()).hexdigest()
+        out[i] = len(a), len(b), sum([n for _, n, _ in found]), digest, links
     return out
 
 
@@ -144,10 +146,9 @@ def aligned_chunks(docs: DataFrame, content: str, model: bytes) -> DataFrame:
     """Documents (doc_id, text) in chunks, aligned; one row per chunk with the counts of its distinct linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = library_tokenizer(content)
         second = sentencepiece.SentencePieceProcessor(model_proto=model)
-        aligner = Aligner(Vocabulary(pieces(content)), Vocabulary(piece_bytes(second)))
-        first_ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        aligner = Aligner(Vocabulary(byte_pieces(content)), Vocabulary(piece_bytes(second)))
+        first_ids = byte_encoder(content)
         second_ids = lambda texts: second.encode(texts, num_threads=1)
         chunk, ids, rows, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import pack, release_memory, releasing, table, text_slices, unpack, vocabulary_text
+from fleetlens.llm.common import byte_pieces, pack, release_memory, releasing, table, text_slices, unpack, vocabulary_text
 
 #: Text code points of a chunk and of the texts held at once, beyond one document.
 CHUNK, SLICE = 16_000_000, 500_000
@@ -238,18 +238,7 @@ def encode_documents(docs: DataFrame, content: str, chunk: int = CHUNK, decode:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
     if decode:
         schema = schema.add("decoded", T.StringType())
-    return whole.groupBy("chunk").applyInPandas(_assemble(pieces(content) if decode else None), schema)
-
-
-def pieces(content: str) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary."""
-    spec = json.loads(content)
-    # byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    vocabulary = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
-    plain = lambda t: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
-    return [plain(vocabulary.get(i, "")) for i in range(max(vocabulary) + 1)]
+    return whole.groupBy("chunk").applyInPandas(_assemble(byte_pieces(content) if decode else None), schema)
 
 
 def decode_documents(encoded: DataFrame, content: str, out: str = "decoded") -> DataFrame:
@@ -257,7 +246,7 @@ def decode_documents(encoded: DataFrame, content: str, out: str = "decoded") ->
 
     Null ids are empty. Ids outside the vocabulary add nothing.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(content))  # one entry per id of the vocabulary
+    shared = encoded.sparkSession.sparkContext.broadcast(byte_pieces(content))  # one entry per id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,14 +12,13 @@ import sentencepiece
 from conftest import SMALL
 
 from fleetlens.llm import op12_align as A
-from fleetlens.llm.common import library_tokenizer, table, vocabulary_path, vocabulary_text
-from fleetlens.llm.op5_bpe import pieces
+from fleetlens.llm.common import byte_encoder, byte_pieces, library_tokenizer, table, vocabulary_path, vocabulary_text
 
 CONTENT = vocabulary_text()
 with open(vocabulary_path("piece_bpe_32k.model"), "rb") as f:
     MODEL = f.read()
 SECOND = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
-A_BYTES, B_BYTES = pieces(CONTENT), A.piece_bytes(SECOND)
+A_BYTES, B_BYTES = byte_pieces(CONTENT), A.piece_bytes(SECOND)
 
 
 def ends(ids, of_id):
@@ -77,9 +76,13 @@ def test_forgetful_aligner(monkeypatch):
 
 
 def test_ids_without_bytes_link_with_every_end():
-    groups, links = A.align(np.array([5, 6, 7]), np.array([1, 2]), np.array([2, 0, 1]), np.array([2, 1]))
-    assert groups == "5,6|1;7|2"
-    assert links == [5 * A.PAIR + 1, 6 * A.PAIR + 1, 7 * A.PAIR + 2]
+    assert A.align([0, 1, 2], [0, 2], [2, 0, 1], [2, 9, 1]) == ("0,1|0;2|2", 2, [0, A.PAIR, 2 * A.PAIR + 2])
+
+
+def test_fast_encoding_equals_the_library():
+    signs = [chr(c) for c in (*range(0x3000), *range(0xFE00, 0x10000, 7), *range(0x1F000, 0x1FA00, 5), 0xE0001, 0x10FFFF)]
+    texts = [f" a{c}b 1{c} {c}{c}\n x" for c in signs] + [t for t in TEXTS if t]
+    assert byte_encoder(CONTENT)(texts) == [e.ids for e in library_tokenizer(CONTENT).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def test_empty_table_and_table_without_tokens(spark):
