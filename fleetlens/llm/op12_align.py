@@ -10,9 +10,8 @@ fills in its documents' figures; texts and tokens are never shuffled.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ from fleetlens.llm.op5_bpe import from_planes, planes
 SLICE, CHUNK = 200_000, 4_000_000
 #: Distinct windows that a task remembers.
 REMEMBERED = 200_000
+#: Parts the ids of a window; no id is as large.
+BETWEEN = b"\xff\xff\xff\xff"
 #: A linked pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
 # Fixed value: how the second vocabulary writes a space.
@@ -36,9 +37,11 @@ SPACE_MARK = "▁"
 
 
 class Vocabulary:
-    """Bytes of every id, laid end to end."""
+    """Bytes of every id, laid end to end. Each must have some, so that ids end at different places."""
 
     def __init__(self, of_id: list[bytes]):
+        if not all(of_id):
+            raise ValueError("an id without bytes")
         self.lengths = [len(p) for p in of_id]
         self.sizes = np.array(self.lengths, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -58,20 +61,38 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [of(i) for i in range(model.get_piece_size())]
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
-    """Groups of two id sequences over the same bytes as text, their number, and the linked pairs in order.
+def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, bytes]:
+    """Groups of two id sequences over the same bytes as text, and the linked pairs, one per group, as 64-bit numbers.
 
-    ``sizes`` hold the bytes of every id of a vocabulary. Groups end where both end. Ids without bytes end where the
-    ones before them do, and count as part of their group.
+    ``sizes`` hold the bytes of every id of a vocabulary, none of them 0. Groups end where both end.
     """
-    a_ends, b_ends = list(accumulate(map(a_sizes.__getitem__, a))), list(accumulate(map(b_sizes.__getitem__, b)))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted({*a_ends} & {*b_ends}):
-        m, n = bisect_right(a_ends, end, i), bisect_right(b_ends, end, j)
-        groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-        links += [x * PAIR + y for x in a[bisect_left(a_ends, end, i) : m] for y in b[bisect_left(b_ends, end, j) : n]]
+    groups, links, i, j, a_end, b_end, total = [], [], 0, 0, 0, 0, len(a)
+    while i < total:
+        x, y, m, n = a[i], b[j], i + 1, j + 1
+        a_end += a_sizes[x]
+        b_end += b_sizes[y]
+        if a_end == b_end:
+            groups.append(f"{x}|{y}")
+        else:
+            while a_end != b_end:
+                if a_end < b_end:
+                    x = a[m]
+                    a_end += a_sizes[x]
+                    m += 1
+                else:
+                    y = b[n]
+                    b_end += b_sizes[y]
+                    n += 1
+            groups.append(f"{str(a[i:m])[1:-1]}|{str(b[j:n])[1:-1]}".replace(" ", ""))
+        links.append(x * PAIR + y)
         i, j = m, n
-    return ";".join(groups), len(groups), links
+    return ";".join(groups), array("q", links).tobytes()
+
+
+def marked(places: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[places] = True
+    return out
 
 
 class Aligner:
@@ -80,30 +101,32 @@ class Aligner:
     def __init__(self, first: Vocabulary, second: Vocabulary):
         self.a, self.b, self.known = first, second, {}
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, list[int]]]:
-        """Groups and links of every window of one text. Both sequences must stand for the same bytes."""
-        a_start, b_start = np.cumsum(self.a.sizes[a]) - self.a.sizes[a], np.cumsum(self.b.sizes[b]) - self.b.sizes[b]
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups and links of one text, window by window. Both sequences must stand for the same bytes."""
         a_at, b_at = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
-        _, i, j = np.intersect1d(a_start[a_at], b_start[b_at], assume_unique=True, return_indices=True)
-        a_cut, b_cut = np.r_[0, a_at[i], len(a)], np.r_[0, b_at[j], len(b)]
-        a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        a_ids, b_ids, known, out = a.tolist(), b.tolist(), self.known, []
-        some = np.flatnonzero((np.diff(a_cut) > 0) | (np.diff(b_cut) > 0))
-        for m, n, p, q in zip(a_cut[some].tolist(), a_cut[some + 1].tolist(), b_cut[some].tolist(), b_cut[some + 1].tolist()):
-            key = a_raw[4 * m : 4 * n], b_raw[4 * p : 4 * q]
+        a_byte, b_byte = (np.cumsum(v.sizes[ids]) - v.sizes[ids] for v, ids in ((self.a, a), (self.b, b)))
+        a_byte, b_byte, size = a_byte[a_at], b_byte[b_at], max(a_byte[-1], b_byte[-1]) + 1
+        a_cut, b_cut = (np.r_[at[marked(other, size)[own]], len(ids)].tolist() for at, own, other, ids in ((a_at, a_byte, b_byte, a), (b_at, b_byte, a_byte, b)))
+        if a_cut[0] or b_cut[0]:  # the first window need not start with a space
+            a_cut, b_cut = [0, *a_cut], [0, *b_cut]
+        a_raw, b_raw, a_ids, b_ids = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), a.tolist(), b.tolist()
+        known, texts, links = self.known, [], []
+        for m, n, p, q in zip(a_cut, a_cut[1:], b_cut, b_cut[1:]):
+            key = a_raw[4 * m : 4 * n] + BETWEEN + b_raw[4 * p : 4 * q]
             found = known.get(key)
             if found is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 found = known[key] = align(a_ids[m:n], b_ids[p:q], self.a.lengths, self.b.lengths)
-            out.append(found)
-        return out
+            texts.append(found[0])
+            links.append(found[1])
+        return ";".join(texts), np.frombuffer(b"".join(links), np.int64)
 
 
-NO_TOKENS = (0, 0, 0, "", [])
+NO_TOKENS = (0, 0, 0, "", np.zeros(0, np.int64))
 
 
-def align_texts(texts: list[str | None], encode_first, encode_second, aligner: Aligner) -> list[tuple[int, int, int, str, list[int]]]:
+def align_texts(texts: list[str | None], encode_first, encode_second, aligner: Aligner) -> list[tuple[int, int, int, str, np.ndarray]]:
     """Per text the numbers of ids of both and of groups, the digest of its groups, and its links in order."""
     out = [NO_TOKENS] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
@@ -112,10 +135,8 @@ def align_texts(texts: list[str | None], encode_first, encode_second, aligner: A
         a, b, want = np.array(a, np.int64), np.array(b, np.int64), f" {texts[i]}".encode()
         if aligner.a.text(a) != want or aligner.b.text(b) != want:
             continue
-        found = aligner.windows(a, b)
-        links = [x for _, _, w in found for x in w]
-        digest = hashlib.sha256(";".join([g for g, _, _ in found]).encode()).hexdigest()
-        out[i] = len(a), len(b), sum([n for _, n, _ in found]), digest, links
+        groups, links = aligner.groups(a, b)
+        out[i] = len(a), len(b), len(links), hashlib.sha256(groups.encode()).hexdigest(), links
     return out
 
 
@@ -126,7 +147,7 @@ PACKED = "chunk long, payload binary, pairs array<long>, times array<long>"
 def _chunk_row(chunk: int, ids: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
     """One row: the documents with their links as places in the list of the chunk's distinct pairs, and that list."""
     lengths = np.array([len(r[4]) for r in rows], np.int64)
-    flat = np.fromiter((x for r in rows for x in r[4]), np.int64, int(lengths.sum()))
+    flat = np.concatenate([r[4] for r in rows])
     pairs, place, times = np.unique(flat, return_inverse=True, return_counts=True)
     often = np.argsort(-times, kind="stable")
     number = np.empty(len(pairs), np.int64)

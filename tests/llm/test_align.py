@@ -75,8 +75,11 @@ def test_forgetful_aligner(monkeypatch):
     assert [(*m[:3], m[3]) for m in made] == [(*want[i][:3], want[i][6]) for i, _ in rows] and len(aligner.known) <= 3
 
 
-def test_ids_without_bytes_link_with_every_end():
-    assert A.align([0, 1, 2], [0, 2], [2, 0, 1], [2, 9, 1]) == ("0,1|0;2|2", 2, [0, A.PAIR, 2 * A.PAIR + 2])
+def test_groups_end_where_both_end():
+    assert A.align([5, 1, 7], [2, 7], [0, 2, 0, 0, 0, 1, 0, 2], [0, 0, 3, 0, 0, 0, 0, 2]) == (
+        "5,1|2;7|7", np.array([1 * A.PAIR + 2, 7 * A.PAIR + 7]).tobytes())
+    with pytest.raises(ValueError):
+        A.Vocabulary([b"a", b""])
 
 
 def test_fast_encoding_equals_the_library():
