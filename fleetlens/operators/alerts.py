@@ -136,15 +136,17 @@ def alert_intervals(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     return out.unionByName(_strict_intervals(rows, slices))
 
 
-def alert_intervals_by_time(rows: DataFrame, as_of: str, slices: Slices | None = None) -> DataFrame:
-    """Alerts as a clock sees them: the last known value holds until the next row, up to ``as_of``.
+def alert_intervals_by_time(rows: DataFrame, as_of: str | None, slices: Slices | None = None) -> DataFrame:
+    """Alerts as a clock sees them: the last known value holds until the next row, up to ``as_of`` (None: for ever).
 
     A run of hits fires once it is ``for_seconds`` old, whether or not a row comes at that instant; the alert ends
-    at the first row that does not hold. Rules whose clear limit is stricter than the trigger are left to
-    ``alert_intervals``, which follows rows.
+    at the first row that does not hold. Under a clear limit stricter than the trigger a clock would start and end
+    alerts at every tick, so such rules follow rows, as in ``alert_intervals``.
     """
-    us, until = micros("ts"), F.unix_micros(F.lit(as_of).cast("timestamp"))
-    rows = rows.filter(_sane(rows)).filter(us < until)
+    us, until = micros("ts"), F.lit(1 << 62) if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))
+    rows = rows.filter(us < until)
+    strict = _strict_intervals(rows, slices)
+    rows = rows.filter(_sane(rows))
     rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"), "_island": running((~F.col("hold")).cast("int")),
                                     "_stop_us": next_known(F.when(~F.col("hold"), us)), "_next_us": lead(us)}, us, slices)
     starts = F.col("hit") & ~F.coalesce("_hit_before", F.lit(False))
@@ -154,7 +156,7 @@ def alert_intervals_by_time(rows: DataFrame, as_of: str, slices: Slices | None =
         F.col("hit") & (F.col("_fire_us") >= us) & (F.col("_fire_us") < F.coalesce("_next_us", until)))
     first = due.groupBy(*KEYS, "_island").agg(F.min_by(F.struct("_fire_us", "num", "raw", "_stop_us"), F.struct(*ORDER)).alias("f"))
     return first.select(*KEYS, from_micros("f._fire_us").alias("started_at"), from_micros("f._stop_us").alias("resolved_at"),
-                        F.col("f.num").alias("value"), F.col("f.raw").alias("raw"))
+                        F.col("f.num").alias("value"), F.col("f.raw").alias("raw")).unionByName(strict)
 
 
 STRICT = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("pending_us", T.LongType()),

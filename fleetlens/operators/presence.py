@@ -51,17 +51,24 @@ def presence(data: DataFrame, lwt: DataFrame, as_of: str, robots: DataFrame | No
 
 def presence_timeline(data: DataFrame, lwt: DataFrame, as_of: str, offline_after_s: float = OFFLINE_AFTER_S,
                       stale_after_s: float = STALE_AFTER_S, slices: Slices | None = None) -> DataFrame:
-    """Intervals of constant presence per robot, up to ``as_of``.
+    """Intervals of constant presence per robot, up to ``as_of``."""
+    at = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    known = signals(data, lwt).filter(F.col("at_us") <= at)
+    return timeline_of(presence_changes(known, at, offline_after_s, stale_after_s, slices), at)
+
 
-    Between two signals the state can only decay at two known instants, so each signal
-    yields at most three pieces; equal neighbours are merged afterwards.
+def presence_changes(known: DataFrame, until_us: Column | None, offline_after_s: float, stale_after_s: float,
+                     slices: Slices | None = None) -> DataFrame:
+    """Changes of presence per robot over ``signals``, each robot's first state included, before ``until_us``.
+
+    Between two signals the state can only decay at two known instants, so each signal yields at most three pieces;
+    equal neighbours are merged afterwards. Without ``until_us`` the silence after the last signal is followed to its end.
     """
-    at = F.unix_micros(F.lit(as_of).cast("timestamp"))
     order = ["at_us", "rank", "event_id"]
-    rows = scan(signals(data, lwt).filter(F.col("at_us") <= at), "robot_id", order,
+    rows = scan(known, "robot_id", order,
                 {"_seen": last_known("seen_us"), "_link": last_known(F.when(F.col("up").isNotNull(), F.struct("up", "at_us"))),
                  "_next": lead("at_us")}, F.col("at_us"), slices)
-    end = F.coalesce(F.col("_next"), at)
+    end = F.coalesce(F.col("_next"), F.lit(1 << 62) if until_us is None else until_us)
     # the state holds up to and including the limit, so it changes one microsecond later
     to_stale = F.col("_seen") + int(offline_after_s * 1e6) + 1
     to_off = F.col("_seen") + int(stale_after_s * 1e6) + 1
@@ -70,14 +77,20 @@ def presence_timeline(data: DataFrame, lwt: DataFrame, as_of: str, offline_after
     up = F.coalesce(F.col("_link.up"), F.lit(True))
     pieces = rows.withColumn("piece_us", F.explode(cuts)).withColumn(
         "presence", decide(F.col("piece_us"), F.col("_seen"), up, F.col("_link.at_us"), offline_after_s, stale_after_s))
-    order = ["piece_us", *order]
     keep = [c for c in ("_slice",) if c in pieces.columns]
-    pieces = pieces.select("robot_id", "presence", *order, *keep)
-    pieces = scan(pieces, "robot_id", order, {"_before": lag("presence")})
-    changes = pieces.filter(F.col("_before").isNull() | (F.col("_before") != F.col("presence")))
-    changes = drop_slice(scan(changes, "robot_id", order, {"_end": lead("piece_us"), "before": lag("presence")}))
+    pieces = pieces.select("robot_id", "presence", *CHANGE_ORDER, *keep)
+    pieces = scan(pieces, "robot_id", CHANGE_ORDER, {"_before": lag("presence")})
+    return pieces.filter(F.col("_before").isNull() | (F.col("_before") != F.col("presence"))).drop("_before")
+
+
+CHANGE_ORDER = ["piece_us", "at_us", "rank", "event_id"]
+
+
+def timeline_of(changes: DataFrame, until_us: Column) -> DataFrame:
+    """Changes with what was before them and when they ended."""
+    changes = drop_slice(scan(changes, "robot_id", CHANGE_ORDER, {"_end": lead("piece_us"), "before": lag("presence")}))
     return changes.select("robot_id", "presence", "before", from_micros("piece_us").alias("start_ts"),
-                          from_micros(F.coalesce(F.col("_end"), at)).alias("end_ts"),
+                          from_micros(F.coalesce(F.col("_end"), until_us)).alias("end_ts"),
                           F.col("_end").isNull().alias("current"))
 
 

@@ -158,17 +158,22 @@ def alert_intervals(t: Tables):
     return intervals(t)
 
 
-@q("alert_intervals_by_time", f"""with {HIT_SQL}, sane as (select * from steps
-     where not coalesce((op = 'lt' and clear_value < value) or (op = 'gt' and clear_value > value), false) and ts < timestamp '{AS_OF}'),
+# Alerts held by time in closed form; rules whose clear limit is stricter than the trigger are walked row by row.
+TIME_SQL = f"""{WALK_SQL}, strict as (select rule_id from rules where coalesce((op = 'lt' and clear_value < value) or (op = 'gt' and clear_value > value), false)),
+   sane as (select * from steps where rule_id not in (select rule_id from strict) and ts < timestamp '{AS_OF}'),
    edge as (select *, hit and not coalesce(lag(hit) over w, false) as starts, coalesce(lead(ts_us) over w, epoch_us(timestamp '{AS_OF}')) as next_us,
       sum(case when hold then 0 else 1 end) over w as island,
       min(case when not hold then ts_us end) over (partition by rule_id, robot_id order by ts, event_id rows between 1 following and unbounded following) as stop_us
       from sane window w as (partition by rule_id, robot_id order by ts, event_id)),
-   run as (select *, last_value(case when starts then ts_us end ignore nulls) over (partition by rule_id, robot_id order by ts, event_id
+   since as (select *, last_value(case when starts then ts_us end ignore nulls) over (partition by rule_id, robot_id order by ts, event_id
       rows between unbounded preceding and current row) + cast(for_seconds * 1e6 as bigint) as fire_us from edge),
-   due as (select * from run where hit and fire_us >= ts_us and fire_us < next_us
-      qualify row_number() over (partition by rule_id, robot_id, island order by ts, event_id) = 1)
-   select rule_id, robot_id, make_timestamp(fire_us) as started_at, make_timestamp(stop_us) as resolved_at, num as value, raw from due""")
+   due as (select * from since where hit and fire_us >= ts_us and fire_us < next_us
+      qualify row_number() over (partition by rule_id, robot_id, island order by ts, event_id) = 1),
+   timed as (select rule_id, robot_id, make_timestamp(fire_us) as started_at, make_timestamp(stop_us) as resolved_at, num as value, raw from due
+      union all select * from intervals where rule_id in (select rule_id from strict) and started_at < timestamp '{AS_OF}')"""
+
+
+@q("alert_intervals_by_time", f"with {TIME_SQL} select * from timed")
 def alert_intervals_by_time(t: Tables):
     return A.alert_intervals_by_time(bound(t), AS_OF, robot_slices(t))
 
@@ -191,7 +196,7 @@ def presence_alerts(t: Tables):
 
 
 NAMES_SQL = "names as (select id as robot_id, name as robot_name from fx_robots)"
-LOG_SQL = f"""{EVERY_SQL}, {NAMES_SQL}, log as (select i.*, r.rule_name, r.severity, r.channels,
+LOG_TEXT_SQL = f"""{NAMES_SQL}, log as (select i.*, r.rule_name, r.severity, r.channels,
    case r.rule_id when 1 then robot_name || ' battery ' || cast(i.value as varchar) || ' < 20.0 [critical]'
      when 7 then robot_name || ' offline' when 8 then robot_name || ' connected but silent'
      else robot_name || ' ' || r.key || '=' || coalesce(cast(i.value as varchar), i.raw) ||
@@ -200,11 +205,18 @@ LOG_SQL = f"""{EVERY_SQL}, {NAMES_SQL}, log as (select i.*, r.rule_name, r.sever
          when 'inside' then ' inside ' || cast(r.value as varchar) || '~' || cast(r.value2 as varchar)
          else ' (' || r.op || ' ' || r.text_value || ')' end end as message
    from every i join rules r on i.rule_id = r.rule_id join names using (robot_id))"""
+LOG_SQL = f"{EVERY_SQL}, {LOG_TEXT_SQL}"
+#: The same log with alerts that fire by the clock.
+TIME_LOG_SQL = f"""{TIME_SQL}, {PRESENCE_SQL}, every as (select rule_id, robot_id, started_at, resolved_at, value, raw from timed
+   union all select rule_id, robot_id, started_at, resolved_at, null, null from silences), {LOG_TEXT_SQL}"""
+
+
+def robot_names(t: Tables):
+    return t.view("fx_robots").select(F.col("id").alias("robot_id"), F.col("name").alias("robot_name"))
 
 
 def log(t: Tables, rows=None):
-    names = t.view("fx_robots").select(F.col("id").alias("robot_id"), F.col("name").alias("robot_name"))
-    return A.alert_log(every_interval(t, rows), rules(t), names)
+    return A.alert_log(every_interval(t, rows), rules(t), robot_names(t))
 
 
 @q("alert_log", f"""with {LOG_SQL} select rule_id, robot_id, rule_name, severity, message, value, started_at, resolved_at from log""")

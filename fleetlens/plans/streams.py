@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts as A
-from fleetlens.plans.alerts import WALK_SQL, rules
+from fleetlens.operators import presence as P
+from fleetlens.plans.alerts import TIME_LOG_SQL, WALK_SQL, robot_names, rules
 from fleetlens.plans.history import CATALOG_SQL, TELEMETRY_SQL
 from fleetlens.plans.ingest import CORRECT_SQL, DEDUP_SQL
 from fleetlens.plans.live import LIMITS, RELAY_SQL, TIMELINE_SQL
@@ -15,6 +16,7 @@ from fleetlens.plans.suite import Suite, Tables
 from fleetlens.sources import messages as M
 from fleetlens.sources import sinks as K
 from fleetlens.streaming import jobs as J
+from fleetlens.streaming import revisions as R
 
 SUITE = Suite()
 q = SUITE.query
@@ -94,6 +96,41 @@ def stream_presence(t: Tables):
     return J.open_tail(t.spark.read.parquet(path), J.signals(t.view("fx_status"), t.view("fx_lwt")), AS_OF, **LIMITS)
 
 
+def newest_first(t: Tables, rows: DataFrame, at: str, files: int = 4) -> DataFrame:
+    """``rows`` as files that a stream takes in turn, the newest rows first."""
+    path = K.scratch_path(t.spark, "newest-first")
+    rows.repartitionByRange(files, F.desc(at)).sortWithinPartitions(F.desc(at)).write.parquet(path)
+    return J.read_stream(t.spark, path, rows)
+
+
+def late_presence(t: Tables) -> R.Revisions:
+    revisions = R.presence_revisions(K.scratch_path(t.spark, "presence"), **LIMITS)
+    R.run_revisions(newest_first(t, P.signals(t.view("fx_status"), t.view("fx_lwt")), "at_us"), revisions)
+    return revisions
+
+
+@q("stream_presence_late", f"with {TIMELINE_SQL} select robot_id, presence, before, start_ts, end_ts, current from timeline")
+def stream_presence_late(t: Tables):
+    """The timeline when signals come newest first: every late one revises what was said."""
+    return R.presence_at(late_presence(t), t.spark, AS_OF)
+
+
+@q("stream_alert_log", f"""with {TIME_LOG_SQL} select rule_id, robot_id, rule_name, severity, message, value, started_at, resolved_at from log""")
+def stream_alert_log(t: Tables):
+    """Open and resolved alerts of running streams; hold times end by the clock, without a further row."""
+    s = live(t)
+    archive = J.run_once(J.state_stream(s.view("fx_status")), "state")
+    state = J.read_stream(t.spark, archive, t.spark.read.parquet(archive))
+    subjects = A.field_subjects(state, A.watched_fields(rules(t))).unionByName(A.topic_subjects(s.view("fx_samples")))
+    alerts = R.alert_revisions(K.scratch_path(t.spark, "alerts"))
+    R.run_revisions(R.hit_rows(A.with_hits(A.bind_rules(subjects, rules(t)))), alerts)
+    quiet = A.presence_intervals(R.presence_at(late_presence(t), t.spark, AS_OF), rules(t)).withColumns({
+        "value": F.lit(None).cast("double"), "raw": F.lit(None).cast("string")})
+    found = R.alerts_at(alerts, t.spark, AS_OF).unionByName(quiet)
+    return A.alert_log(found, rules(t), robot_names(t)).select(
+        "rule_id", "robot_id", "rule_name", "severity", "message", "value", "started_at", "resolved_at")
+
+
 @q("stream_alerts", f"with {WALK_SQL} select rule_id, robot_id, ts, num, mark from walk where mark is not null")
 def stream_alerts(t: Tables):
     s = live(t)

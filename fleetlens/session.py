@@ -57,6 +57,9 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     z.write(path, os.path.join("fleetlens", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(target)
+    # stateful processors also run in a worker beside the driver, which gets no shipped files
+    paths = [os.path.dirname(root), spark.sparkContext.environment.get("PYTHONPATH")]
+    spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _shipped.add(app)
 
 
