@@ -256,9 +256,9 @@ def decode_documents(encoded: DataFrame, content: str, out: str = "decoded") ->
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, decoded) of every row; the vocabulary file at ``path`` is read by the driver only."""
-    return encode_documents(docs, vocabulary_text(path), decode=True)
+    return encode_documents(docs, vocabulary_text(path), chunk, decode=True)
 
 
 def digests(coded: DataFrame) -> DataFrame:
