@@ -19,6 +19,9 @@ from fleetlens.llm.op8_mix import mix_sources, sized_documents, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Code points encoded together: small chunks, as workers still hold memory of the stages before.
+ENCODED = 4_000_000
+
 #: The language search, the search for near-duplicates and the encoding have no counterpart in SQL.
 ORACLE_SQL = None
 
@@ -61,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text, a row for every copy."""
-    return digests(encode_and_decode(docs))
+    return digests(encode_and_decode(docs, chunk=ENCODED))
 
 
 STAGES = [
