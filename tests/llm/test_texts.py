@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -209,8 +210,44 @@ def test_html_keeps_rows_and_columns(spark):
 
 
 def test_html_tree_learns_its_table():
-    tree = op6_html.trained()
-    assert ((tree.predict(op6_html.LABELLED[:, :-1]) >= 0.5) == (op6_html.LABELLED[:, -1] == 1)).all()
+    rows = op6_html.labelled()
+    assert ((op6_html.trained().predict(rows[:, :-1]) >= 0.5) == (rows[:, -1] == 1)).all()
+    assert op6_html.page_of("<p>+12 [3]</p><li>[2]</li>") == (f"<p>{'w ' * 9}<a>{'w ' * 3}</a></p><li><a>w w </a></li>", [True, False])
+
+
+@pytest.mark.parametrize("inside,text", [
+    ("<h2><a href=x>A linked heading</a></h2>", "A linked heading"), ("<p><a href=x>A paragraph that is one link</a></p>", "A paragraph that is one link"),
+    ("<p>The sum is <math><mi>x</mi><mo>+</mo><mi>y</mi></math> here</p>", "The sum is x+y here"), ('<h2 class="section-header">Part two</h2>', "Part two"),
+    (f'<p id="share">{TEXT}</p>', TEXT), (f'<div class="share price"><p>{TEXT}</p></div>', TEXT), ("<ul><li>One thing</li><li>Another</li></ul>", "One thing\nAnother"),
+    ("<ul><li><a href=x>Other story</a></li><li><a href=y>One more story</a></li></ul>", None), ("<div class=share><a href=x>Tweet</a></div>", None),
+    (f"<div class=ad><p>{TEXT}</p></div>", None), (f"<form><p>{TEXT}</p><button>Send</button></form>", None), (f"<div class=comments>{TEXT}</div>", None),
+])
+def test_main_text_inside_an_article(inside, text):
+    want = "\n".join(["Title", TEXT, *([text] if text else []), TEXT])
+    assert op6_html.main_text(f"<article><h1>Title</h1><p>{TEXT}</p>{inside}<p>{TEXT}</p></article>", op6_html.trained()) == want
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<body><p>Hello world.</p></body>", "Hello world."), ("Only text", "Only text"), ("<ul><li><a>Home</a></ul><p>Hi.</p>", "Hi."),
+    *((f'<div class="{c}"><h1>Some title</h1><p>{TEXT}</p><div class="sidebar"><p>{OTHER}</p></div><p>{TEXT}</p></div>', f"Some title\n{TEXT}\n{TEXT}")
+      for c in ("content-sidebar-wrap", "page with search", "layout menu")),
+    (f"<form id=aspnet><p>{TEXT}</p><div class=ad>{OTHER}</div><p>{TEXT}</p></form>", f"{TEXT}\n{TEXT}"),
+    (f"<p>{TEXT}</p><div class=comments><p>{OTHER}</p><p>{OTHER}</p><p>{OTHER}</p></div>", TEXT),
+])
+def test_main_text_without_an_article(source, text):
+    assert op6_html.main_text(source, op6_html.trained()) == text
+
+
+@pytest.mark.parametrize("unit", ["<div><p>word <b>bold</b>", "<b><p>word</p>", "<article><div class=ad>", "<svg><p>word", "<svg><foreignobject><div>word", "<li><a>w", "</div></p>",
+                                  "<div class=search><article>w", "<h1><form><main>w", "<p a=\"", "<template>", "<!--", "<a b='c"])
+def test_unclosed_markup_takes_time_in_proportion(unit):
+    def seconds(n):
+        start = time.process_time()
+        op6_html.main_text(unit * n, op6_html.trained())
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
