@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.scalars import from_micros, micros
 from fleetlens.operators import presence as P
+from fleetlens.operators.chain import FIRST, RATE, Rule, sampled
 from fleetlens.operators.fold import fold
 from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, lead, next_known, running, scan
 from fleetlens.session import broadcast_if_small
@@ -196,7 +197,8 @@ def _with_clock(rows: DataFrame) -> DataFrame:
 
 
 def _strict_intervals(rows: DataFrame, slices: Slices | None) -> DataFrame:
-    marks = drop_slice(scan(_strict_marks(rows, slices), KEYS, ORDER,
+    # reminders do not matter here
+    marks = drop_slice(scan(_strict_marks(rows.withColumn("cooldown_min", F.lit(0.0)), slices), KEYS, ORDER,
                             {"_stop_us": next_known(F.when(F.col("mark") == "stop", F.col("_at")))}, F.col("_at"), slices))
     return marks.filter("mark = 'start'").select(
         *KEYS, F.col("ts").alias("started_at"), from_micros("_stop_us").alias("resolved_at"),
@@ -236,22 +238,12 @@ def reminders(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     return kept.filter(~F.col("_opening")).select(*KEYS, "ts", "num").unionByName(strict)
 
 
-NOTIFIED = T.StructType([T.StructField("island", T.LongType()), T.StructField("sent_us", T.LongType())])
-SENT = T.StructType([T.StructField("_kept", T.BooleanType()), T.StructField("_opening", T.BooleanType())])
-
-
-def _remind_step(now, row):
-    at, island, cooldown_us = row
-    if now is None or now[0] != island:
-        return (island, at), (True, True)
-    if at - now[1] >= cooldown_us:
-        return (island, at), (True, False)
-    return now, (False, False)
-
-
 def _spaced_by_cooldown(rows: DataFrame, slices: Slices | None) -> DataFrame:
+    """Of each alert's rows the first, which opened it, and every one a cooldown after the last one kept."""
     rows = _with_clock(rows).withColumn("_island", F.col("_island").cast("long"))
-    return fold(rows, KEYS, ORDER, ["_at", "_island", "_cool"], _remind_step, NOTIFIED, SENT, F.col("_at"), slices).filter("_kept")
+    none = F.lit(None)
+    kept = sampled(rows, [*KEYS, "_island"], ORDER, micros("ts"), none, none.cast("string"), F.col("_cool"), Rule(on_change=False), slices)
+    return kept.filter(F.col("decision") != RATE).withColumn("_opening", F.col("decision") == FIRST).drop("decision")
 
 
 def active_alerts(intervals: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.scalars import micros
-from fleetlens.operators.fold import fold
+from fleetlens.operators.chain import FIRST, Rule, sampled
 from fleetlens.operators.sequence import Slices, drop_slice, lag, scan
 
 # Defaults of the sampler and the measured storage cost of a row.
@@ -18,7 +18,6 @@ SENT_CHANGE, SENT_HEARTBEAT, SKIPPED_RATE, SKIPPED_SAME = "change", "heartbeat",
 
 SENT = T.StructType([T.StructField("sent_us", T.LongType()), T.StructField("sent_num", T.DoubleType()),
                      T.StructField("sent_text", T.StringType())])
-DECISION = T.StructType([T.StructField("decision", T.StringType())])
 
 
 def sampler(min_gap_s: float, heartbeat_s: float, deadband: float, on_change_only: bool = True):
@@ -45,18 +44,17 @@ def relay_decisions(df: DataFrame, keys: list[str], num: str, text: str, order=(
                     min_gap_s: float = 1 / MAX_RATE_HZ, heartbeat_s: float = HEARTBEAT_S, deadband: float = 0.0,
                     slices: Slices | None = None) -> DataFrame:
     """Add ``decision`` to every row. Each decision depends on the last row sent."""
-    rows = df.withColumn("_at", micros("ts"))
-    return fold(rows, keys, list(order), ["_at", num, text], sampler(min_gap_s, heartbeat_s, deadband), SENT, DECISION,
-                F.col("_at"), slices).drop("_at")
+    rule = Rule(int(heartbeat_s * 1e6), deadband)
+    out = sampled(df, keys, list(order), micros("ts"), F.col(num), F.col(text), F.lit(int(min_gap_s * 1e6)), rule, slices)
+    return out.replace(FIRST, SENT_CHANGE, ["decision"])
 
 
 def throttle(df: DataFrame, keys: list[str], min_gap_s: float, order=("ts", "event_id"),
              slices: Slices | None = None) -> DataFrame:
     """Rate cap only: keep a row when the last kept one is at least ``min_gap_s`` older."""
-    rows = df.withColumns({"_at": micros("ts"), "_none": F.lit(None).cast("double"), "_text": F.lit("")})
-    out = fold(rows, keys, list(order), ["_at", "_none", "_text"], sampler(min_gap_s, 0, 0, on_change_only=False),
-               SENT, DECISION, F.col("_at"), slices)
-    return out.filter(F.col("decision") != SKIPPED_RATE).drop("_at", "_none", "_text", "decision")
+    none = F.lit(None)
+    out = sampled(df, keys, list(order), micros("ts"), none, none.cast("string"), F.lit(int(min_gap_s * 1e6)), Rule(on_change=False), slices)
+    return out.filter(F.col("decision") != SKIPPED_RATE).drop("decision")
 
 
 def relay_counters(decided: DataFrame, keys: list[str]) -> DataFrame:

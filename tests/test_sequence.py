@@ -145,6 +145,23 @@ def test_throttle_equals_sequential(spark):
         assert {r.event_id for r in R.throttle(df, ["robot_id", "topic"], 1.5, slices=s).collect()} == want
 
 
+def test_jobs_do_not_grow_with_slices_on_periodic_data(spark):
+    """Every row a second apart: chains from different rows never meet, the worst case for guessed entry states."""
+    df = spark.range(4000).selectExpr("'r' as robot_id", "'t' as topic", "id as event_id", "cast(timestamp_seconds(1700000000 + id) as timestamp_ntz) as ts",
+                                      "cast(id % 7 as double) as num", "cast(id % 7 as string) as payload").repartition(4)
+    limits = {"min_gap_s": 3.0, "heartbeat_s": 11.0, "deadband": 1.5}
+    want = {r.event_id: r.decision for r in R.relay_decisions(df, ["robot_id", "topic"], "num", "payload", **limits).collect()}
+    jobs, context = [], spark.sparkContext
+    for rows_in_slice in (500, 100):
+        cut = plan_slices(df, ["robot_id", "topic"], micros("ts"), target_rows=rows_in_slice)
+        context.setJobGroup(f"slices of {rows_in_slice}", "")
+        got = R.relay_decisions(df, ["robot_id", "topic"], "num", "payload", slices=cut, **limits).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"slices of {rows_in_slice}")))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.event_id: r.decision for r in got} == want
+    assert jobs[1] <= jobs[0] + 2 and jobs[0] < 40
+
+
 def machine(rows_, for_s, cool_s):
     """Alert states, one row after the other -> (start, stop) pairs and reminder times."""
     pending, firing, sent, pairs, reminders = None, False, None, [], []
