@@ -71,7 +71,7 @@ def byte_pieces(content: str) -> list[bytes]:
 
 
 @functools.lru_cache(maxsize=1)
-def byte_encoder(content: str) -> Callable[[list[str]], list[list[int]]]:
+def byte_encoder(content: str) -> Callable[[list[str]], list]:
     """Ids of texts under a byte-level tokenizer's JSON, strings of special tokens being text.
 
     Where ids follow the order of the merges, as they do when a vocabulary was made by merging, they are ranks, and a
@@ -89,7 +89,7 @@ def byte_encoder(content: str) -> Callable[[list[str]], list[list[int]]]:
     from public_tokenizers import PATTERN
 
     encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    return lambda texts: [encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
 def release_memory() -> None:

@@ -28,8 +28,8 @@ from fleetlens.llm.op5_bpe import from_planes, planes
 SLICE, CHUNK = 200_000, 4_000_000
 #: Distinct windows that a task remembers.
 REMEMBERED = 200_000
-#: Parts the ids of a window; no id is as large.
-BETWEEN = b"\xff\xff\xff\xff"
+#: Marks ids of the second vocabulary in a window's key; no id is as large.
+SECOND = 1 << 31
 #: A linked pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
 # Fixed value: how the second vocabulary writes a space.
@@ -106,21 +106,27 @@ class Aligner:
         a_at, b_at = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
         a_byte, b_byte = (np.cumsum(v.sizes[ids]) - v.sizes[ids] for v, ids in ((self.a, a), (self.b, b)))
         a_byte, b_byte, size = a_byte[a_at], b_byte[b_at], max(a_byte[-1], b_byte[-1]) + 1
-        a_cut, b_cut = (np.r_[at[marked(other, size)[own]], len(ids)].tolist() for at, own, other, ids in ((a_at, a_byte, b_byte, a), (b_at, b_byte, a_byte, b)))
-        if a_cut[0] or b_cut[0]:  # the first window need not start with a space
-            a_cut, b_cut = [0, *a_cut], [0, *b_cut]
-        a_raw, b_raw, a_ids, b_ids = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), a.tolist(), b.tolist()
-        known, texts, links = self.known, [], []
-        for m, n, p, q in zip(a_cut, a_cut[1:], b_cut, b_cut[1:]):
-            key = a_raw[4 * m : 4 * n] + BETWEEN + b_raw[4 * p : 4 * q]
-            found = known.get(key)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[key] = align(a_ids[m:n], b_ids[p:q], self.a.lengths, self.b.lengths)
-            texts.append(found[0])
-            links.append(found[1])
-        return ";".join(texts), np.frombuffer(b"".join(links), np.int64)
+        # the ids of a window side by side, those of the second vocabulary marked: one slice is a window's key
+        window = np.zeros(len(a) + len(b), np.int64)
+        window[a_at[marked(b_byte, size)[a_byte]]] = 1
+        window[len(a) + b_at[marked(a_byte, size)[b_byte]]] = 1
+        window[: len(a)], window[len(a) :] = np.cumsum(window[: len(a)]), np.cumsum(window[len(a) :])
+        order = np.argsort(window, kind="stable")
+        ids, window = np.concatenate([a, b | SECOND]).astype("<u4")[order], window[order]
+        cuts = (4 * np.r_[0, np.flatnonzero(window[1:] != window[:-1]) + 1, len(ids)]).tolist()
+        raw, known = ids.tobytes(), self.known
+        keys = [raw[m:n] for m, n in zip(cuts, cuts[1:])]
+        found = list(map(known.get, keys))
+        if None in found:
+            a_ids, b_ids, a_cut = a.tolist(), b.tolist(), np.r_[0, np.cumsum(order < len(a))][np.array(cuts) // 4].tolist()
+            for i, f in enumerate(found):
+                if f is None and (f := known.get(keys[i])) is None:
+                    m, n = a_cut[i], a_cut[i + 1]
+                    f = known[keys[i]] = align(a_ids[m:n], b_ids[cuts[i] // 4 - m : cuts[i + 1] // 4 - n], self.a.lengths, self.b.lengths)
+                found[i] = f
+            if len(known) > REMEMBERED:
+                known.clear()
+        return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int64)
 
 
 NO_TOKENS = (0, 0, 0, "", np.zeros(0, np.int64))
@@ -132,7 +138,7 @@ def align_texts(texts: list[str | None], encode_first, encode_second, aligner: A
     full = [i for i, t in enumerate(texts) if t]
     firsts, seconds = encode_first([f" {texts[i]}" for i in full]), encode_second([texts[i] for i in full])
     for i, a, b in zip(full, firsts, seconds):
-        a, b, want = np.array(a, np.int64), np.array(b, np.int64), f" {texts[i]}".encode()
+        a, b, want = np.asarray(a, np.int64), np.array(b, np.int64), f" {texts[i]}".encode()
         if aligner.a.text(a) != want or aligner.b.text(b) != want:
             continue
         groups, links = aligner.groups(a, b)
@@ -170,7 +176,7 @@ def aligned_chunks(docs: DataFrame, content: str, model: bytes) -> DataFrame:
         second = sentencepiece.SentencePieceProcessor(model_proto=model)
         aligner = Aligner(Vocabulary(byte_pieces(content)), Vocabulary(piece_bytes(second)))
         first_ids = byte_encoder(content)
-        second_ids = lambda texts: second.encode(texts, num_threads=1)
+        second_ids = lambda texts: [second.encode_as_ids(t) for t in texts]
         chunk, ids, rows, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for part, texts in text_slices(batch, SLICE):
