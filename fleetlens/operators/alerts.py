@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.scalars import from_micros, micros
+from fleetlens.functions.scalars import decimal_text, from_micros, micros
 from fleetlens.operators import presence as P
 from fleetlens.operators.chain import FIRST, RATE, Rule, sampled
 from fleetlens.operators.fold import fold
@@ -85,6 +85,94 @@ def bind_rules(subjects: DataFrame, rules: DataFrame) -> DataFrame:
     return _in_scope(subjects).join(broadcast_if_small(picked), ["source", "key", "scope"]).drop("scope")
 
 
+def presence_subjects(timeline: DataFrame) -> DataFrame:
+    """Presence as a subject at every change: the word, and 0 while the robot is ok, 1 otherwise."""
+    num = F.when(F.col("presence") == P.OK, 0.0).otherwise(1.0)
+    return timeline.select("robot_id", F.col("start_ts").alias("ts"), F.lit(0).cast("long").alias("event_id"), F.lit("presence").alias("source"),
+                           F.lit("").alias("key"), num.alias("num"), F.col("presence").alias("raw"))
+
+
+def extra_keys(rules: DataFrame) -> list[str]:
+    """Keys that rules on fields look at and that are no fields of their own; never more than there are rules."""
+    known = [*NUMERIC_FIELDS, "state", "errors", "age"]
+    return sorted(r.key for r in rules.filter((F.col("source") == "field") & ~F.col("key").isin(known)).select("key").distinct().collect())
+
+
+def extra_subjects(status: DataFrame, only: list[str], order=("ts", "event_id")) -> DataFrame:
+    """Messages with a map ``extra`` -> subjects of the watched keys; a key keeps its value until it is sent again."""
+    entries = F.filter(F.map_entries("extra"), lambda e: e["key"].isin(only) if only else F.lit(False))
+    rows = status.select("robot_id", F.col(order[0]).alias("ts"), "event_id", F.explode(entries).alias("_e"))
+    yes = F.when(F.col("_e.value") == "true", 1.0).when(F.col("_e.value") == "false", 0.0)
+    return rows.select("robot_id", "ts", "event_id", F.lit("field").alias("source"), F.col("_e.key").alias("key"),
+                       F.coalesce(yes, decimal_text("_e.value")).alias("num"), F.col("_e.value").alias("raw"))
+
+
+def age_rows(data: DataFrame, rules: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """Rows of rules on ``age``, the seconds since a robot's last data, bound to the rules.
+
+    Age starts at 0 with every arrival and grows by itself. A rule can only change its mind where age reaches one of
+    its limits, so there is a row at each arrival and, if no other arrival comes first, at each limit and just after it.
+    """
+    mine = bind_rules(data.select("robot_id", "ts", "event_id", F.lit("field").alias("source"), F.lit("age").alias("key")), rules)
+    mine = mine.withColumn("_us", micros("ts"))
+    mine = drop_slice(scan(mine, KEYS, ["ts", "event_id"], {"_next": lead("_us")}, F.col("_us"), slices))
+    limits = F.transform(F.array_compact(F.array("limit", "limit2", "clear_value")), lambda x: F.round(x * 1e6).cast("long"))
+    steps = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), limits, F.transform(limits, lambda x: x + 1)))
+    rows = mine.withColumn("_step", F.explode(F.filter(steps, lambda x: x >= 0)))
+    rows = rows.filter(F.col("_next").isNull() | (F.col("_us") + F.col("_step") < F.col("_next")))
+    age = F.col("_step") / F.lit(1e6)
+    return rows.withColumns({"ts": from_micros(F.col("_us") + F.col("_step")), "num": age, "raw": age.cast("string")}).drop("_us", "_next", "_step")
+
+
+#: Silence that an offline rule without a value of its own waits for, in seconds.
+OFFLINE_VALUE_S = 60.0
+
+
+def offline_rows(signals: DataFrame, rules: DataFrame, offline_after_s: float = P.OFFLINE_AFTER_S,
+                 stale_after_s: float = P.STALE_AFTER_S, slices: Slices | None = None) -> DataFrame:
+    """Rows of offline rules: hit while the robot is not ok, or its last data is older than the rule's value.
+
+    A robot that is ok has data no older than ``offline_after_s``, so both conditions are one: presence under the
+    smaller of the two limits.
+    """
+    picked = rules.filter("op = 'offline'").select(
+        "rule_id", F.coalesce("scope", F.lit(ANY_ROBOT)).alias("scope"), "op", F.col("value").alias("limit"), "for_seconds", "cooldown_min",
+        F.round(F.least(F.lit(offline_after_s), F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(OFFLINE_VALUE_S))) * 1e6).cast("long").alias("_off"))
+    rows = _in_scope(signals).join(broadcast_if_small(picked), "scope").drop("scope")
+    steps = {"_seen": last_known("seen_us"), "_link": last_known(F.when(F.col("up").isNotNull(), F.struct("up", "at_us"))), "_next": lead("at_us")}
+    rows = drop_slice(scan(rows, KEYS, ["at_us", "rank", "event_id"], steps, F.col("at_us"), slices))
+    end = F.coalesce("_next", F.lit(1 << 62))
+    cuts = F.array_distinct(F.filter(F.array("at_us", F.col("_seen") + F.col("_off") + 1), lambda c: c.isNotNull() & (c >= F.col("at_us")) & (c < end)))
+    rows = rows.withColumn("_piece", F.explode(cuts))
+    down = ~F.coalesce(F.col("_link.up"), F.lit(True)) & (F.col("_link.at_us") >= F.coalesce("_seen", F.lit(0)))
+    hit = down | F.col("_seen").isNull() | (F.col("_piece") - F.col("_seen") > F.col("_off"))
+    # at one instant data comes before a link message
+    place = F.col("event_id") + F.col("rank").cast("long") * (1 << 48)
+    return rows.select(*KEYS, from_micros("_piece").alias("ts"), place.alias("event_id"), F.lit(None).cast("double").alias("num"),
+                       F.lit(None).cast("string").alias("raw"), "op", "limit", F.lit(None).cast("double").alias("clear_value"), hit.alias("hit"),
+                       hit.alias("hold"), "for_seconds", "cooldown_min")
+
+
+HIT_COLUMNS = ["rule_id", "robot_id", "ts", "event_id", "num", "raw", "op", "limit", "clear_value", "hit", "hold", "for_seconds", "cooldown_min"]
+
+
+def rule_coverage(rules: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every rule with the number of subject rows it has; rules whose subject never comes have 0."""
+    counts = rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("subject_rows"))
+    return rules.select("rule_id", "rule_name").join(counts, "rule_id", "left").withColumn("subject_rows", F.coalesce("subject_rows", F.lit(0)))
+
+
+def reminders_by_time(intervals: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
+    """Repeats of alerts of any kind as a clock sends them: every ``cooldown_min`` from the start until the end."""
+    until = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    step = F.round(F.col("cooldown_min") * 60e6).cast("long")
+    about = broadcast_if_small(rules.filter("cooldown_min > 0").select("rule_id", step.alias("_step")))
+    rows = intervals.join(about, "rule_id").withColumns({"_a": micros("started_at"), "_b": F.coalesce(micros("resolved_at"), until)})
+    times = F.sequence(F.col("_a") + F.col("_step"), F.col("_b") - 1, F.col("_step"))
+    rows = rows.filter(F.col("_a") + F.col("_step") < F.col("_b"))
+    return rows.select("rule_id", "robot_id", F.explode(times).alias("_at")).select("rule_id", "robot_id", from_micros("_at").alias("ts"))
+
+
 def predicate(op="op", num="num", raw="raw", limit="limit", limit2="limit2", text="text_value") -> Column:
     """Is the rule hit? A missing number or threshold is no hit."""
     op, num, raw, limit, text = (F.col(c) if isinstance(c, str) else c for c in (op, num, raw, limit, text))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts as A
+from fleetlens.operators import presence as P
 from fleetlens.plans.history import TELEMETRY_SQL, robot_slices, telemetry
-from fleetlens.plans.live import TIMELINE_SQL, timeline
-from fleetlens.plans.params import AS_OF
+from fleetlens.plans.ingest import STATUS_SQL, status_rows
+from fleetlens.plans.live import AS_OF_US, LIMITS, TIMELINE_SQL, timeline
+from fleetlens.plans.params import AS_OF, OFFLINE_AFTER_S
 from fleetlens.plans.suite import Suite, Tables
 from fleetlens.session import cut_lineage
 
@@ -68,11 +70,12 @@ def subjects(t: Tables):
     return A.field_subjects(telemetry(t)).unionByName(A.topic_subjects(t.view("fx_samples")))
 
 
-@q("load_rules", f"""with {RULES_SQL}, n as (select count(*) as robots from fx_robots)
-   select rule_id, rule_name, op, severity, case when scope is null then robots else 1 end as robots from rules, n""")
+@q("load_rules", """with n as (select count(*) as robots from fx_robots)
+   select rule_id, rule_name, op, severity, case when scope is null then robots else 1 end as robots from fx_rules, n where enabled""")
 def load_rules(t: Tables):
+    """Enabled rules of the given table, with the number of robots they watch."""
     robots = t.view("fx_robots").select(F.col("id").alias("robot_id"))
-    return A.rules_x_robots(rules(t), robots).groupBy("rule_id", "rule_name", "op", "severity").agg(
+    return A.rules_x_robots(A.load_rules(t.view("fx_rules")), robots).groupBy("rule_id", "rule_name", "op", "severity").agg(
         F.count(F.lit(1)).alias("robots"))
 
 
@@ -246,13 +249,119 @@ def notification_outbox(t: Tables):
     return A.notification_outbox(log(t, rows), A.reminders(rows, robot_slices(t)), rules(t), CHANNELS)
 
 
-@q("describe_rule", f"""with {RULES_SQL}, hit as (select rule_name, rule_id % 8 as k, case when op = 'offline' then 'offline for more than 60s'
-     when op = 'stale' then 'connected but data stopped' when op in ('eq', 'ne') then key || ' ' || op || ' "' || text_value || '"'
-     when op in ('outside', 'inside') then key || ' ' || op || ' ' || cast(value as varchar) || '~' || cast(value2 as varchar)
-     else key || ' ' || op || ' ' || cast(value as varchar) end as text from rules)
-   select hit.rule_name, text, count(*) as alerts from hit join fx_alerts a on a.rule_id = k group by 1, 2""")
+@q("describe_rule", """select rule_id, rule_name, case when op = 'offline' then 'offline for more than ' || coalesce(cast(value as varchar), '60') || 's'
+     when op = 'stale' then 'connected but data stopped' when op in ('eq', 'ne') then subject || ' ' || op || ' "' || text_value || '"'
+     when op in ('outside', 'inside') then subject || ' ' || op || ' ' || cast(value as varchar) || '~' || cast(value2 as varchar)
+     else subject || ' ' || op || ' ' || cast(value as varchar) end as text
+   from (select *, case when source = 'presence' then 'presence' else key end as subject from fx_rules where enabled) r""")
 def describe_rule(t: Tables):
-    r = rules(t).select("rule_name", (F.col("rule_id") % 8).alias("k"), A.describe_rule(
+    return A.load_rules(t.view("fx_rules")).select("rule_id", "rule_name", A.describe_rule(
         F.col("source"), F.col("key"), F.col("op"), F.col("value"), F.col("value2"), F.col("text_value")).alias("text"))
-    per_rule = t.view("fx_alerts").groupBy(F.col("rule_id").alias("k")).agg(F.count(F.lit(1)).alias("alerts"))
-    return per_rule.join(A.broadcast_if_small(r), "k").select("rule_name", "text", "alerts")
+
+
+# ------------------------------------------------------------------ rules of the given table, by the clock
+
+def held_sql(steps: str, name: str) -> str:
+    """Alerts of steps (rule_id, robot_id, ts_us, event_id, num, raw, hit, hold, for_seconds) held by time, as ``name``."""
+    return f"""{name}_edge as (select *, hit and not coalesce(lag(hit) over w, false) as starts, coalesce(lead(ts_us) over w, {AS_OF_US}) as next_us,
+      sum(case when hold then 0 else 1 end) over w as island,
+      min(case when not hold then ts_us end) over (partition by rule_id, robot_id order by ts_us, event_id rows between 1 following and unbounded following) as stop_us
+      from {steps} where ts_us < {AS_OF_US} window w as (partition by rule_id, robot_id order by ts_us, event_id)),
+   {name}_since as (select *, last_value(case when starts then ts_us end ignore nulls) over (partition by rule_id, robot_id order by ts_us, event_id
+      rows between unbounded preceding and current row) + cast(for_seconds * 1e6 as bigint) as fire_us from {name}_edge),
+   {name} as (select rule_id, robot_id, make_timestamp(fire_us) as started_at, make_timestamp(stop_us) as resolved_at, num as value, raw from {name}_since
+      where hit and fire_us >= ts_us and fire_us < next_us qualify row_number() over (partition by rule_id, robot_id, island order by ts_us, event_id) = 1)"""
+
+
+LIVE_RULES_SQL = "live as (select * from fx_rules where enabled)"
+TEST_SQL = """case op when 'lt' then num < {0} when 'gt' then num > {0} when 'eq' then raw = text_value
+   when 'ne' then raw <> text_value when 'inside' then num between value and value2 when 'outside' then not (num between value and value2) end"""
+#: Subjects that need no clock of their own: fields, topics, extra keys, presence.
+GIVEN_SQL = f"""{STATUS_SQL}, {TIMELINE_SQL}, {LIVE_RULES_SQL}, subject as (
+     select robot_id, ts_us, event_id, 'field' as source, 'battery' as key,
+       last_value(case when battery is not null then least(greatest(battery, 0.0e0), 100.0e0) end ignore nulls) over (partition by robot_id
+         order by ts, event_id rows between unbounded preceding and current row) as num, null as raw from fx_status
+     union all select robot_id, ts_us, event_id, 'topic', topic, num, null from fx_samples
+     union all select s.robot_id, epoch_us(m.recv_ts), s.event_id, 'field', 'gripper', null, substring(s.extra, 9) from status s
+       join fx_messages m using (event_id) where s.extra <> ''
+     union all select robot_id, epoch_us(start_ts), 0, 'presence', '', case when presence = 'ok' then 0.0e0 else 1.0e0 end, presence from timeline),
+   joined as (select r.rule_id, s.robot_id, s.ts_us, s.event_id, s.num, s.raw, r.for_seconds, r.op, r.value, r.value2, r.clear_value, r.text_value
+     from subject s join live r on r.source = s.source and r.key = s.key and r.op <> 'offline' and (r.scope is null or r.scope = s.robot_id))"""
+AGE_SQL = f"""arrival as (select robot_id, ts_us, event_id, lead(ts_us) over (partition by robot_id order by ts_us, event_id) as next_us from fx_status),
+   grown as (select r.*, a.robot_id, a.ts_us as seen_us, a.event_id, a.next_us, unnest(list_distinct(list_concat([0::bigint],
+       list_filter([cast(value * 1e6 as bigint), cast(value2 * 1e6 as bigint), cast(clear_value * 1e6 as bigint),
+         cast(value * 1e6 as bigint) + 1, cast(value2 * 1e6 as bigint) + 1, cast(clear_value * 1e6 as bigint) + 1], lambda x: x is not null)))) as step
+     from arrival a join live r on r.source = 'field' and r.key = 'age' and (r.scope is null or r.scope = a.robot_id)),
+   aged as (select rule_id, robot_id, seen_us + step as ts_us, event_id, step / 1e6 as num, cast(step / 1e6 as varchar) as raw, for_seconds, op, value, value2,
+     clear_value, text_value from grown where next_us is null or seen_us + step < next_us)"""
+SILENT_SQL = f"""quiet_rule as (select *, cast(least({OFFLINE_AFTER_S}e0, coalesce(nullif(value, 0), 60.0e0)) * 1e6 as bigint) as off_us from live where op = 'offline'),
+   quiet_run as (select q.rule_id, q.off_us, q.for_seconds, s.robot_id, s.at_us, s.rk, s.event_id, last_value(s.s ignore nulls) over w as seen_us,
+      last_value(s.up ignore nulls) over w as link_up, last_value(case when s.up is not null then s.at_us end ignore nulls) over w as link_us,
+      lead(s.at_us) over (partition by q.rule_id, s.robot_id order by s.at_us, s.rk, s.event_id) as end_us
+     from sig s join quiet_rule q on q.scope is null or q.scope = s.robot_id
+     window w as (partition by q.rule_id, s.robot_id order by s.at_us, s.rk, s.event_id rows between unbounded preceding and current row)),
+   quiet_piece as (select *, unnest(list_distinct([at_us, seen_us + off_us + 1])) as ts_us from quiet_run),
+   quiet_steps as (select rule_id, robot_id, ts_us, event_id + rk * 281474976710656 as event_id, cast(null as double) as num, cast(null as varchar) as raw,
+      for_seconds, not coalesce(link_up, true) and link_us >= coalesce(seen_us, 0) or seen_us is null or ts_us - seen_us > off_us as hit
+     from quiet_piece where ts_us >= at_us and (end_us is null or ts_us < end_us))"""
+CLOCK_SQL = f"""{GIVEN_SQL}, {AGE_SQL}, every_step as (
+     select rule_id, robot_id, ts_us, event_id, num, raw, for_seconds, coalesce({TEST_SQL.format('value')}, false) as hit,
+       coalesce({TEST_SQL.format("case when op in ('lt', 'gt') then coalesce(clear_value, value) else value end")}, false) as hold
+     from (select * from joined union all select * from aged) x),
+   {held_sql('every_step', 'valued')}, {SILENT_SQL}, quiet_both as (select *, hit as hold from quiet_steps), {held_sql('quiet_both', 'silent')},
+   clock as (select * from valued union all select * from silent)"""
+
+
+def clock_rows(t: Tables):
+    """Rows of every kind of rule of the given table, with what they say."""
+    r = A.load_rules(t.view("fx_rules"))
+    data, slices = t.view("fx_status"), robot_slices(t)
+    status = status_rows(t).filter("not dropped").withColumnRenamed("recv_ts", "ts")
+    subjects = (A.field_subjects(telemetry(t), A.watched_fields(r)).unionByName(A.topic_subjects(t.view("fx_samples")))
+                .unionByName(A.extra_subjects(status, A.extra_keys(r))).unionByName(A.presence_subjects(timeline(t))))
+    bound = A.with_hits(A.bind_rules(subjects, r.filter("op <> 'offline'")))
+    aged = A.with_hits(A.age_rows(data, r, slices))
+    silent = A.offline_rows(P.signals(data, t.view("fx_lwt").filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz"))), r, slices=slices, **LIMITS)
+    return bound.select(A.HIT_COLUMNS).unionByName(aged.select(A.HIT_COLUMNS)).unionByName(silent)
+
+
+def clock_alerts(t: Tables):
+    return A.alert_intervals_by_time(clock_rows(t), AS_OF, robot_slices(t))
+
+
+@q("alerts_by_clock", f"with {CLOCK_SQL} select rule_id, robot_id, started_at, resolved_at, value from clock")
+def alerts_by_clock(t: Tables):
+    """Alerts on age, extra keys, presence and silence beyond a rule's own limit, fields and topics."""
+    return clock_alerts(t).select("rule_id", "robot_id", "started_at", "resolved_at", "value")
+
+
+@q("rule_coverage", f"""with {CLOCK_SQL}, c as (select rule_id, count(*) as n from (select rule_id from every_step union all select rule_id from quiet_both) x group by 1)
+   select l.rule_id, l.rule_name, coalesce(n, 0) as subject_rows from live l left join c on c.rule_id = l.rule_id""")
+def rule_coverage(t: Tables):
+    """Every enabled rule with the rows it looks at: none is left out in silence."""
+    return A.rule_coverage(A.load_rules(t.view("fx_rules")), clock_rows(t))
+
+
+REPEAT_SQL = f"""repeats as (select rule_id, robot_id, make_timestamp(unnest(range(a + step, b, step))) as ts from (
+     select c.rule_id, robot_id, epoch_us(started_at) as a, coalesce(epoch_us(resolved_at), {AS_OF_US}) as b, cast(l.cooldown_min * 60e6 as bigint) as step
+     from clock c join live l on l.rule_id = c.rule_id where l.cooldown_min > 0) x)"""
+
+
+@q("reminders_by_clock", f"with {CLOCK_SQL}, {REPEAT_SQL} select * from repeats")
+def reminders_by_clock(t: Tables):
+    """Repeats of alerts of every kind, of silence too, while they last."""
+    return A.reminders_by_time(clock_alerts(t), A.load_rules(t.view("fx_rules")), AS_OF)
+
+
+@q("outbox_by_clock", f"""with {CLOCK_SQL}, {REPEAT_SQL}, note as (select rule_id, robot_id, started_at as ts, 'fired' as reason from clock
+     union all select rule_id, robot_id, ts, 'repeat' from repeats
+     union all select c.rule_id, robot_id, resolved_at, 'resolved' from clock c join live l on l.rule_id = c.rule_id where severity = 'critical' and resolved_at is not null)
+   select n.rule_id, robot_id, ts, reason, unnest(['push', 'ntfy', 'email']) as channel, '[' || upper(severity) || '] ' || rule_name as title,
+     cast(case when reason = 'resolved' then 3 when severity = 'critical' then 5 else 4 end as int) as priority,
+     case when reason = 'resolved' then 'white_check_mark' when severity = 'critical' then 'rotating_light' else 'warning' end as tag
+   from note n join live l on l.rule_id = n.rule_id""")
+def outbox_by_clock(t: Tables):
+    """Notifications of alerts of every kind, repeats of alerts on silence included."""
+    r, found = A.load_rules(t.view("fx_rules")), cut_lineage(clock_alerts(t))
+    log = A.alert_log(found, r, robot_names(t))
+    return A.notification_outbox(log, A.reminders_by_time(found, r, AS_OF), r, CHANNELS)

@@ -239,6 +239,28 @@ def view_sql(d: Dialect) -> dict[str, str]:
                props as detail
         from fx_events"""
 
+    # ---- alert rules: a dimension like any other, one rule per row of a given table ---
+    texts = "array<string>" if d.name == "spark" else "varchar[]"
+    n, nth = "n_nationkey", "cast(floor(n_nationkey / 6.0e0) as int)"
+    views["fx_rules"] = f"""
+        select cast({n} + 101 as int) as rule_id, lower(n_name) as rule_name, {n} % 12 <> 11 as enabled,
+               case when {n} % 10 = 4 then 'amr-000007' end as scope,
+               case {n} % 6 when 1 then 'presence' when 3 then 'presence' when 5 then 'topic' else 'field' end as source,
+               case {n} % 6 when 0 then 'age' when 2 then 'battery' when 4 then 'gripper' when 5 then 'chassis/bat_pct' else '' end as key,
+               case {n} % 6 when 0 then case {nth} % 5 when 0 then 'gt' when 1 then 'outside' when 2 then 'lt' when 3 then 'inside' else 'gt' end
+                            when 1 then case {nth} when 0 then 'gt' when 1 then 'eq' when 2 then 'ne' else 'lt' end
+                            when 3 then 'offline' when 4 then case {nth} % 2 when 0 then 'eq' else 'ne' end
+                            when 2 then 'lt' else 'inside' end as op,
+               cast(case {n} % 6 when 0 then 3600 * (10 + {n}) when 1 then 0.5 when 2 then 20 + {n}
+                                 when 3 then case {nth} when 0 then null when 1 then 7200 when 2 then 0 else 864000 end when 5 then 10 end as double) as value,
+               cast(case {n} % 6 when 0 then 3600 * (30 + {n}) when 5 then 15 + {n} end as double) as value2,
+               case {n} % 6 when 1 then case {nth} when 1 then 'stale' else 'ok' end when 4 then 'open' end as text_value,
+               cast(3600 * 6 * ({n} % 3) as double) as for_seconds,
+               cast(case when {n} = 24 then 3600 * 12 when {n} % 6 = 2 then 30 + {n} end as double) as clear_value,
+               case {n} % 3 when 0 then 'critical' when 1 then 'warn' else 'info' end as severity,
+               cast(1440 * ({n} % 4) as double) as cooldown_min, cast(null as {texts}) as channels, cast(null as string) as message_template
+        from nation"""
+
     # ---- push subscriptions and delivery results ----------------------------------------
     views["fx_push"] = f"""
         select concat('https://push.example.net/send/', lpad(cast(c_custkey as string), 40, 'k')) as endpoint,
