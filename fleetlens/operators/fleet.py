@@ -70,6 +70,12 @@ def last_points(df: DataFrame, n: int = TRAIL_POINTS, order=("ts", "event_id"))
     return df.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= n)
 
 
+def pose_trail(telemetry: DataFrame, n: int = TRAIL_POINTS, order=("ts", "event_id")) -> DataFrame:
+    """Newest ``n`` points of every robot's way, as a map shows them."""
+    shown = [F.bround(c, 3).alias(c) for c in ("x", "y", "v")] + [F.bround("battery", 1).alias("battery")]
+    return last_points(telemetry.select("robot_id", *order, *shown), n, order)
+
+
 def robot_detail(trail: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Snapshot row with the trail as an array of at most ``TRAIL_POINTS`` points."""
     points = trail.groupBy("robot_id").agg(F.array_sort(F.collect_list(F.struct("ts", "battery", "v"))).alias("trail"))

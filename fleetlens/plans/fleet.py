@@ -16,6 +16,7 @@ from fleetlens.plans.history import CATALOG_SQL, TELEMETRY_SQL, robot_slices, te
 from fleetlens.plans.live import PRESENCE_SQL, presence_now
 from fleetlens.plans.params import AS_OF, DAY, EGRESS_WINDOW_S, LOGIN_WINDOW_S, RETENTION_DAYS
 from fleetlens.plans.suite import Suite, Tables
+from fleetlens.sources import messages as M
 from fleetlens.sources import recording as RC
 from fleetlens.sources import sinks as K
 
@@ -88,6 +89,57 @@ def robot_detail(t: Tables):
                          F.array_join(text, " ").alias("trail"))
 
 
+#: State with pose and mission, carried forward; a mission given as an object also sets or clears the progress.
+POSE_FIELDS = ["battery", "state", "x", "y", "yaw", "v", "w", "mission", "progress"]
+POSE_SQL = """msg as (select event_id, split_part(topic, '/', 2) as robot_id, recv_ts as ts, cast(payload as json) as j from fx_poses),
+   said as (select event_id, robot_id, ts, cast(j->>'$.battery' as double) as battery, j->>'$.state' as state,
+     cast(coalesce(j->>'$.pose.x', j->>'$.x') as double) as x, cast(coalesce(j->>'$.pose.y', j->>'$.y') as double) as y,
+     cast(coalesce(j->>'$.pose.yaw', j->>'$.yaw') as double) as yaw, cast(j->>'$.v' as double) as v, cast(null as double) as w,
+     coalesce(json_type(j->'$.mission') = 'OBJECT', false) as reset,
+     case when json_type(j->'$.mission') = 'OBJECT' then coalesce(j->>'$.mission.id', j->>'$.mission.name') else j->>'$.mission' end as mission,
+     cast(j->>'$.mission.progress' as double) as progress from msg),
+   pose as (select event_id, robot_id, ts, last_value(case when battery is not null then least(greatest(battery, 0.0e0), 100.0e0) end ignore nulls) over w as battery,
+     last_value(state ignore nulls) over w as state, coalesce(last_value(x ignore nulls) over w, 0.0e0) as x,
+     coalesce(last_value(y ignore nulls) over w, 0.0e0) as y, coalesce(last_value(yaw ignore nulls) over w, 0.0e0) as yaw,
+     coalesce(last_value(v ignore nulls) over w, 0.0e0) as v, coalesce(last_value(said.w ignore nulls) over w, 0.0e0) as w,
+     last_value(case when reset or mission is not null then {'m': mission} end ignore nulls) over w as held,
+     last_value(case when reset then {'p': progress} end ignore nulls) over w as reached
+     from said window w as (partition by robot_id order by ts, event_id rows between unbounded preceding and current row)),
+   posed as (select * exclude (held, reached), held.m as mission, reached.p as progress from pose)"""
+
+
+def pose_messages(t: Tables):
+    rows = M.parse_status(M.route_messages(t.view("fx_poses"))).filter("not dropped").withColumnRenamed("recv_ts", "ts")
+    return rows.select("event_id", "robot_id", "ts", *POSE_FIELDS, "mission_reset")
+
+
+def posed(t: Tables):
+    return S.locf_state(pose_messages(t), POSE_FIELDS, slices=robot_slices(t)).drop("mission_reset")
+
+
+@q("pose_state", f"with {POSE_SQL} select * from posed")
+def pose_state(t: Tables):
+    """Archived rows with pose, mission and progress, each the last known."""
+    return posed(t)
+
+
+@q("pose_board", f"""with {POSE_SQL}, n as (select robot_id, count(*) as rev from posed group by 1)
+   select p.robot_id, round_even(x, 3) as x, round_even(y, 3) as y, round_even(yaw, 3) as yaw, mission, progress, rev from posed p join n on n.robot_id = p.robot_id
+   qualify row_number() over (partition by p.robot_id order by ts desc, event_id desc) = 1""")
+def pose_board(t: Tables):
+    """Where every robot is, what it is on, how far it has got, and its revision."""
+    last = FL.latest_state(posed(t))
+    return last.select("robot_id", *[F.bround(c, 3).alias(c) for c in ("x", "y", "yaw")], "mission", "progress", F.col("rx_count").alias("rev"))
+
+
+@q("pose_trail", f"""with {POSE_SQL}, n as (select robot_id, ts, event_id, round_even(x, 3) as x, round_even(y, 3) as y, round_even(v, 3) as v,
+     round_even(battery, 1) as battery, row_number() over (partition by robot_id order by ts desc, event_id desc) as n from posed)
+   select * from n where n <= 240""")
+def pose_trail(t: Tables):
+    """The last 240 points of every robot's way."""
+    return FL.pose_trail(posed(t))
+
+
 @q("battery_sparkline", """with b as (select robot_id, ts, event_id, battery, lag(battery) over w as before, row_number() over w as i
      from fx_status where battery is not null window w as (partition by robot_id order by ts, event_id)),
    c as (select *, row_number() over (partition by robot_id order by ts desc, event_id desc) as n from b where i = 1 or before <> battery)

@@ -134,6 +134,20 @@ def view_sql(d: Dialect) -> dict[str, str]:
                ts + interval 2 second as recv_ts
         from fx_events""".replace("{{", "{").replace("}}", "}")
 
+    # ---- status messages with poses and missions, in every spelling that they come in ---
+    pose = "concat('{{\"pose\":{{\"x\":', cast(event_id % 97 as string), '.25,\"y\":-', cast(event_id % 31 as string), '.5,\"yaw\":0.75}}"
+    views["fx_poses"] = f"""
+        select event_id, ts as recv_ts, concat('fleet/', robot_id, '/status') as topic,
+               case event_id % 7
+                    when 0 then {pose},"mission":{{"id":"m', cast(event_id % 9 as string), '","progress":0.', cast(event_id % 10 as string), '}}}}}}}}')
+                    when 1 then concat('{{"x":', cast(user_id as string), '.125,"mission":{{"name":"tour ', cast(event_id % 5 as string), '"}}}}}}}}')
+                    when 2 then '{{"mission":"dock","y":7.5}}'
+                    when 3 then {pose}}}')
+                    when 4 then concat('{{"mission":{{}},"v":', cast(event_id % 3 as string), '.0004}}')
+                    when 5 then concat('{{"battery":', cast(event_id % 120 as string), ',"mission":null}}')
+                    else '{{"state":"idle"}}' end as payload
+        from fx_events""".replace("{{", "{").replace("}}", "}")
+
     # ---- relayed batches: one envelope per robot and six hours ------------------
     views["fx_batch_rows"] = f"""
         select robot_id, user_id, cast(floor({us('ts')} / 21600000000.0e0) as bigint) as slot, event_id, ts,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import alerts as A
 from fleetlens.operators import presence as P
 from fleetlens.plans.alerts import TIME_LOG_SQL, WALK_SQL, robot_names, rules
+from fleetlens.plans.fleet import POSE_FIELDS, POSE_SQL, pose_messages
 from fleetlens.plans.history import CATALOG_SQL, TELEMETRY_SQL
 from fleetlens.plans.ingest import CORRECT_SQL, DEDUP_SQL
 from fleetlens.plans.live import LIMITS, RELAY_SQL, TIMELINE_SQL
@@ -87,6 +88,12 @@ def stream_locf_state(t: Tables):
     return t.spark.read.parquet(J.run_once(J.state_stream(live(t).view("fx_status")), "state"))
 
 
+@q("stream_pose_state", f"with {POSE_SQL} select * from posed")
+def stream_pose_state(t: Tables):
+    """Pose, mission and progress of a live job."""
+    return t.spark.read.parquet(J.run_once(J.state_stream(pose_messages(live(t)), POSE_FIELDS), "poses"))
+
+
 @q("stream_presence", f"""with {TIMELINE_SQL} select robot_id, presence, before, start_ts from timeline""")
 def stream_presence(t: Tables):
     """The timeline of a live job, the silence that timers report included, as far as AS_OF."""

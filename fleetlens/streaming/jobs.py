@@ -65,10 +65,6 @@ def ingest_stream(raw: DataFrame) -> DataFrame:
                        F.col("value").alias("payload"), "flag", "clamped", F.to_date("ts").alias("day"))
 
 
-def status_stream(raw: DataFrame) -> DataFrame:
-    return M.parse_status(M.route_messages(raw).filter("lane = 'status'")).filter("not dropped")
-
-
 # ------------------------------------------------------------------ windows
 
 def tumbling_counts(samples: DataFrame, width: str) -> DataFrame:
@@ -129,10 +125,11 @@ def relay_stream(samples: DataFrame, min_gap_s: float = 1 / MAX_RATE_HZ, heartbe
         P.RelayProcessor(min_gap_s, heartbeat_s, deadband), P.RELAY_OUT, "Append", "None")
 
 
-def state_stream(status: DataFrame) -> DataFrame:
+def state_stream(status: DataFrame, fields: list[str] = P.STATE_FIELDS) -> DataFrame:
     """Archived state rows; write them by day, the alert job reads that archive."""
-    return status.select("robot_id", "event_id", "ts", *P.STATE_FIELDS).groupBy("robot_id").transformWithState(
-        P.StateProcessor(), P.STATE_OUT, "Append", "None")
+    more = ["mission_reset"] if "mission" in fields else []
+    return status.select("robot_id", "event_id", "ts", *fields, *more).groupBy("robot_id").transformWithState(
+        P.StateProcessor(fields), P.state_out(fields), "Append", "None")
 
 
 def presence_stream(data: DataFrame, lwt: DataFrame, offline_after_s: float = OFFLINE_AFTER_S,

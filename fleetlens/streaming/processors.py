@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fleetlens.operators import alerts as A
 from fleetlens.operators.presence import OFFLINE, OK, STALE, UNKNOWN
 from fleetlens.operators.relay import SENT, sampler
+from fleetlens.operators.state import START_AT_ZERO
 
 SEQ = T.StructType([T.StructField("seq", T.LongType())])
 SEEN = T.StructType([T.StructField("recv_us", T.LongType())])
@@ -73,28 +74,45 @@ class RelayProcessor(StatefulProcessor):
 
 
 STATE_FIELDS = ["battery", "state", "v", "w", "temp", "wifi", "odom", "errors"]
-STATE_TYPES = {"state": T.StringType(), "errors": T.StringType()}
-STATE_STRUCT = T.StructType([T.StructField(f, STATE_TYPES.get(f, T.DoubleType())) for f in STATE_FIELDS])
-STATE_OUT = T.StructType([T.StructField("robot_id", T.StringType()), T.StructField("event_id", T.LongType()),
-                          T.StructField("ts", T.TimestampNTZType()), *STATE_STRUCT.fields])
+TEXT_FIELDS = {"state", "errors", "mission"}
+
+
+def state_struct(fields: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(f, T.StringType() if f in TEXT_FIELDS else T.DoubleType()) for f in fields])
+
+
+def state_out(fields: list[str]) -> T.StructType:
+    return T.StructType([T.StructField("robot_id", T.StringType()), T.StructField("event_id", T.LongType()),
+                         T.StructField("ts", T.TimestampNTZType()), *state_struct(fields).fields])
 
 
 class StateProcessor(StatefulProcessor):
-    """Archived state rows per robot: each field is the last known value."""
+    """Archived state rows per robot: each field is the last known value.
+
+    With ``mission`` among the fields, rows also have ``mission_reset``: a mission given as an object, which sets or
+    clears the progress and may have no name.
+    """
+
+    def __init__(self, fields: list[str] = STATE_FIELDS):
+        self._fields = fields
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._known = handle.getValueState("known", STATE_STRUCT)
+        self._known = handle.getValueState("known", state_struct(self._fields))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = list(self._known.get()) if self._known.exists() else [None] * len(STATE_FIELDS)
+        now = dict(zip(self._fields, self._known.get())) if self._known.exists() else dict.fromkeys(self._fields)
+        make = Row(*state_out(self._fields).names)
         for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            for i, f in enumerate(STATE_FIELDS):
+            reset = "mission" in now and r.mission_reset
+            for f in self._fields:
                 value = r[f]
-                if value is not None:
-                    now[i] = min(100.0, max(0.0, value)) if f == "battery" else value
-            shown = [0.0 if v is None and f in ("v", "w") else v for f, v in zip(STATE_FIELDS, now)]
-            yield Row(*STATE_OUT.names)(key[0], r.event_id, r.ts, *shown)
-        self._known.update(tuple(now))
+                if f == "progress" and "mission" in now:
+                    if reset:
+                        now[f] = value
+                elif value is not None or f == "mission" and reset:
+                    now[f] = min(100.0, max(0.0, value)) if f == "battery" else value
+            yield make(key[0], r.event_id, r.ts, *[0.0 if v is None and f in START_AT_ZERO else v for f, v in now.items()])
+        self._known.update(tuple(now.values()))
 
     def close(self) -> None:
         pass
