@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import col, from_micros
+from fleetlens.functions.scalars import col, from_micros, micros
+from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, scan
 
 # Limits of the time correction.
 CLOCK_CORRECT_S = 2.0
@@ -113,3 +114,25 @@ def overflow_accounting(df: DataFrame, keys: list[str], capacity: int) -> DataFr
     n = F.count(F.lit(1))
     return df.groupBy(*keys).agg(F.least(n, F.lit(capacity)).alias("kept"),
                                  F.greatest(n - capacity, F.lit(0)).alias("lost"))
+
+
+def outage_rows(rows: DataFrame, switches: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """Rows (robot_id, ts, event_id) that came while the store was down, with ``down_since``.
+
+    ``switches`` (robot_id, ts, event_id, up) say when it went down and came back; repeats of one state change
+    nothing, and at one instant a switch comes before rows. Before the first switch it is up.
+    """
+    both = rows.select("robot_id", "ts", "event_id", F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_up")).unionByName(
+        switches.select("robot_id", "ts", "event_id", F.lit(0).alias("_kind"), F.col("up").alias("_up")))
+    order = ["ts", "_kind", "event_id"]
+    both = scan(both, "robot_id", order, {"_state": last_known("_up")}, micros("ts"), slices)
+    both = scan(both, "robot_id", order, {"_before": lag("_state")}, micros("ts"), slices)
+    down = ~F.coalesce("_state", F.lit(True))
+    both = both.withColumn("_start", F.when(down & F.coalesce("_before", F.lit(True)), F.col("ts")))
+    both = drop_slice(scan(both, "robot_id", order, {"down_since": last_known("_start")}, micros("ts"), slices))
+    return both.filter((F.col("_kind") == 1) & down).select("robot_id", "ts", "event_id", "down_since")
+
+
+def overflow_by_outage(rows: DataFrame, switches: DataFrame, capacity: int, slices: Slices | None = None) -> DataFrame:
+    """What a buffer of ``capacity`` rows keeps and loses in each outage; it is emptied when the store comes back."""
+    return overflow_accounting(outage_rows(rows, switches, slices), ["robot_id", "down_since"], capacity)

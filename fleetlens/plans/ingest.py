@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import scalars as C
 from fleetlens.operators import quality as Q
 from fleetlens.operators import state as S
+from fleetlens.plans.history import robot_slices
 from fleetlens.plans.suite import Suite, Tables
 from fleetlens.sources import messages as M
 
@@ -229,6 +230,33 @@ def ingest_counters(t: Tables):
     return Q.ingest_counters(status_rows(t), b, rows)
 
 
+OUTAGE_SQL = """mixed as (select robot_id, ts, event_id, 1 as kind, null as up from fx_samples union all
+     select robot_id, ts, event_id, 0, payload = 'online' from fx_lwt),
+   stated as (select *, coalesce(last_value(up ignore nulls) over (partition by robot_id order by ts, kind, event_id
+     rows between unbounded preceding and current row), true) as state from mixed),
+   edged as (select *, case when not state and coalesce(lag(state) over (partition by robot_id order by ts, kind, event_id), true) then ts end as start from stated),
+   outage as (select *, last_value(start ignore nulls) over (partition by robot_id order by ts, kind, event_id
+     rows between unbounded preceding and current row) as down_since from edged)"""
+
+
+def link_switches(t: Tables):
+    return t.view("fx_lwt").select("robot_id", "ts", "event_id", (F.col("payload") == "online").alias("up"))
+
+
+@q("overflow_by_outage", f"""with {OUTAGE_SQL} select robot_id, down_since, least(count(*), 3) as kept, greatest(count(*) - 3, 0) as lost
+   from outage where kind = 1 and not state group by 1, 2""")
+def overflow_by_outage(t: Tables):
+    """Rows that a buffer of three keeps and loses in every outage of a robot's link."""
+    return Q.overflow_by_outage(t.view("fx_samples"), link_switches(t), 3, robot_slices(t))
+
+
+@q("outage_kept", f"""with {OUTAGE_SQL} select robot_id, down_since, ts, event_id from outage where kind = 1 and not state
+   qualify row_number() over (partition by robot_id, down_since order by ts desc, event_id desc) <= 3""")
+def outage_kept(t: Tables):
+    """The rows that are still in the buffer when each outage ends."""
+    return Q.overflow(Q.outage_rows(t.view("fx_samples"), link_switches(t), robot_slices(t)), ["robot_id", "down_since"], ["ts", "event_id"], 3)
+
+
 @q("overflow_accounting", """select robot_id, least(count(*), 40) as kept, greatest(count(*) - 40, 0) as lost
    from fx_samples group by 1""")
 def overflow_accounting(t: Tables):

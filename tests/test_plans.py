@@ -23,7 +23,7 @@ def test_shuffles(spark, name, exchanges):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["rules_x_robots", "incident_window", "token_status", "describe_rule"])
+@pytest.mark.parametrize("name", ["rules_x_robots", "incident_window", "token_status", "load_rules"])
 def test_small_sides_are_broadcast_equality_joins(spark, name):
     assert "BroadcastHashJoin" in plan(entry.queries()[name](spark, SMALL))
 
