@@ -442,6 +442,16 @@ def apply_retention(t: Tables):
     return t.spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@q("sweep_retention", f"""select case when event_id % 5 = 0 then null else cast(ts as date) end as day, count(*) as rows from fx_status
+   where cast(ts as date) >= date '2024-01-31' - {RETENTION_DAYS} group by 1""")
+def sweep_retention(t: Tables):
+    """Retention of an archive in which every fifth row has lost its time and lies in the folder without a day."""
+    path, lost = K.scratch_path(t.spark, "swept"), F.when(F.col("event_id") % 5 != 0, F.col("ts"))
+    K.write_archive(t.view("fx_status").select("robot_id", lost.alias("ts"), F.col("ts").alias("recv_ts"), "battery"), path)
+    K.apply_retention(t.spark, path, AS_OF[:10], RETENTION_DAYS, "recv_ts")
+    return t.spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @q("merge_catalog", f"with {CATALOG_SQL} select * from catalog")
 def merge_catalog(t: Tables):
     rows = t.view("fx_samples")

@@ -84,14 +84,63 @@ def drop_day(spark: SparkSession, path: str, day: str) -> bool:
     return fs.delete(p, True)
 
 
-def apply_retention(spark: SparkSession, path: str, today: str, keep_days: int) -> list[str]:
-    """Delete day folders older than ``today - keep_days``; returns the days dropped."""
+NO_DAY = "day=__HIVE_DEFAULT_PARTITION__"
+
+
+def apply_retention(spark: SparkSession, path: str, today: str, keep_days: int, fallback: str | None = None) -> list[str]:
+    """Delete day folders older than ``today - keep_days``; returns the days dropped.
+
+    Rows without a day lie in a folder of their own, which is never dropped whole: with ``fallback``, a column that
+    tells their age (the time of arrival), those older than the limit are swept out of it.
+    """
     import datetime as dt
 
     cutoff = dt.date.fromisoformat(today) - dt.timedelta(days=keep_days)
-    days = [c[4:] for c in list_children(spark, path) if c.startswith("day=") and c[4:] != "__HIVE_DEFAULT_PARTITION__"]
+    days = [c[4:] for c in list_children(spark, path) if c.startswith("day=") and c != NO_DAY]
     expired = [d for d in days if dt.date.fromisoformat(d) < cutoff]
-    return [d for d in expired if drop_day(spark, path, d)]
+    dropped = [d for d in expired if drop_day(spark, path, d)]
+    if fallback and exists(spark, f"{path}/{NO_DAY}"):
+        sweep(spark, path, NO_DAY, F.to_date(fallback) < F.lit(cutoff.isoformat()).cast("date"))
+    return dropped
+
+
+def sweep(spark: SparkSession, path: str, folder: str, expired) -> int:
+    """Remove the rows for which ``expired`` holds from one folder; returns how many files were rewritten.
+
+    Only files that hold such rows are written anew, into a hidden folder together with the list of files that they
+    replace. That list is the last thing written: from then on the swap is decided, and ``finish_sweeps`` completes it
+    after a crash as well; without the list a hidden folder is rubbish. No row is lost or doubled.
+    """
+    import uuid
+
+    finish_sweeps(spark, path)
+    rows = spark.read.parquet(f"{path}/{folder}")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    touched = [r[0] for r in rows.filter(expired).select(name.alias("f")).distinct().collect()]  # one name per file
+    if not touched:
+        return 0
+    kept = spark.read.parquet(*[f"{path}/{folder}/{f}" for f in touched]).filter(~F.coalesce(expired, F.lit(False)))
+    staged = f"{path}/_swept-{uuid.uuid4().hex}"
+    kept.write.parquet(f"{staged}/rows")
+    spark.createDataFrame([(folder, f) for f in touched], "folder string, file string").coalesce(1).write.json(f"{staged}/replaces")
+    finish_sweeps(spark, path)
+    return len(touched)
+
+
+def finish_sweeps(spark: SparkSession, path: str) -> None:
+    """Complete the swaps of ``sweep`` that are decided, and remove those that are not."""
+    for staged in [c for c in list_children(spark, path) if c.startswith("_swept-")]:
+        base = f"{path}/{staged}"
+        fs, _ = _fs(spark, path)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        if exists(spark, f"{base}/replaces/_SUCCESS"):
+            replaced = spark.read.schema("folder string, file string").json(f"{base}/replaces").collect()  # one row per file
+            folder = replaced[0]["folder"]
+            for r in replaced:
+                fs.delete(hadoop(f"{path}/{folder}/{r['file']}"), False)
+            for f in [c for c in list_children(spark, f"{base}/rows") if c.startswith("part-")]:
+                fs.rename(hadoop(f"{base}/rows/{f}"), hadoop(f"{path}/{folder}/{f}"))
+        fs.delete(hadoop(base), True)
 
 
 def snapshot_export(tables: dict[str, DataFrame], root: str, stamp: str, with_history: bool = True) -> str:
