@@ -21,7 +21,7 @@ class WordHashes(dict):
     """Hash of each word, kept for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
