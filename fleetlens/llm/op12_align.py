@@ -10,10 +10,10 @@ fills in its documents' figures; texts and tokens are never shuffled.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -61,34 +61,6 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [of(i) for i in range(model.get_piece_size())]
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, bytes]:
-    """Groups of two id sequences over the same bytes as text, and the linked pairs, one per group, as 64-bit numbers.
-
-    ``sizes`` hold the bytes of every id of a vocabulary, none of them 0. Groups end where both end.
-    """
-    groups, links, i, j, a_end, b_end, total = [], [], 0, 0, 0, 0, len(a)
-    while i < total:
-        x, y, m, n = a[i], b[j], i + 1, j + 1
-        a_end += a_sizes[x]
-        b_end += b_sizes[y]
-        if a_end == b_end:
-            groups.append(f"{x}|{y}")
-        else:
-            while a_end != b_end:
-                if a_end < b_end:
-                    x = a[m]
-                    a_end += a_sizes[x]
-                    m += 1
-                else:
-                    y = b[n]
-                    b_end += b_sizes[y]
-                    n += 1
-            groups.append(f"{str(a[i:m])[1:-1]}|{str(b[j:n])[1:-1]}".replace(" ", ""))
-        links.append(x * PAIR + y)
-        i, j = m, n
-    return ";".join(groups), array("q", links).tobytes()
-
-
 def marked(places: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, bool)
     out[places] = True
@@ -96,38 +68,61 @@ def marked(places: np.ndarray, size: int) -> np.ndarray:
 
 
 class Aligner:
-    """Aligns texts given as ids of both vocabularies; remembers windows."""
+    """Aligns texts given as ids of both vocabularies; remembers windows.
+
+    A group is written as its first ids, a bar and its second ids, each id with the sign before it: none, comma or
+    semicolon, bar or comma. ``signs`` holds all of these spellings, so writing a window is looking up its ids.
+    """
 
     def __init__(self, first: Vocabulary, second: Vocabulary):
         self.a, self.b, self.known = first, second, {}
+        n, m = len(first.lengths), len(second.lengths)
+        self.signs = [f"{s}{i}" for s in ("", ",", ";") for i in range(n)] + [f"{s}{i}" for s in "|," for i in range(m)]
+        self.sign = self.signs.__getitem__
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
         """Groups and links of one text, window by window. Both sequences must stand for the same bytes."""
-        a_at, b_at = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
-        a_byte, b_byte = (np.cumsum(v.sizes[ids]) - v.sizes[ids] for v, ids in ((self.a, a), (self.b, b)))
-        a_byte, b_byte, size = a_byte[a_at], b_byte[b_at], max(a_byte[-1], b_byte[-1]) + 1
+        n, all_ids = len(a), np.concatenate([a, b])
+        a_end, b_end = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        size = int(a_end[-1]) + 1
+        # groups: how many shared ends lie before a token
+        a_shared, b_shared = marked(b_end, size)[a_end], marked(a_end, size)[b_end]
+        group = np.concatenate([np.cumsum(a_shared) - a_shared, np.cumsum(b_shared) - b_shared])
+        links = a[a_shared] * PAIR + b[b_shared]
+        # windows: groups before which both have a token that starts with a space
+        last_a, last_b = np.flatnonzero(a_shared)[:-1] + 1, np.flatnonzero(b_shared)[:-1] + 1
+        opens = np.r_[0, np.flatnonzero(self.a.spaced[a[last_a]] & self.b.spaced[b[last_b]]) + 1]
+        window = (np.cumsum(marked(opens, len(links))) - 1)[group]
         # the ids of a window side by side, those of the second vocabulary marked: one slice is a window's key
-        window = np.zeros(len(a) + len(b), np.int64)
-        window[a_at[marked(b_byte, size)[a_byte]]] = 1
-        window[len(a) + b_at[marked(a_byte, size)[b_byte]]] = 1
-        window[: len(a)], window[len(a) :] = np.cumsum(window[: len(a)]), np.cumsum(window[len(a) :])
+        side = np.arange(len(all_ids)) >= n
         order = np.argsort(window, kind="stable")
-        ids, window = np.concatenate([a, b | SECOND]).astype("<u4")[order], window[order]
-        cuts = (4 * np.r_[0, np.flatnonzero(window[1:] != window[:-1]) + 1, len(ids)]).tolist()
-        raw, known = ids.tobytes(), self.known
-        keys = [raw[m:n] for m, n in zip(cuts, cuts[1:])]
+        cuts = np.r_[0, np.flatnonzero(np.diff(window[order])) + 1, len(order)]
+        raw = np.where(side, all_ids | SECOND, all_ids)[order].astype("<u4").tobytes()
+        places, known = (4 * cuts).tolist(), self.known
+        keys = [raw[i:j] for i, j in zip(places, places[1:])]
         found = list(map(known.get, keys))
         if None in found:
-            a_ids, b_ids, a_cut = a.tolist(), b.tolist(), np.r_[0, np.cumsum(order < len(a))][np.array(cuts) // 4].tolist()
-            for i, f in enumerate(found):
-                if f is None and (f := known.get(keys[i])) is None:
-                    m, n = a_cut[i], a_cut[i + 1]
-                    f = known[keys[i]] = align(a_ids[m:n], b_ids[cuts[i] // 4 - m : cuts[i + 1] // 4 - n], self.a.lengths, self.b.lengths)
-                found[i] = f
-            if len(known) > REMEMBERED:
-                known.clear()
+            self._learn(keys, found, cuts.tolist(), np.r_[opens, len(links)].tolist(), all_ids, side, group, opens, links)
         return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int64)
 
+    def _learn(self, keys, found, cuts, opens, ids, side, group, first_groups, links) -> None:
+        """Aligns the windows that are not known: their ids in order of groups, with their signs, and their links."""
+        order = np.argsort(2 * group + side, kind="stable")
+        ids, side, group = ids[order], side[order], group[order]
+        starts = np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])]
+        n, m = len(self.a.lengths), len(self.b.lengths)
+        kind = np.where(side, np.where(starts, 3 * n, 3 * n + m), np.where(starts, 2 * n, n))
+        kind[starts & ~side & np.isin(group, first_groups)] = 0  # a window's first id
+        codes, known = (ids + kind).tolist(), self.known
+        for i, f in enumerate(found):
+            if f is None:
+                key = keys[i]
+                if (f := known.get(key)) is None:
+                    f = known[key] = "".join(map(self.sign, codes[cuts[i] : cuts[i + 1]])), links[opens[i] : opens[i + 1]].tobytes()
+                found[i] = f
+        if len(known) > REMEMBERED:
+            known.clear()
+
 
 NO_TOKENS = (0, 0, 0, "", np.zeros(0, np.int64))
 
@@ -154,7 +149,8 @@ def _chunk_row(chunk: int, ids: list[pa.Array], rows: list[tuple]) -> pa.RecordB
     """One row: the documents with their links as places in the list of the chunk's distinct pairs, and that list."""
     lengths = np.array([len(r[4]) for r in rows], np.int64)
     flat = np.concatenate([r[4] for r in rows])
-    pairs, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place, pairs = pd.factorize(flat)
+    times = np.bincount(place, minlength=len(pairs))
     often = np.argsort(-times, kind="stable")
     number = np.empty(len(pairs), np.int64)
     number[often] = np.arange(len(pairs))
@@ -163,7 +159,7 @@ def _chunk_row(chunk: int, ids: list[pa.Array], rows: list[tuple]) -> pa.RecordB
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as out:
         out.write_batch(docs)
-    payload = pack(sink.getvalue().to_pybytes(), planes(number[place.ravel()]))
+    payload = pack(sink.getvalue().to_pybytes(), planes(number[place]))
     values = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
     return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), values(pairs[often]), values(times[often])],
                            names=["chunk", "payload", "pairs", "times"])

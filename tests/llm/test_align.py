@@ -76,8 +76,10 @@ def test_forgetful_aligner(monkeypatch):
 
 
 def test_groups_end_where_both_end():
-    assert A.align([5, 1, 7], [2, 7], [0, 2, 0, 0, 0, 1, 0, 2], [0, 0, 3, 0, 0, 0, 0, 2]) == (
-        "5,1|2;7|7", np.array([1 * A.PAIR + 2, 7 * A.PAIR + 7]).tobytes())
+    aligner = A.Aligner(A.Vocabulary([b" a", b"b", b"cd", b" "]), A.Vocabulary([b" ab", b"c", b"d", b" a"]))
+    for _ in range(2):  # learned, then known
+        groups, links = aligner.groups(np.array([0, 1, 2, 0]), np.array([0, 1, 2, 3]))
+        assert groups == "0,1|0;2|1,2;0|3" and links.tolist() == [1 * A.PAIR, 2 * A.PAIR + 2, 3]
     with pytest.raises(ValueError):
         A.Vocabulary([b"a", b""])
 
