@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id stays; rows that repeat a document stay once.
 
-    Documents without an id cannot be told apart and all stay.
+    Documents without an id cannot be told apart and all stay. Rows of one id with different texts stay or go together.
     """
     kept = written(jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

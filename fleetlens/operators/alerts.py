@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,23 @@ def bind_rules(subjects: DataFrame, rules: DataFrame) -> DataFrame:
     return _in_scope(subjects).join(broadcast_if_small(picked), ["source", "key", "scope"]).drop("scope")
 
 
+def bind_rules_as_of(subjects: DataFrame, versions: DataFrame) -> DataFrame:
+    """Rows of ``with_hits`` under the version of each rule in force at the row's time.
+
+    ``versions`` are rules with ``valid_from``; a version holds until the next one of its rule. Rows before a rule's
+    first version are not its rows. Under a version that is not enabled nothing hits or holds, so an alert ends with
+    its rule.
+    """
+    own = Window.partitionBy("rule_id").orderBy("valid_from")
+    picked = versions.select(
+        "rule_id", F.coalesce("scope", F.lit(ANY_ROBOT)).alias("scope"), "source", "key", "op", F.col("value").alias("limit"), F.col("value2").alias("limit2"),
+        "text_value", "for_seconds", "clear_value", "severity", "cooldown_min", "enabled", "valid_from", F.lead("valid_from").over(own).alias("valid_to"))
+    rows = _in_scope(subjects).join(broadcast_if_small(picked), ["source", "key", "scope"]).drop("scope")
+    rows = rows.filter((F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to"))))
+    on = F.coalesce("enabled", F.lit(False))
+    return with_hits(rows).withColumns({"hit": F.col("hit") & on, "hold": F.col("hold") & on})
+
+
 def presence_subjects(timeline: DataFrame) -> DataFrame:
     """Presence as a subject at every change: the word, and 0 while the robot is ok, 1 otherwise."""
     num = F.when(F.col("presence") == P.OK, 0.0).otherwise(1.0)

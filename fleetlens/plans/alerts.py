@@ -365,3 +365,19 @@ def outbox_by_clock(t: Tables):
     r, found = A.load_rules(t.view("fx_rules")), cut_lineage(clock_alerts(t))
     log = A.alert_log(found, r, robot_names(t))
     return A.notification_outbox(log, A.reminders_by_time(found, r, AS_OF), r, CHANNELS)
+
+
+VERSION_SQL = f"""{TELEMETRY_SQL}, version as (select *, lead(valid_from) over (partition by rule_id order by valid_from) as valid_to from fx_rule_versions),
+   said as (select robot_id, ts, event_id, 'battery' as key, 'field' as source, battery as num from telemetry
+     union all select robot_id, ts, event_id, topic, 'topic', num from fx_samples),
+   versioned as (select v.rule_id, s.robot_id, s.event_id, coalesce(v.enabled and case op when 'lt' then num < value when 'inside' then num between value and value2 end, false) as hit,
+     coalesce(v.enabled and case op when 'lt' then num < coalesce(clear_value, value) when 'inside' then num between value and value2 end, false) as hold
+     from said s join version v on v.source = s.source and v.key = s.key and (v.scope is null or v.scope = s.robot_id)
+       and s.ts >= valid_from and (valid_to is null or s.ts < valid_to))"""
+
+
+@q("rule_versions", f"with {VERSION_SQL} select * from versioned")
+def rule_versions(t: Tables):
+    """What the version of each rule in force says of every row of a field or topic."""
+    watched = A.field_subjects(telemetry(t), ["battery"]).unionByName(A.topic_subjects(t.view("fx_samples")))
+    return A.bind_rules_as_of(watched, t.view("fx_rule_versions")).select("rule_id", "robot_id", "event_id", "hit", "hold")

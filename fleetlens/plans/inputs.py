@@ -275,6 +275,12 @@ def view_sql(d: Dialect) -> dict[str, str]:
                cast(1440 * ({n} % 4) as double) as cooldown_min, cast(null as {texts}) as channels, cast(null as string) as message_template
         from nation"""
 
+    rest = "rule_id, rule_name, scope, source, key, op, value2, text_value, for_seconds, clear_value, severity, cooldown_min"
+    views["fx_rule_versions"] = f"""
+        select {rest}, enabled, value, {d.ntz('2024-01-01 00:00:00')} + (rule_id % 3) * interval 1 day as valid_from from fx_rules
+        union all
+        select {rest}, rule_id % 4 <> 0, value + 5, {d.ntz('2024-01-16 00:00:00')} from fx_rules where rule_id % 2 = 0"""
+
     # ---- push subscriptions and delivery results ----------------------------------------
     views["fx_push"] = f"""
         select concat('https://push.example.net/send/', lpad(cast(c_custkey as string), 40, 'k')) as endpoint,

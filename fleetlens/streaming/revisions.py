@@ -110,12 +110,22 @@ class Revisions:
             K.write_versioned(rows, f"{self.root}/base", batch_id)
 
 
-def run_revisions(rows: DataFrame, revisions: Revisions) -> None:
-    """Everything available, micro-batch by micro-batch."""
-    (rows.writeStream.option("checkpointLocation", f"{revisions.root}/checkpoint").foreachBatch(revisions.take)
+def run_revisions(rows: DataFrame, revisions: Revisions, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Everything available, micro-batch by micro-batch. ``prepare`` makes the rows that are kept of each micro-batch;
+    what it reads, it reads anew every time."""
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        revisions.take(batch if prepare is None else prepare(batch), batch_id)
+
+    (rows.writeStream.option("checkpointLocation", f"{revisions.root}/checkpoint").foreachBatch(take)
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def bound_by(versions: Callable[[], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Binds subjects of a micro-batch to the rules as ``versions()`` reads them then, each row to the version in force."""
+    return lambda subjects: hit_rows(A.bind_rules_as_of(subjects, versions()))
+
+
 def presence_revisions(root: str, offline_after_s: float = P.OFFLINE_AFTER_S, stale_after_s: float = P.STALE_AFTER_S) -> Revisions:
     """Presence of rows of ``presence.signals``: a data arrival forgets all before it."""
     changes = lambda rows: P.presence_changes(rows, None, offline_after_s, stale_after_s).withColumnRenamed("piece_us", "start_us")

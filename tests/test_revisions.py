@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import alerts as A
 from fleetlens.operators import presence as P
 from fleetlens.sources import sinks as K
+from fleetlens.streaming import jobs as J
 from fleetlens.streaming import revisions as R
 
 AS_OF = "2024-02-10 00:00:00"
@@ -103,6 +104,34 @@ def test_nothing_arrived(spark):
     assert found.current(spark) is None
 
 
+def test_a_rule_added_between_two_files_acts_from_the_second(spark):
+    """Rules are read anew in every micro-batch; a rule switched off ends its alert."""
+    rules, inbox, root = (K.scratch_path(spark, n) for n in ("rules", "inbox", "alerts"))
+    columns = """rule_id int, scope string, source string, key string, op string, value double, value2 double, text_value string,
+        for_seconds double, clear_value double, severity string, cooldown_min double, enabled boolean, valid_from timestamp_ntz"""
+
+    def add(rule_id, limit, enabled, day):
+        row = spark.sql(f"""select {rule_id} rule_id, string(null) scope, 'topic' source, 't' key, 'gt' op, {limit}D value, double(null) value2, string(null) text_value,
+            0D for_seconds, double(null) clear_value, 'warn' severity, 0D cooldown_min, {enabled} enabled, timestamp_ntz'2024-01-{day:02}' valid_from""")
+        row.coalesce(1).write.mode("append").parquet(rules)
+
+    def arrive(*rows):
+        values = ", ".join(f"('a', timestamp_ntz'2024-01-{day:02}', {i}L, 'topic', 't', {num}D, '{num}')" for i, day, num in rows)
+        spark.sql(f"select * from values {values} as r(robot_id, ts, event_id, source, key, num, raw)").coalesce(1).write.mode("append").parquet(inbox)
+
+    found = R.alert_revisions(root)
+    run = lambda: R.run_revisions(J.read_stream(spark, inbox, spark.read.parquet(inbox)), found, R.bound_by(lambda: spark.read.schema(columns).parquet(rules)))
+    add(1, 10, True, 1)
+    arrive((1, 2, 50.0))
+    run()
+    add(2, 20, True, 3)  # while the stream rests between two files
+    add(1, 10, False, 5)
+    arrive((2, 4, 60.0), (3, 6, 70.0))
+    run()
+    got = sorted((r.rule_id, r.started_at.day, r.resolved_at and r.resolved_at.day) for r in R.alerts_at(found, spark, AS_OF).collect())
+    assert got == [(1, 2, 6), (2, 4, None)]
+
+
 def test_streams_start_from_any_folder(tmp_path):
     code = f"""
 import sys
