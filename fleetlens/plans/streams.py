@@ -127,7 +127,7 @@ def stream_alert_log(t: Tables):
     """Open and resolved alerts of running streams; hold times end by the clock, without a further row."""
     s = live(t)
     archive = J.run_once(J.state_stream(s.view("fx_status")), "state")
-    state = J.read_stream(t.spark, archive, t.spark.read.parquet(archive))
+    state = J.read_archive(t.spark, archive)
     subjects = A.field_subjects(state, A.watched_fields(rules(t))).unionByName(A.topic_subjects(s.view("fx_samples")))
     alerts = R.alert_revisions(K.scratch_path(t.spark, "alerts"))
     R.run_revisions(R.hit_rows(A.with_hits(A.bind_rules(subjects, rules(t)))), alerts)

@@ -22,11 +22,25 @@ from fleetlens.streaming import processors as P
 REMEMBER_S = int(Q.MAX_BACKFILL_S)
 
 
+#: Size of a micro-batch that is read from the archive of another job.
+BYTES_PER_TRIGGER = 256 << 20
+
+
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(like.schema).option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """What another job has written, as a stream.
+
+    Its files are as many as that job had tasks, whatever they hold, so micro-batches are bounded by bytes: every
+    micro-batch costs its jobs, and one per file would make them hundreds.
+    """
+    return (spark.readStream.schema(spark.read.parquet(folder).schema).option("pathGlobFilter", "*.parquet")
+            .option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(folder))
+
+
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
