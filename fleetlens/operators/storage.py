@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import micros
-from fleetlens.operators.sequence import Slices, drop_slice, running, scan
-from fleetlens.session import broadcast_if_small
+from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, lead, plan_slices, running, scan
+from fleetlens.session import broadcast_if_small, cut_lineage
 
 # Meters and guards.
 HEADER_BYTES = 200
 EGRESS_WINDOW_S = 60.0
 DISK_WARN_PCT, DISK_CRITICAL_PCT = 15.0, 5.0
 THROTTLED_DROP_PCT = 25.0
+#: Instants per slice; all traffic is one sequence.
+RATE_ROWS = 250_000
 
 
 def sent_bytes(requests: DataFrame) -> DataFrame:
@@ -21,20 +23,26 @@ def sent_bytes(requests: DataFrame) -> DataFrame:
     return requests.withColumn("bytes", F.col("body_bytes") + F.when(F.col("kind") == "http", HEADER_BYTES).otherwise(0))
 
 
-def egress_rate(requests: DataFrame, window_s: float = EGRESS_WINDOW_S) -> DataFrame:
+def egress_rate(requests: DataFrame, window_s: float = EGRESS_WINDOW_S, target_rows: int = RATE_ROWS) -> DataFrame:
     """Trailing byte rate at every instant something was sent.
 
-    Traffic has no key, so time is the key: bytes are first summed per instant, each
-    instant goes into its own window and the next, and every task sees two windows.
+    Bytes are first summed per instant. An instant adds its bytes when it comes and takes them back just after the
+    window, so the trailing sum is a running sum and the start of the window the successor of the last instant that
+    has left it; no frame is summed anew. Traffic has no key, so time is cut into slices.
     """
     w = int(window_s * 1e6)
     at = sent_bytes(requests).groupBy(micros("ts").alias("at_us")).agg(F.sum("bytes").alias("bytes"))
-    own = F.floor(F.col("at_us") / w)
-    spread = at.withColumns({"_own": own, "_win": F.explode(F.array(own, own + 1))})
-    trailing = Window.partitionBy("_win").orderBy("at_us").rangeBetween(-w, 0)
-    rated = spread.withColumns({"_sum": F.sum("bytes").over(trailing), "_lo": F.min("at_us").over(trailing)}).filter("_win = _own")
-    span_s = F.greatest((F.col("at_us") - F.col("_lo")) / F.lit(1e6), F.lit(1.0))
-    return rated.select("at_us", "bytes", (F.col("_sum") / span_s).alias("rate_bps"))
+    at = cut_lineage(at.withColumn("_all", F.lit(0)))
+    slices = plan_slices(at, "_all", F.col("at_us"), target_rows)
+    along = scan(at, "_all", ["at_us"], {"_prev": lag("at_us"), "_next": lead("at_us")}, F.col("at_us"), slices)
+    comes = F.struct(F.col("at_us").alias("_at"), F.lit(1).alias("_kind"), F.col("bytes").alias("_delta"),
+                     F.when(F.col("_prev").isNull(), F.col("at_us")).alias("_from"))
+    goes = F.when(F.col("_next").isNotNull(), F.struct(
+        (F.col("at_us") + w + 1).alias("_at"), F.lit(0).alias("_kind"), (-F.col("bytes")).alias("_delta"), F.col("_next").alias("_from")))
+    marks = drop_slice(along).select("_all", "bytes", F.explode(F.array_compact(F.array(comes, goes))).alias("m")).select("_all", "bytes", "m.*")
+    rated = drop_slice(scan(marks, "_all", ["_at", "_kind"], {"_sum": running("_delta"), "_lo": last_known("_from")}, F.col("_at"), slices))
+    span_s = F.greatest((F.col("_at") - F.col("_lo")) / F.lit(1e6), F.lit(1.0))
+    return rated.filter("_kind = 1").select(F.col("_at").alias("at_us"), "bytes", (F.col("_sum") / span_s).alias("rate_bps"))
 
 
 def egress_meter(requests: DataFrame, window_s: float = EGRESS_WINDOW_S) -> DataFrame:
