@@ -10,8 +10,8 @@ from fleetlens.functions.scalars import decimal_text, from_micros, micros
 from fleetlens.operators import presence as P
 from fleetlens.operators.chain import FIRST, RATE, Rule, sampled
 from fleetlens.operators.fold import fold
-from fleetlens.operators.sequence import Slices, drop_slice, lag, last_known, lead, next_known, running, scan
-from fleetlens.session import broadcast_if_small
+from fleetlens.operators.sequence import SLICE, Slices, drop_slice, lag, last_known, lead, next_known, running, scan
+from fleetlens.session import broadcast_if_small, cut_lineage
 
 RULE_SCHEMA = T.StructType([
     T.StructField("rule_id", T.IntegerType()), T.StructField("rule_name", T.StringType()),
@@ -218,27 +218,38 @@ def _sane(rows: DataFrame) -> Column:
 
 
 def firing_rows(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
-    """Rows with ``fires`` and the bounds of the hold run they lie in (sane clear limits only).
+    """Rows with ``fires`` and the number of the hold run they lie in (sane clear limits only).
 
     Runs of ``hold`` rows start after a row without it; inside one, the alert fires on the
     first ``hit`` row whose run of hits is old enough and which did not start that run.
     """
     us = micros("ts")
-    rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"),
-                                    "_island": running((~F.col("hold")).cast("int")),
-                                    "_stop_us": next_known(F.when(~F.col("hold"), us))}, us, slices)
+    rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"), "_island": running((~F.col("hold")).cast("int"))}, us, slices)
     starts = F.col("hit") & ~F.coalesce("_hit_before", F.lit(False))
     rows = scan(rows, KEYS, ORDER, {"_run_us": last_known(F.when(starts, us))})
     held_s = (us - F.col("_run_us")) / F.lit(1e6)
     return rows.withColumn("fires", F.col("hit") & ~starts & (held_s >= F.col("for_seconds")))
 
 
+def _first_of_runs(rows: DataFrame, due: str) -> DataFrame:
+    """The first ``due`` row of every hold run, with ``_stop_us``, the time of the row that ends the run.
+
+    Of due rows and rows that do not hold, those that differ from the one before are in turn the first due row of a
+    run and the end of that run. Everything goes forward, so rows are sorted once and most are gone before the last
+    two scans.
+    """
+    kept = rows.filter(F.col(due) | ~F.col("hold"))
+    if SLICE in kept.columns:  # scans of slices read their rows twice
+        kept = cut_lineage(kept)
+    kept = scan(kept, KEYS, ORDER, {"_due_before": lag(due)}).filter(F.col(due) != F.coalesce("_due_before", F.lit(False)))
+    return drop_slice(scan(kept, KEYS, ORDER, {"_stop_us": lead(micros("ts"))})).filter(due)
+
+
 def alert_intervals(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
     """One row per alert: (rule, robot, started, resolved or null, value at the start)."""
-    closed = firing_rows(rows.filter(_sane(rows)), slices).filter("fires").groupBy(*KEYS, "_island").agg(
-        F.min_by(F.struct("ts", "num", "raw", "_stop_us"), F.struct(*ORDER)).alias("f"))
-    out = closed.select(*KEYS, F.col("f.ts").alias("started_at"), from_micros("f._stop_us").alias("resolved_at"),
-                        F.col("f.num").alias("value"), F.col("f.raw").alias("raw"))
+    first = _first_of_runs(firing_rows(rows.filter(_sane(rows)), slices).drop("_island"), "fires")
+    out = first.select(*KEYS, F.col("ts").alias("started_at"), from_micros("_stop_us").alias("resolved_at"),
+                       F.col("num").alias("value"), "raw")
     return out.unionByName(_strict_intervals(rows, slices))
 
 
@@ -253,16 +264,14 @@ def alert_intervals_by_time(rows: DataFrame, as_of: str | None, slices: Slices |
     rows = rows.filter(us < until)
     strict = _strict_intervals(rows, slices)
     rows = rows.filter(_sane(rows))
-    rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"), "_island": running((~F.col("hold")).cast("int")),
-                                    "_stop_us": next_known(F.when(~F.col("hold"), us)), "_next_us": lead(us)}, us, slices)
+    rows = scan(rows, KEYS, ORDER, {"_hit_before": lag("hit"), "_next_us": lead(us)}, us, slices)
     starts = F.col("hit") & ~F.coalesce("_hit_before", F.lit(False))
-    rows = drop_slice(scan(rows, KEYS, ORDER, {"_run_us": last_known(F.when(starts, us))}))
-    fire = F.col("_run_us") + F.round(F.col("for_seconds") * 1e6).cast("long")
-    due = rows.withColumn("_fire_us", fire).filter(
-        F.col("hit") & (F.col("_fire_us") >= us) & (F.col("_fire_us") < F.coalesce("_next_us", until)))
-    first = due.groupBy(*KEYS, "_island").agg(F.min_by(F.struct("_fire_us", "num", "raw", "_stop_us"), F.struct(*ORDER)).alias("f"))
-    return first.select(*KEYS, from_micros("f._fire_us").alias("started_at"), from_micros("f._stop_us").alias("resolved_at"),
-                        F.col("f.num").alias("value"), F.col("f.raw").alias("raw")).unionByName(strict)
+    rows = scan(rows, KEYS, ORDER, {"_run_us": last_known(F.when(starts, us))})
+    rows = rows.withColumn("_fire_us", F.col("_run_us") + F.round(F.col("for_seconds") * 1e6).cast("long"))
+    due = F.col("hit") & (F.col("_fire_us") >= us) & (F.col("_fire_us") < F.coalesce("_next_us", until))
+    first = _first_of_runs(rows.withColumn("_due", due), "_due")
+    return first.select(*KEYS, from_micros("_fire_us").alias("started_at"), from_micros("_stop_us").alias("resolved_at"),
+                        F.col("num").alias("value"), "raw").unionByName(strict)
 
 
 STRICT = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("pending_us", T.LongType()),
@@ -291,7 +300,7 @@ def alert_step(now, row):
 
 def _strict_marks(rows: DataFrame, slices: Slices | None) -> DataFrame:
     """A firing alert may resolve while the trigger still hits: needs the state machine."""
-    rows = _with_clock(rows.filter(~_sane(rows)))
+    rows = _with_clock(rows.filter(~_sane(rows))).select(*KEYS, *ORDER, "num", "raw", "hit", "hold", "for_seconds", "_at", "_cool")
     marks = fold(rows, KEYS, ORDER, ["_at", "hit", "hold", "for_seconds", "_cool"], alert_step, STRICT, MARK,
                  F.col("_at"), slices)
     return marks.filter("mark is not null")
@@ -339,6 +348,7 @@ def reminders(rows: DataFrame, slices: Slices | None = None) -> DataFrame:
                                                "_island_us": last_known(island_start)}))
     burning = rows.filter(F.col("hold") & F.col("_fired_us").isNotNull()
                           & (F.col("_fired_us") > F.coalesce("_island_us", F.lit(-1))) & (F.col("cooldown_min") > 0))
+    burning = burning.select(*KEYS, *ORDER, "num", "cooldown_min", "_island")  # what goes through Python
     kept = _spaced_by_cooldown(burning, slices)
     return kept.filter(~F.col("_opening")).select(*KEYS, "ts", "num").unionByName(strict)
 
