@@ -27,7 +27,7 @@ from fleetlens.session import broadcast_if_small, cut_lineage
 FIRST, CHANGE, HEARTBEAT, RATE, SAME = "first", "change", "heartbeat", "rate", "same"
 NAMES = (FIRST, CHANGE, HEARTBEAT, RATE, SAME)
 #: Rows handled at once, beyond one key's (slice's) rows.
-BLOCK = 200_000
+BLOCK = 50_000
 STATE = ["_at", "_num", "_code", "_gap"]
 STATE_DDL = "_at long, _num double, _code long, _gap long"
 
@@ -184,12 +184,12 @@ def _laid(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def sampled(df: DataFrame, keys: list[str], order: list[str], at: Column, num: Column, text: Column, gap_us: Column, rule: Rule,
-            slices: Slices | None = None) -> DataFrame:
+            slices: Slices | None = None, unused: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``decision``: first, change or heartbeat for rows that are sent, rate or same for those that are not.
 
     ``at`` is the time in microseconds, along which ``order`` runs; ``gap_us`` must not change within a key. Rows with
     numbers are compared as numbers, others by a 64-bit hash of their texts. Columns of df keep their values; rows
-    without a number and a text are equal to each other.
+    without a number and a text are equal to each other. ``unused`` columns are left out, and do not go through Python.
     """
     code = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
     rows = df.withColumns({"_at": at, "_num": num.cast("double"), "_code": code, "_gap": gap_us.cast("long")})
@@ -198,7 +198,8 @@ def sampled(df: DataFrame, keys: list[str], order: list[str], at: Column, num: C
         rows = slices.assign(rows, at).withColumn(SLICE, F.col(SLICE).cast("long"))
         by.append(SLICE)
         entries = _entries(rows, keys, order, rule, slices)
-    names = [c for c in rows.columns if c not in STATE]
+    names = [c for c in rows.columns if c not in STATE and c not in unused]
+    rows = rows.select(*dict.fromkeys([*names, *order, *STATE]))
     laid = _laid(rows, by, order)
     if entries is not None:
         laid = _laid(rows.join(entries, by, "left"), by, order)

@@ -42,10 +42,10 @@ def sampler(min_gap_s: float, heartbeat_s: float, deadband: float, on_change_onl
 
 def relay_decisions(df: DataFrame, keys: list[str], num: str, text: str, order=("ts", "event_id"),
                     min_gap_s: float = 1 / MAX_RATE_HZ, heartbeat_s: float = HEARTBEAT_S, deadband: float = 0.0,
-                    slices: Slices | None = None) -> DataFrame:
+                    slices: Slices | None = None, unused: tuple[str, ...] = ()) -> DataFrame:
     """Add ``decision`` to every row. Each decision depends on the last row sent."""
     rule = Rule(int(heartbeat_s * 1e6), deadband)
-    out = sampled(df, keys, list(order), micros("ts"), F.col(num), F.col(text), F.lit(int(min_gap_s * 1e6)), rule, slices)
+    out = sampled(df, keys, list(order), micros("ts"), F.col(num), F.col(text), F.lit(int(min_gap_s * 1e6)), rule, slices, unused)
     return out.replace(FIRST, SENT_CHANGE, ["decision"])
 
 

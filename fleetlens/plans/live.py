@@ -93,8 +93,9 @@ TOPIC = ["robot_id", "topic"]
 
 
 def relayed(t: Tables):
-    return R.relay_decisions(t.view("fx_samples"), TOPIC, "num", "payload", min_gap_s=MIN_GAP_S,
-                             heartbeat_s=HEARTBEAT_S, deadband=DEADBAND, slices=topic_slices(t))
+    rows = t.view("fx_samples").select("event_id", *TOPIC, "ts", "num", "payload")
+    return R.relay_decisions(rows, TOPIC, "num", "payload", min_gap_s=MIN_GAP_S,
+                             heartbeat_s=HEARTBEAT_S, deadband=DEADBAND, slices=topic_slices(t), unused=("num", "payload"))
 
 
 @q("relay_sample", f"with {RELAY_SQL} select event_id, robot_id, topic, decision from walk")
