@@ -67,7 +67,7 @@ def run_once(df: DataFrame, name: str, partition_by: list[str] = (), idle_batche
 
 def dedup_stream(batches: DataFrame, remember_s: float = REMEMBER_S) -> DataFrame:
     """First delivery of each (robot, boot, seq); batches without them pass, and no batch is too late to pass."""
-    return batches.groupBy("robot_id", "boot").transformWithState(
+    return batches.groupBy("robot_id").transformWithState(
         P.FirstDelivery(batches.columns, int(remember_s * 1000)), batches.schema, "Append", "ProcessingTime")
 
 

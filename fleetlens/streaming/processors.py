@@ -17,31 +17,48 @@ from fleetlens.operators.presence import OFFLINE, OK, STALE, UNKNOWN
 from fleetlens.operators.relay import SENT, sampler
 from fleetlens.operators.state import START_AT_ZERO
 
-SEQ = T.StructType([T.StructField("seq", T.LongType())])
-SEEN = T.StructType([T.StructField("recv_us", T.LongType())])
+#: Sequence numbers that are remembered together: delivered in a row, they cost one read and one write of state.
+SEQ_BLOCK = 256
+SEQS = T.StructType([T.StructField("boot", T.StringType()), T.StructField("block", T.LongType())])
+SEEN = T.StructType([T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("seen_ms", T.ArrayType(T.LongType()))])
 
 
 class FirstDelivery(StatefulProcessor):
-    """First delivery of each sequence number per (robot, boot); rows without a boot or number pass.
+    """First delivery of each sequence number per robot and boot; rows without a boot or number pass.
 
     Numbers are remembered for ``keep_ms`` after they were first seen. Nothing is dropped for being late: a batch
     goes only if its number is remembered. Inside a micro-batch the earliest arrival wins, then the lesser topic.
+    State is kept by blocks of numbers, read and written once per micro-batch.
     """
 
     def __init__(self, columns: list[str], keep_ms: int):
         self._columns, self._keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getMapState("seen", SEQ, SEEN, self._keep_ms)
+        self._seen = handle.getMapState("seen", SEQS, SEEN, self._keep_ms)
         self._row = Row(*self._columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known, changed = {}, set()
         for r in sorted(rows, key=lambda r: (r.recv_us, r.topic)):
-            if key[1] is not None and r.seq is not None:
-                if self._seen.containsKey((r.seq,)):
+            if r.boot is not None and r.seq is not None:
+                block = (r.boot, r.seq // SEQ_BLOCK)
+                if block not in known:
+                    known[block] = self._load(block, now)
+                if r.seq in known[block]:
                     continue
-                self._seen.updateValue((r.seq,), (r.recv_us,))
+                known[block][r.seq] = now
+                changed.add(block)
             yield self._row(*[r[c] for c in self._columns])
+        for block in changed:
+            self._seen.updateValue(block, (list(known[block]), list(known[block].values())))
+
+    def _load(self, block, now) -> dict[int, int]:
+        if not self._seen.containsKey(block):
+            return {}
+        seqs, times = self._seen.getValue(block)
+        return {s: t for s, t in zip(seqs, times) if now - t < self._keep_ms}
 
     def close(self) -> None:
         pass
