@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings vendors use for booleans, and the longest text read as a number.
@@ -18,6 +18,17 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for costly values: a later filter on them, or on what is made of them, is not moved below.
+
+    The optimizer copies the definition of a column into every place of a filter that it moves down, so that a text
+    would be parsed anew for each of them. It moves nothing below a generator.
+    """
+    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made.alias("_once"))
+    return df.withColumns({k: F.col(f"_once.{k}") for k in columns}).drop("_once")
+
+
 def strip(c) -> Column:
     """Remove blanks, tabs and line ends from both ends."""
     return F.trim(col(c), F.lit(" \t\r\n\f\v"))

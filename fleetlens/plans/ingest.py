@@ -65,8 +65,8 @@ STATUS_SQL = f"""{ROUTED_SQL}, parsed as (select event_id, robot_id,
      case when j is null then null else coalesce('gripper=' || (j->>'$.gripper'), '') end as extra from parsed)"""
 
 
-def status_rows(t: Tables):
-    return M.parse_status(lane(t, "status"))
+def status_rows(t: Tables, extra_keys=None):
+    return M.parse_status(lane(t, "status"), extra_keys=extra_keys)
 
 
 @q("parse_status", f"with {STATUS_SQL} select * from status")

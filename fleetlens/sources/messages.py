@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import col, decimal_text, finite, micros, strip, to_numeric
+from fleetlens.functions.scalars import col, decimal_text, finite, micros, once, strip, to_numeric
 
 # Wire format of the message lanes.
 LINK_UP_WORDS = ["online", "1", "true", "up"]
@@ -21,11 +21,11 @@ PAYLOAD_MAX_BYTES = 8192
 
 def route_messages(df: DataFrame, topic: str = "topic") -> DataFrame:
     """Add robot_id and lane; drop short topics and lanes nothing listens to."""
-    parts = F.split(F.col(topic), "/")
+    df = once(df, {"_parts": F.split(F.col(topic), "/")})
+    parts = F.col("_parts")
     kind = F.get(parts, 2)
     lane = F.when(kind.isin(SAMPLE_LANES), "samples").when(kind.isin("lwt", "status"), kind)
-    return (df.withColumns({"robot_id": F.get(parts, 1), "lane": lane})
-            .filter(F.col("lane").isNotNull()))
+    return once(df, {"robot_id": F.get(parts, 1), "lane": lane}).filter(F.col("lane").isNotNull()).drop("_parts")
 
 
 def limit_payload(df: DataFrame, payload="payload", max_bytes: int = PAYLOAD_MAX_BYTES) -> DataFrame:
@@ -89,13 +89,28 @@ def looks_object(payload) -> Column:
 
 # ------------------------------------------------------------------ status lane
 
-def parse_status(df: DataFrame, payload: str = "payload") -> DataFrame:
+def extra_map(v: str, only: list[str] | None = None) -> Column:
+    """Members of an object that are no fields of a status, as texts.
+
+    A cast of the whole object looks at every member of every message; ``only`` names the ones that are wanted, which
+    are looked up by themselves.
+    """
+    if only is None or any(c in k for k in only for c in "'\\"):  # no path can spell such a key
+        return F.map_filter(F.try_variant_get(v, "$", "map<string,string>"), lambda k, _: ~k.isin(STATUS_KEYS))
+    found = [(k, F.try_variant_get(v, f"$['{k}']", "variant")) for k in only if k not in STATUS_KEYS]
+    entries = [F.when(m.isNotNull(), F.struct(F.lit(k).alias("key"), text_of(m).alias("value"))) for k, m in found]
+    known = F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.create_map().cast("map<string,string>")
+    return F.when(F.col(v).isNotNull(), known)
+
+
+def parse_status(df: DataFrame, payload: str = "payload", extra_keys: list[str] | None = None) -> DataFrame:
     """Status JSON -> typed columns. Absent fields are null and carried forward later.
 
-    ``dropped`` marks bodies that are not a JSON object; their other columns are null.
+    ``dropped`` marks bodies that are not a JSON object; their other columns are null. ``extra`` holds the keys of no
+    field, of ``extra_keys`` only if these are given.
     The work goes in steps so that each value is parsed and looked up once.
     """
-    df = df.withColumn("_v", F.when(looks_object(payload), F.try_parse_json(F.col(payload))))
+    df = once(df, {"_v": F.when(looks_object(payload), F.try_parse_json(F.col(payload)))})
     df = df.withColumns({"_pose": member("_v", "pose"), "_vel": member("_v", "vel"), "_mission": member("_v", "mission"),
                          "_errors": member("_v", "errors", "error")})
     df = df.withColumns({
@@ -117,7 +132,6 @@ def parse_status(df: DataFrame, payload: str = "payload") -> DataFrame:
               .when(F.col("_error_text").isNull(), F.lit(None))
               .when(F.col("_error_text").isin("", "0", "false"), F.array().cast("array<string>"))
               .otherwise(F.array("_error_text")))
-    extra = F.map_filter(F.try_variant_get("_v", "$", "map<string,string>"), lambda k, _: ~k.isin(STATUS_KEYS))
     battery = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("battery")))
     return df.withColumns({
         "robot_id": F.coalesce(truthy_text(member("_v", "id")), F.col("robot_id")),
@@ -128,7 +142,7 @@ def parse_status(df: DataFrame, payload: str = "payload") -> DataFrame:
         "mission": F.when(F.col("_mission_object"), object_name).otherwise(text_of("_mission")),
         "mission_reset": F.col("_mission_object"),
         "errors": errors,
-        "extra": extra,
+        "extra": extra_map("_v", extra_keys),
     }).drop("_v", "_pose", "_vel", "_mission", "_mission_object", "_errors", "_error_text", *[f"_n_{k}" for k in numbers])
 
 
@@ -140,13 +154,13 @@ def batch_headers(df: DataFrame, payload: str = "payload") -> DataFrame:
     The items themselves stay in the payload text: redelivered copies are dropped before
     anything is unpacked, and the text is what a shuffle moves most cheaply.
     """
-    df = df.withColumns({"_v": F.try_parse_json(F.col(payload)), "enveloped": looks_object(payload)})
+    df = once(df, {"_v": F.try_parse_json(F.col(payload)), "enveloped": looks_object(payload)})
     df = df.withColumns({"enveloped": F.coalesce(F.col("enveloped") & F.col("_v").isNotNull(), F.lit(False)),
                          "_sent": F.when(F.col("enveloped"), member("_v", "ts"))})
     inside = F.col("enveloped")
     body = F.when(inside, member("_v", "b")).otherwise(F.col("_v"))
     sent = F.when(~json_type("_sent").isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get("_sent", "$", "double"))
-    return df.withColumns({
+    return once(df, {
         "n_items": F.size(F.try_variant_get(body, "$", "array<variant>")),
         "boot": F.when(inside, text_of(member("_v", "boot"))),
         "seq": F.when(inside, F.try_variant_get(member("_v", "seq"), "$", "bigint")),
@@ -157,10 +171,10 @@ def batch_headers(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 def batch_items(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add the items of each batch as an array of dynamic values."""
-    v = F.try_parse_json(F.col(payload))
-    body = F.when(F.col("enveloped"), F.try_variant_get(v, "$.b", "array<variant>")).otherwise(
-        F.try_variant_get(v, "$", "array<variant>"))
-    return df.withColumn("items", body)
+    df = once(df, {"_v": F.try_parse_json(F.col(payload))})
+    body = F.when(F.col("enveloped"), F.try_variant_get("_v", "$.b", "array<variant>")).otherwise(
+        F.try_variant_get("_v", "$", "array<variant>"))
+    return once(df, {"items": body}).drop("_v")
 
 
 def parse_batches(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -172,9 +186,9 @@ def explode_items(df: DataFrame) -> DataFrame:
     """One row per batch item. ``dropped`` marks items that are too short or have no topic."""
     keep = [c for c in df.columns if c not in ("items", "payload")]
     rows = df.select(*keep, F.posexplode("items").alias("pos", "_item"))
-    rows = rows.withColumn("_f", F.try_variant_get("_item", "$", "array<variant>"))
+    rows = once(rows, {"_f": F.try_variant_get("_item", "$", "array<variant>")})
     rows = rows.withColumns({"_topic": F.get("_f", 0), "_stamp": F.get("_f", 1), "_value": F.get("_f", 2), "_flag": F.get("_f", 3)})
-    rows = rows.withColumns({
+    rows = once(rows, {
         "_topic": F.when((F.size("_f") >= 3) & (json_type("_topic") == "STRING"), truthy_text("_topic")),
         "_stamp": number_of("_stamp"), "num": numeric_of("_value"), "_flag": number_of("_flag")})
     return rows.withColumns({
