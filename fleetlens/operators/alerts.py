@@ -78,10 +78,10 @@ def _in_scope(rows: DataFrame) -> DataFrame:
     return rows.withColumn("scope", F.explode(F.array(F.lit(ANY_ROBOT), F.col("robot_id"))))
 
 
-def bind_rules(subjects: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rule columns beside every subject row they watch (equality on source, key and scope)."""
+def bind_rules(subjects: DataFrame, rules: DataFrame, more: list[str] = ()) -> DataFrame:
+    """Rule columns, with ``more`` of them, beside every subject row they watch (equality on source, key and scope)."""
     picked = rules.select("rule_id", F.coalesce("scope", F.lit(ANY_ROBOT)).alias("scope"), "source", "key", "op", F.col("value").alias("limit"), F.col("value2").alias("limit2"),
-                          "text_value", "for_seconds", "clear_value", "severity", "cooldown_min")
+                          "text_value", "for_seconds", "clear_value", "severity", "cooldown_min", *more)
     return _in_scope(subjects).join(broadcast_if_small(picked), ["source", "key", "scope"]).drop("scope")
 
 
@@ -130,12 +130,13 @@ def age_rows(data: DataFrame, rules: DataFrame, slices: Slices | None = None) ->
     Age starts at 0 with every arrival and grows by itself. A rule can only change its mind where age reaches one of
     its limits, so there is a row at each arrival and, if no other arrival comes first, at each limit and just after it.
     """
-    mine = bind_rules(data.select("robot_id", "ts", "event_id", F.lit("field").alias("source"), F.lit("age").alias("key")), rules)
-    mine = mine.withColumn("_us", micros("ts"))
-    mine = drop_slice(scan(mine, KEYS, ["ts", "event_id"], {"_next": lead("_us")}, F.col("_us"), slices))
-    limits = F.transform(F.array_compact(F.array("limit", "limit2", "clear_value")), lambda x: F.round(x * 1e6).cast("long"))
+    # the next arrival is the same for every rule, and the steps are the same for every row: both come before the join
+    seen = drop_slice(scan(data.select("robot_id", "ts", "event_id").withColumn("_us", micros("ts")), "robot_id", ["ts", "event_id"],
+                           {"_next": lead("_us")}, F.col("_us"), slices))
+    limits = F.transform(F.array_compact(F.array("value", "value2", "clear_value")), lambda x: F.round(x * 1e6).cast("long"))
     steps = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), limits, F.transform(limits, lambda x: x + 1)))
-    rows = mine.withColumn("_step", F.explode(F.filter(steps, lambda x: x >= 0)))
+    about = rules.filter("source = 'field' and key = 'age'").withColumn("_step", F.explode(F.filter(steps, lambda x: x >= 0)))
+    rows = bind_rules(seen.withColumns({"source": F.lit("field"), "key": F.lit("age")}), about, ["_step"])
     rows = rows.filter(F.col("_next").isNull() | (F.col("_us") + F.col("_step") < F.col("_next")))
     age = F.col("_step") / F.lit(1e6)
     return rows.withColumns({"ts": from_micros(F.col("_us") + F.col("_step")), "num": age, "raw": age.cast("string")}).drop("_us", "_next", "_step")
