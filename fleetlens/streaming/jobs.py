@@ -179,9 +179,12 @@ def open_tail(changes: DataFrame, known: DataFrame, as_of: str, offline_after_s:
 
 def alert_stream(hits: DataFrame) -> DataFrame:
     """Rows of ``alerts.with_hits`` -> start / repeat / stop marks."""
-    rows = hits.select("rule_id", "robot_id", "event_id", "ts", micros("ts").alias("at_us"), "num", "hit", "hold",
-                       "for_seconds", "cooldown_min")
-    return rows.groupBy("rule_id", "robot_id").transformWithState(P.AlertProcessor(), P.ALERT_OUT, "Append", "None")
+    # numbers pass through as texts, which keep null and NaN apart
+    rows = hits.select("rule_id", "robot_id", "event_id", micros("ts").alias("at_us"), F.col("num").cast("string").alias("num"), "hit", "hold",
+                       "for_seconds", F.coalesce(F.round(F.col("cooldown_min") * 60e6).cast("long"), F.lit(0)).alias("cool_us"))
+    rows = rows.withColumn("robots", F.pmod(F.xxhash64("robot_id"), F.lit(P.ALERT_GROUPS)))
+    marks = rows.groupBy("robots").transformWithStateInPandas(P.AlertProcessor(), P.ALERT_OUT, "Append", "None")
+    return marks.select("rule_id", "robot_id", from_micros("at_us").alias("ts"), F.col("num").cast("double").alias("num"), "mark")
 
 
 # ------------------------------------------------------------------ small tables

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -218,23 +219,36 @@ class PresenceProcessor(StatefulProcessor):
 
 
 ALERT_OUT = T.StructType([
-    T.StructField("rule_id", T.IntegerType()), T.StructField("robot_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("num", T.DoubleType()), T.StructField("mark", T.StringType())])
+    T.StructField("rule_id", T.IntegerType()), T.StructField("robot_id", T.StringType()), T.StructField("at_us", T.LongType()),
+    T.StructField("num", T.StringType()), T.StructField("mark", T.StringType())])
+#: Robots are dealt to so many groups; the alerts of a group's robots are one record of state.
+ALERT_GROUPS = 4096
+ALERT_KEYS = T.StructType([T.StructField("rule_id", T.IntegerType()), T.StructField("robot_id", T.StringType())])
+ALERTS = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*ALERT_KEYS.fields, *A.STRICT.fields]])
 
 
 class AlertProcessor(StatefulProcessor):
-    """ok -> pending -> firing -> ok per (rule, robot); emits start, repeat and stop marks."""
+    """ok -> pending -> firing -> ok per (rule, robot); emits start, repeat and stop marks.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._now = handle.getValueState("alert", A.STRICT)
+    A call of the state store and a group of rows cost more than many steps of the alerts themselves, so rows come by
+    groups of robots and as columns; a group's state is read and written once per micro-batch.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = tuple(self._now.get()) if self._now.exists() else None
-        for r in sorted(rows, key=lambda r: (r.at_us, r.event_id)):
-            now, (mark,) = A.alert_step(now, (r.at_us, r.hit, r.hold, r.for_seconds, int(round(r.cooldown_min * 60e6))))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._alerts = handle.getValueState("alerts", ALERTS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {(rule, robot): now for rule, robot, *now in zip(*self._alerts.get())} if self._alerts.exists() else {}
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "event_id"], kind="stable", ignore_index=True)
+        places, marks = [], []
+        columns = [pdf[c].tolist() for c in ("rule_id", "robot_id", "at_us", "hit", "hold", "for_seconds", "cool_us")]
+        for place, (rule, robot, *row) in enumerate(zip(*columns)):
+            known[rule, robot], (mark,) = A.alert_step(known.get((rule, robot)), row)
             if mark is not None:
-                yield Row(rule_id=key[0], robot_id=key[1], ts=r.ts, num=r.num, mark=mark)
-        self._now.update(now)
+                places.append(place)
+                marks.append(mark)
+        self._alerts.update(tuple(list(c) for c in zip(*[(*k, *now) for k, now in known.items()])))
+        yield pdf.loc[places, ["rule_id", "robot_id", "at_us", "num"]].assign(mark=pd.Series(marks, index=places, dtype=object))
 
     def close(self) -> None:
         pass
