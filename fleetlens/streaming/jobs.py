@@ -22,6 +22,9 @@ from fleetlens.streaming import processors as P
 REMEMBER_S = int(Q.MAX_BACKFILL_S)
 
 
+#: Furthest event time, either way, of a stream's clock.
+CLOCK_US = 9_200_000_000_000_000
+
 #: Size of a micro-batch that is read from the archive of another job.
 BYTES_PER_TRIGGER = 256 << 20
 
@@ -148,8 +151,15 @@ def state_stream(status: DataFrame, fields: list[str] = P.STATE_FIELDS) -> DataF
 
 def presence_stream(data: DataFrame, lwt: DataFrame, offline_after_s: float = OFFLINE_AFTER_S,
                     stale_after_s: float = STALE_AFTER_S, disorder: str = "1 minute") -> DataFrame:
-    rows = signals(data, lwt).withColumn("_at", F.timestamp_micros("at_us")).withWatermark("_at", disorder)
-    return rows.groupBy("robot_id").transformWithState(
+    """Presence changes per robot; rows without a time take no part, as in ``presence.presence_timeline``."""
+    up = F.col("up")
+    kind = (F.when(F.col("rank") == 0, P.DATA).when(up, P.LINK_UP).when(~up, P.LINK_DOWN).otherwise(P.LINK_UNKNOWN))
+    # the clock's column reaches pandas, whose times are nanoseconds
+    clock = F.timestamp_micros(F.least(F.greatest("at_us", F.lit(-CLOCK_US)), F.lit(CLOCK_US)))
+    rows = signals(data, lwt).filter("at_us is not null").select(
+        F.pmod(F.xxhash64("robot_id"), F.lit(P.PRESENCE_GROUPS)).alias("robots"), "robot_id", "at_us", kind.alias("kind"),
+        F.coalesce("event_id", F.lit(P.NEVER)).alias("event_id"), clock.alias("_at"))
+    return rows.withWatermark("_at", disorder).groupBy("robots").transformWithStateInPandas(
         P.PresenceProcessor(offline_after_s, stale_after_s), P.PRESENCE_OUT, "Append", "EventTime")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import types as T
@@ -136,83 +137,123 @@ class StateProcessor(StatefulProcessor):
         pass
 
 
+#: Robots are dealt to so many groups; the presence of a group's robots is one record of state.
+PRESENCE_GROUPS = 1024
+#: Kinds of signals, data first: signals of one instant are taken in this order.
+DATA, LINK_DOWN, LINK_UP, LINK_UNKNOWN = 0, 1, 2, 3
+#: An instant before all others, for data never seen.
+NEVER = -(1 << 62)
+PRESENCES = [UNKNOWN, OK, STALE, OFFLINE]
+#: Per robot: its name, the last instant looked at, the last data, the last link message, and the place in PRESENCES.
 PRESENCE_STATE = T.StructType([
-    T.StructField("at_us", T.LongType()), T.StructField("seen_us", T.LongType()), T.StructField("up", T.BooleanType()),
-    T.StructField("link_us", T.LongType()), T.StructField("presence", T.StringType())])
+    T.StructField("robot_id", T.ArrayType(T.StringType())),
+    *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("at_us", "seen_us", "link", "link_us", "presence")]])
 PRESENCE_OUT = T.StructType([
     T.StructField("robot_id", T.StringType()), T.StructField("at_us", T.LongType()),
     T.StructField("presence", T.StringType()), T.StructField("before", T.StringType())])
 
 
+def _last(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Per place the value at the last place up to it where ``known`` is true; it must be at every robot's first."""
+    return values[np.maximum.accumulate(np.where(known, np.arange(len(known)), 0))]
+
+
 class PresenceProcessor(StatefulProcessor):
-    """Presence changes per robot.
+    """Presence changes of a group of robots.
 
     Decay between two signals is derived from the signals themselves, because a timer may
     fire only after a newer signal was seen; timers serve the silence that is still open.
+
+    Calls of the state store, timers and rows in Python cost more than the decisions, so rows come by groups of robots
+    and as columns; a group's state is read and written once per micro-batch, and it has one timer, the next that any
+    of its robots needs.
     """
 
     def __init__(self, offline_after_s: float, stale_after_s: float):
         self._off_us, self._stale_us = int(offline_after_s * 1e6), int(stale_after_s * 1e6)
+        # the state holds up to and including the limit, so it changes one microsecond later
+        self._decay = np.array(sorted((self._off_us + 1, self._stale_us + 1)))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("presence", PRESENCE_STATE)
 
-    def _decide(self, at, seen, up, link_us):
-        if up is False and link_us >= (seen or 0):
-            return OFFLINE
-        if seen is None:
-            return UNKNOWN
-        age = at - seen
-        return OK if age <= self._off_us else STALE if age <= self._stale_us else OFFLINE
-
-    def _next_cuts(self, s):
-        if s["seen_us"] is None:
-            return []
-        return [c for c in (s["seen_us"] + self._off_us + 1, s["seen_us"] + self._stale_us + 1) if c > s["at_us"]]
-
-    def _move(self, robot, s, at):
-        """Evaluate at ``at``; a row if the presence changed."""
-        s["at_us"] = at
-        now = self._decide(at, s["seen_us"], s["up"], s["link_us"])
-        if now != s["presence"]:
-            before, s["presence"] = s["presence"], now
-            yield Row(robot_id=robot, at_us=at, presence=now, before=before)
-
-    def _load(self):
-        names = PRESENCE_STATE.names
-        return dict(zip(names, self._state.get())) if self._state.exists() else dict.fromkeys(names)
-
-    def _save(self, s) -> None:
-        self._state.update(tuple(s[n] for n in PRESENCE_STATE.names))
-        for t in list(self._handle.listTimers()):
-            self._handle.deleteTimer(t)
-        cuts = self._next_cuts(s)
-        if cuts:
-            # timers count milliseconds; round up so that the limit has passed
-            self._handle.registerTimer(-(-cuts[0] // 1000))
+    def _decide(self, at, seen, link, link_us):
+        age, ever = at - seen, seen != NEVER
+        silent = np.where(age <= self._off_us, PRESENCES.index(OK), np.where(age <= self._stale_us, PRESENCES.index(STALE), PRESENCES.index(OFFLINE)))
+        down = (link == LINK_DOWN) & (link_us >= np.where(ever, seen, 0))
+        return np.where(down, PRESENCES.index(OFFLINE), np.where(ever, silent, PRESENCES.index(UNKNOWN)))
+
+    def _cuts(self, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two instants per state at which it may decay, whether they are still to come, and what it is then."""
+        cuts = s["seen_us"][:, None] + self._decay
+        now = self._decide(cuts, *[s[n][:, None] for n in ("seen_us", "link", "link_us")])
+        return cuts, cuts > s["at_us"][:, None], now
+
+    def _changes(self, names, robot, at, presence, told) -> Iterator[pd.DataFrame]:
+        """Rows for states that are ``told`` and differ from the robot's one before; a robot's states are neighbours."""
+        before = np.r_[-1, presence[:-1]]
+        before[np.r_[True, robot[1:] != robot[:-1]]] = -1
+        new = np.flatnonzero(told & (presence != before))
+        if len(new):
+            words = np.array([*PRESENCES, None], dtype=object)  # the last is the place -1
+            yield pd.DataFrame({"robot_id": names[robot[new]], "at_us": at[new], "presence": words[presence[new]], "before": words[before[new]]})
+
+    def _load(self) -> dict[str, np.ndarray]:
+        held = self._state.get() if self._state.exists() else [[]] * len(PRESENCE_STATE)
+        return {f.name: np.array(v, dtype=object if f.name == "robot_id" else np.int64) for f, v in zip(PRESENCE_STATE, held)}
+
+    def _save(self, s: dict[str, np.ndarray]) -> None:
+        self._state.update(tuple(s[n].tolist() for n in PRESENCE_STATE.names))
+        cuts, to_come, _ = self._cuts(s)
+        # timers count milliseconds; round up so that the limit has passed
+        want = [-(-int(cuts[to_come].min()) // 1000)] if to_come.any() else []
+        held = list(self._handle.listTimers())
+        if held != want:
+            for t in held:
+                self._handle.deleteTimer(t)
+            for t in want:
+                self._handle.registerTimer(t)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        s = self._load()
-        for r in sorted(rows, key=lambda r: (r.at_us, r.rank, r.event_id)):
-            if s["at_us"] is not None:
-                for cut in self._next_cuts(s):
-                    if cut < r.at_us:
-                        yield from self._move(key[0], s, cut)
-            if r.up is None:
-                s["seen_us"] = r.seen_us
-            else:
-                s["up"], s["link_us"] = r.up, r.at_us
-            yield from self._move(key[0], s, r.at_us)
-        self._save(s)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s, pdf = self._load(), pd.concat(list(rows), ignore_index=True)
+        n, more = len(s["at_us"]), len(pdf)
+        # what is held comes first for every robot, as a row of its own
+        robot, names = pd.factorize(np.r_[s["robot_id"], pdf["robot_id"].to_numpy(dtype=object)], use_na_sentinel=False)
+        names = np.where(pd.isna(names), None, names)
+        ints = lambda c: pdf[c].to_numpy(dtype=np.int64)
+        kind = np.r_[np.full(n, -1), ints("kind")]
+        at, event = np.r_[s["at_us"], ints("at_us")], np.r_[np.zeros(n, np.int64), ints("event_id")]
+        order = np.lexsort((event, kind > DATA, at, kind >= 0, robot))
+        robot, kind, at = robot[order], kind[order], at[order]
+        put = lambda c, values: np.r_[s[c], np.broadcast_to(values, more)][order]
+        first = np.r_[True, robot[1:] != robot[:-1]]
+        linked = first | (kind == LINK_DOWN) | (kind == LINK_UP)
+        link = put("link", np.where(ints("kind") == DATA, LINK_UNKNOWN, ints("kind")))
+        now = {"at_us": at, "seen_us": _last(put("seen_us", np.where(ints("kind") == DATA, ints("at_us"), NEVER)), first | (kind == DATA)),
+               "link": _last(link, linked), "link_us": _last(put("link_us", ints("at_us")), linked)}
+        held = kind < 0
+        own = np.where(held, put("presence", 0), self._decide(at, now["seen_us"], now["link"], now["link_us"]))
+        # before each row, what the silence since the row before did
+        cuts, to_come, decayed = self._cuts({c: np.r_[v[:1], v[:-1]] for c, v in now.items()})
+        keep = np.c_[to_come & (cuts < at[:, None]) & ~first[:, None], np.ones(len(at), bool)].ravel()
+        flat = lambda a, b: np.c_[a, b].ravel()[keep]
+        whose, told = np.repeat(robot, 3)[keep], np.repeat(~held, 3)[keep]
+        yield from self._changes(names, whose, flat(cuts, at), flat(decayed, own), told)
+        ends = np.flatnonzero(np.r_[robot[1:] != robot[:-1], True])
+        self._save({"robot_id": names[robot[ends]], **{c: v[ends] for c, v in now.items()}, "presence": own[ends]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._load()
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for cut in self._next_cuts(s):
-            if cut <= limit:
-                yield from self._move(key[0], s, cut)
-        self._save(s)
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        cuts, to_come, decayed = self._cuts(s)
+        due = to_come & (cuts <= limit)
+        keep, told = np.c_[np.ones(len(due), bool), due].ravel(), np.c_[np.zeros(len(due), bool), due].ravel()
+        robot = np.repeat(np.arange(len(due)), 3)
+        at, presence = np.c_[s["at_us"], cuts].ravel(), np.c_[s["presence"], decayed].ravel()
+        yield from self._changes(s["robot_id"], robot[keep], at[keep], presence[keep], told[keep])
+        ends = np.flatnonzero(np.r_[robot[keep][1:] != robot[keep][:-1], True])
+        self._save({**s, "at_us": at[keep][ends], "presence": presence[keep][ends]})
 
     def close(self) -> None:
         pass
