@@ -5,11 +5,14 @@ value. For a query, a segment's impact is the least product that its rows can ha
 counted from the dimension's smallest product, so no impact is negative. Segments are processed by descending
 impact; a row's sum is then a lower bound of its score, and the sum plus what unread segments and quantisation
 can still add is an upper bound. Processing stops only once the bounds prove that all but a few rows cannot
-reach the k-th best lower bound; the possible members left are rescored exactly.
+reach the k-th best lower bound; the possible members left are rescored exactly. Where the segments of largest
+impact prove too little, all segments are read, for many queries at once as one matrix product with their least values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +26,19 @@ SEGMENTS = 32
 POSSIBLE_SHARE = 1 / 16
 #: Shares of all postings after which the bounds are looked at.
 LOOKS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Share that is read one by one where the rest can be read at once, which takes about as long.
+HEAD = 1 / 64
+#: Queries that are read at once.
+TOGETHER = 64
+
+
+def _places(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 def build_index(ids: np.ndarray, vecs: np.ndarray) -> bytes:
     """Row order by descending value for every dimension; segments follow from the values."""
-    order = np.argsort(-vecs, axis=0, kind="stable").T.astype(np.uint32)
+    order = np.argsort(-vecs, axis=0, kind="stable").T.astype(_places(len(vecs)))
     return np.ascontiguousarray(order).tobytes()
 
 
@@ -36,7 +47,7 @@ class ImpactIndex:
 
     def __init__(self, data: bytes, stored: int, vecs: np.ndarray):
         self.n = len(vecs)
-        self.order = np.frombuffer(data, np.uint32).reshape(stored, self.n).astype(np.intp)
+        self.order = np.frombuffer(data, _places(self.n)).reshape(stored, self.n)
         self.dims, self.start, self.end, self.low, self.high = [], [], [], [], []
         self.least, self.most = np.zeros(stored, np.int64), np.zeros(stored, np.int64)
         for d in range(stored):
@@ -54,8 +65,48 @@ class ImpactIndex:
         for name in ("dims", "start", "end", "low", "high"):
             parts = getattr(self, name)
             setattr(self, name, np.concatenate(parts) if parts else np.zeros(0, np.int64))
-
-    def possible(self, query: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+        self.stored, self._least_values = stored, None
+
+    def few(self, k: int) -> int:
+        return max(4 * k, int(self.n * POSSIBLE_SHARE))
+
+    def least_values(self, kind: type) -> np.ndarray:
+        """For every dimension and row, the least value of the row's segment."""
+        if self._least_values is None or self._least_values.dtype != kind:
+            out = np.zeros((self.stored, self.n), kind)
+            for d, start, end, low in zip(self.dims, self.start, self.end, self.low):
+                out[d, self.order[d, start:end]] = low
+            self._least_values = out
+        return self._least_values
+
+    def possible_of(self, queries: np.ndarray, ks: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query the rows that may be among its best ``ks``."""
+        q = queries[:, : self.stored]
+        size = np.abs(q).astype(float) @ np.maximum(np.abs(self.least), np.abs(self.most)).astype(float)
+        widths = np.zeros(self.stored, np.int64)  # what quantisation hides in a dimension
+        np.maximum.at(widths, self.dims, self.high - self.low)
+        for start in range(0, len(q), TOGETHER):
+            part, at = q[start : start + TOGETHER], 0
+            largest = size[start : start + TOGETHER].max()
+            exact = np.float32 if largest < 1 << 22 else np.float64 if largest < 1 << 50 else None  # holds sums and bounds
+            while at < len(part):
+                k = int(ks[start + at])
+                members, _ = self.possible(part[at], k, (HEAD,) if exact else LOOKS)
+                if exact and len(members) > self.few(k):
+                    break
+                yield members
+                at += 1
+            if at < len(part):
+                sums = part[at:].astype(exact) @ self.least_values(exact)
+                hidden = np.abs(part[at:]) @ widths
+                for row, unsure, k in zip(sums, hidden, ks[start + at : start + TOGETHER]):
+                    if self.n > k:
+                        bar = int(np.partition(row, self.n - k)[self.n - k])
+                        yield np.flatnonzero(row >= exact(bar - int(unsure)))
+                    else:
+                        yield np.arange(self.n)
+
+    def possible(self, query: np.ndarray, k: int, shares: tuple = LOOKS) -> tuple[np.ndarray, bool]:
         """Rows that may be among the best ``k``, and whether some segments were left unread."""
         q = query[: len(self.least)]
         weight = q[self.dims]
@@ -66,11 +117,11 @@ class ImpactIndex:
         use = use[np.argsort(-top[use], kind="stable")]
         read = np.cumsum(self.end[use] - self.start[use])
         total = read[-1] if len(read) else 0
-        looks = np.searchsorted(read, [total * x for x in LOOKS])
+        looks = np.searchsorted(read, [total * x for x in shares])
         widest = np.zeros(len(q), np.int64)  # what quantisation hides in a dimension that was read
         np.maximum.at(widest, self.dims, top - impact)
         lower = np.zeros(self.n, np.int64)
-        few = max(4 * k, int(self.n * POSSIBLE_SHARE))
+        few = self.few(k)
         members, done = np.arange(self.n), 0
         for look in looks:
             for s in use[done : look + 1]:
@@ -91,9 +142,11 @@ def search(k: int):
     def run(index: bytes, dims: int, ids, vecs, q_ids, queries):
         built = ImpactIndex(index, dims, vecs)
         rows, asked, scores = [], [], []
-        for j, query in enumerate(queries):
-            # the rows of the query's own id are left out afterwards, so as many more are kept
-            members, _ = built.possible(query, k + max(1, int((ids == q_ids[j]).sum())))
+        # the rows of the query's own id are left out afterwards, so as many more are kept
+        sorted_ids = np.sort(ids)
+        own = np.searchsorted(sorted_ids, q_ids, side="right") - np.searchsorted(sorted_ids, q_ids)
+        for j, members in enumerate(built.possible_of(queries, k + np.maximum(1, own))):
+            query = queries[j]
             exact = vecs[members] @ query
             other = ids[members] != q_ids[j]
             members, exact = members[other], exact[other]
