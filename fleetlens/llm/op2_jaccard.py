@@ -5,8 +5,11 @@ they share one among the first |A| - that + 1 of any common order (prefix rule).
 documents share last, so common passages and lines hardly ever bring documents together.
 
 1. Every distinct set gets an id; equal texts meet in it. Counts of frequent shingles are gathered in the same pass.
-2. The sets that have a prefix shingle are put in order of size. Neighbours whose sizes allow a link are connected;
-   sets that link are then joined by such a chain, so no link leaves the components of these candidates.
+2. Sets that share a prefix shingle stand in its list. All pairs of a short list whose sizes allow a link are counted:
+   sets of n >= m shingles that link share ``least_shared`` prefix shingles, so pairs that share fewer go. A long list
+   is put in order of size and neighbours whose sizes allow a link are connected; sets that link are then joined by such
+   a chain. A pair may also meet in long lists, as often as both stand in any: these count as shared.
+   So no link leaves the components of these candidates.
 3. A group of bounded size is one tile. A larger one is cut into bands of similar size and blocks of bounded weight.
    Each block meets itself and the group's most central sets; what that leaves apart meets the rest block by block,
    there with signatures only, and pairs that these leave open are decided on the texts.
@@ -38,6 +41,8 @@ COUNTED = 4_000_000
 #: Frequent shingles that the order knows, at most (12 bytes each). Any order gives right results: more known
 #: shingles only make candidate groups smaller.
 KNOWN = 2_000_000
+#: Sets in a shingle's list of which all pairs are counted; longer lists are chained.
+LIST = 12
 #: Shingles in a tile: larger groups are cut.
 TILE = 1_500_000
 #: Bits (as a power of two) of the map that finds the documents whose texts are compared.
@@ -58,6 +63,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(n, m, percent: int = PERCENT):
+    """Shingles that the prefixes of sets of ``n >= m`` shingles have in common at least, if the sets link.
+
+    Of ``t`` common shingles at least, the j-th in the order lies among the first ``j + n - t`` of the larger set.
+    """
+    least = lambda a, b: (a + b - 1 - (a + b - 1) % b) / b  # noqa: E731  a / b, rounded up
+    return least(percent * (n + m), 100 + percent) - least(percent * n, 100) + 1
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, set size, set id) of a document; kind 1: (null, count, shingle) of shingles seen twice nearby."""
     words, held, weight, seen = WordHashes(), [], 0, set()
@@ -315,6 +329,33 @@ def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
     return likely.join(members.hint("merge"), "doc_id")
 
 
+def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(set_id, n, before, m, shared): pairs that connect all sets that link; rows (shingle, set_id, n) may repeat."""
+    by_size = W.partitionBy("shingle").orderBy("n", "set_id")
+    one = prefixes.withColumn("last", F.lag("set_id").over(by_size)).filter("last is null or last <> set_id").drop("last")
+    lists = one.withColumn("long", F.count("*").over(W.partitionBy("shingle"))).filter("long > 1").withColumn("long", F.col("long") > LIST)
+    own = F.struct("set_id", "n")
+    near = F.collect_list(F.when(~F.col("long"), own)).over(by_size.rowsBetween(1 - LIST, -1))
+    # in a long list a set meets its neighbour, and itself so that its long lists are counted
+    met = lists.withColumns({"near": near, "next": F.lag(own).over(by_size)}).withColumn(
+        "met", F.when(F.col("long"), F.array("next", own)).otherwise(F.col("near")))
+    fits = lambda x: x.isNotNull() & (100 * x["n"] >= percent * F.col("n"))
+    met = met.select("set_id", "n", "long", F.explode(F.filter("met", fits)).alias("met"))
+    pairs = met.groupBy("set_id", "n", F.col("met.set_id").alias("before"), F.col("met.n").alias("m")).agg(
+        F.count(F.when(~F.col("long"), 1)).alias("shared"), F.count(F.when(F.col("long"), 1)).alias("chained"))
+    pairs = written(pairs, "pairs")
+
+    longs = pairs.filter("before = set_id").select("set_id", F.col("chained").alias("lists"))
+    pairs = pairs.filter("before <> set_id")
+    enough = least_shared(F.col("n"), F.col("m"), percent)
+    kept = pairs.filter((F.col("chained") > 0) | (F.col("shared") >= enough))
+    unsure = pairs.filter((F.col("chained") == 0) & (F.col("shared") < enough)).join(longs, "set_id").join(
+        longs.select(F.col("set_id").alias("before"), F.col("lists").alias("others")), "before")
+    unsure = unsure.filter(F.col("shared") + F.least("lists", "others") >= enough)
+    columns = ["set_id", "n", "before", "m", (F.col("shared") + F.col("chained")).alias("shared")]
+    return written(kept.select(columns).union(unsure.select(columns)), "chain")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id long, text string).
 
@@ -333,11 +374,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = described.filter("kind = 0").select("doc_id", F.col("a").alias("n_shingles"), key)
     order = spark.sparkContext.broadcast(_frequent(described, spark))
     prefixes = docs.mapInArrow(releasing(_prefixes(order, percent)), "shingle long, set_id long, n long")
-    # sets of a list in order of size: sets that link are joined by a chain of neighbours whose sizes allow a link
-    by_size = W.partitionBy("shingle").orderBy("n", "set_id")
-    chain = prefixes.select("set_id", "n", F.lag("set_id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
-    chain = chain.filter((F.col("before") != F.col("set_id")) & (100 * F.col("m") >= percent * F.col("n")))
-    chain = written(chain.groupBy("set_id", "n", "before", "m").agg(F.count("*").alias("shared")), "chain")
+    chain = _candidates(prefixes, percent)
 
     ends = chain.select("set_id", "n", "shared").union(chain.select("before", "m", "shared"))
     share = F.sum("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
